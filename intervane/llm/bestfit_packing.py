@@ -8,9 +8,12 @@ patterns, each with fewer than sqrt(2*capacity)+1 different lengths, which bound
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from bisect import bisect_right
 from dataclasses import dataclass
+from unicodedata import is_normalized
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -21,33 +24,81 @@ from intervane.llm.common import docs_of, from_rows, save, slices
 WORD_BPE = "/opt/tokenizers/word_bpe_49k.json"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 600_000
+
+
+_PUNCTUATION = b"!#$%&()*+,-./:;<=>?@[]^_|~"
+_KNOWN: dict[str, tuple] = {}
 
 
 class WordIds:
     """Token ids of texts as little-endian 32-bit bytes.
 
     The tokenizer drops white space and never joins across it, so ids are found once for each word between ASCII white
-    space and kept; the store is emptied when full.
+    space. A word that ends in a letter or digit and then punctuation splits there too. Words of letters alone are encoded
+    many at a time: each gives tokens up to the next that ends a word. The stores of a worker last from task to task and
+    are emptied when full.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        if path not in _KNOWN:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            from tokenizers import Tokenizer
 
-        self.of = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+            of = Tokenizer.from_file(path)
+            ends = {i for token, i in of.get_vocab().items() if token.endswith("</w>")}
+            _KNOWN[path] = (of, ends, {}, {})
+        self.of, self.ends, self.words, self.stems = _KNOWN[path]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        if len(self.known) > _CACHE_WORDS:
-            self.known.clear()
-        new = list({w for doc in words for w in doc if w not in self.known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.of.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.known[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-        get = self.known.__getitem__
-        return [b"".join(map(get, doc)) for doc in words]
+        docs = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+        if len(self.words) > _CACHE_WORDS:
+            self.words.clear()
+        if len(self.stems) > _CACHE_WORDS:
+            self.stems.clear()
+        known = self.words
+        new = {w for doc in docs for w in doc if w not in known}
+        if new:
+            self.learn(new)
+        get = known.__getitem__
+        return [b"".join(map(get, doc)) for doc in docs]
+
+    def learn(self, new: set[bytes]) -> None:
+        split, parts = {}, set()
+        for w in new:
+            core = w.rstrip(_PUNCTUATION)
+            special = b"<|" in w and b"|>" in w  # may be a special token, which is matched as it stands
+            if special or not core or core == w or not core[-1:].isalnum():
+                core, tail = w, b""
+            else:
+                tail = w[len(core) :]
+            if core.isascii() and not special:
+                core = core.lower()
+            split[w] = core, tail
+            parts.add(core)
+            parts.add(tail)
+        parts = [p for p in parts if p not in self.stems]
+        letters, rest = [], []
+        for p in parts:
+            s = p.decode()
+            (letters if s.isalpha() and (s.isascii() or is_normalized("NFC", s)) else rest).append(s)
+        for at in range(0, len(letters), 1024):
+            some = letters[at : at + 1024]
+            ids = self.of.encode(" ".join(some), add_special_tokens=False).ids
+            cuts = [k + 1 for k, i in enumerate(ids) if i in self.ends]
+            if len(cuts) != len(some):  # lower case has made something else than letters
+                rest += some
+                continue
+            raw, begin = array("I", ids).tobytes(), 0
+            for s, end in zip(some, cuts):
+                self.stems[s.encode()] = raw[4 * begin : 4 * end]
+                begin = end
+        for at in range(0, len(rest), 1024):
+            some = rest[at : at + 1024]
+            for s, e in zip(some, self.of.encode_batch(some, add_special_tokens=False)):
+                self.stems[s.encode()] = array("I", e.ids).tobytes()
+        for w, (core, tail) in split.items():
+            self.words[w] = self.stems[core] + self.stems[tail]
 
 
 def cut(ids: bytes, doc_id: int | None, capacity: int, end_id: int) -> list[tuple]:

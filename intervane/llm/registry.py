@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intervane.llm import bestfit_packing, compression_quality, toxicity
+from intervane.llm import bestfit_packing, compression_quality, secret_scan, toxicity
 from intervane.llm.common import tables
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(tables(spark, sf_dir, "documents"))
+    n = [secret_scan.count_of(k).alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS[:3])]
+    return found.select("doc_id", *n, F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels")
     model = toxicity.train(docs, toxicity.learnable(labels))
@@ -28,6 +34,7 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
     "op4_toxicity": op4_toxicity,
     "op7_bestfit_packing": op7_bestfit_packing,
     "op10_compression_quality": op10_compression_quality,

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -19,26 +20,53 @@ from intervane.llm.common import bounded_sample, docs_of, from_rows, slices
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
+_STEMS = (4, 5, 6)
+_KEPT_WORDS = 300_000
 THRESHOLD = 0.3
 SCORES = "doc_id long, score double, predicted int, n_sentences long, sentences array<struct<start:long,stop:long,score:double>>"
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("score", pa.float64())]))
 _SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32()), ("n_sentences", pa.int64()), ("sentences", _SPAN)])
 
 
+def features(word: str) -> list[str]:
+    """A word itself, and its first letters, which its inflected forms share."""
+    return ["=" + word, *(word[:k] for k in _STEMS if len(word) >= k)]
+
+
+class _Words(dict):
+    """Weight of each word met, kept until there are too many."""
+
+    def __init__(self, weights: dict[str, float]):
+        self.weights = weights
+
+    def __missing__(self, word: str) -> float:
+        if len(self) > _KEPT_WORDS:
+            self.clear()
+        get = self.weights.get
+        self[word] = out = sum(get(f, 0.0) for f in features(word))
+        return out
+
+
 @dataclass(frozen=True)
 class MilModel:
+    """weights: by feature of a word; see features()."""
+
     weights: dict[str, float]
     bias: float
 
+    @cached_property
+    def words(self) -> _Words:
+        return _Words(self.weights)
+
     def sentences(self, text: str):
         """(start, stop, logit) of each sentence that holds a weighted word, and the number of all sentences."""
-        found, n, known = [], 0, self.weights
+        found, n, weight = [], 0, self.words.__getitem__
         low = text.lower()
         if len(low) != len(text):  # lower case can change lengths; spans must be of the text itself
             low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
         for m in _SENTENCE.finditer(low):
             n += 1
-            s = sum(known[w] for w in _WORD.findall(m[0]) if w in known)
+            s = sum(map(weight, _WORD.findall(m[0])))
             if s:
                 found.append((m.start(), m.end(), self.bias + s))
         return found, n
@@ -54,7 +82,7 @@ def _softplus(x: float) -> float:
     return max(x, 0.0) + math.log1p(math.exp(-abs(x)))
 
 
-def fit(rows: list[tuple[int, str, int]], prior: float | None = None, min_docs: int = 4, steps: int = 300, ridge: float = 2e-3) -> MilModel:
+def fit(rows: list[tuple[int, str, int]], prior: float | None = None, min_docs: int = 4, evidence: float = 20.0, steps: int = 300, ridge: float = 2e-3) -> MilModel:
     """Learn sentence weights from (doc_id, text, label) rows.
 
     prior: share of toxic documents among all labelled ones; the classes of the sample are weighted to it.
@@ -67,24 +95,24 @@ def fit(rows: list[tuple[int, str, int]], prior: float | None = None, min_docs:
     docs = [[_WORD.findall(s) for s in _SENTENCE.findall(t.lower())] or [[]] for _, t, _ in rows]
     seen: dict[str, list[int]] = {}
     for words, label in zip(docs, y):
-        for w in {w for s in words for w in s}:
-            seen.setdefault(w, [0, 0])[int(label)] += 1
+        for f in {f for w in {w for s in words for w in s} for f in features(w)}:
+            seen.setdefault(f, [0, 0])[int(label)] += 1
     n1, n0 = y.sum(), len(y) - y.sum()
-    # Words that differ between the classes by more than chance; the rest would only be fitted noise.
-    vocab = {}
-    for w, (a0, a1) in sorted(seen.items()):
-        if a0 + a1 >= min_docs:
-            p = (a0 + a1) / (n0 + n1)
-            z = (a1 / n1 - a0 / n0) / math.sqrt(max(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-            if z > 4:
-                vocab[w] = len(vocab)
+    # Features of toxic documents by more than chance (a likelihood ratio); the rest would only be fitted noise.
+    vocab: dict[str, int] = {}
+    for f, (a0, a1) in sorted(seen.items()):
+        if a0 + a1 >= min_docs and a1 / n1 > a0 / n0:
+            e1 = (a0 + a1) * n1 / (n0 + n1)
+            if 2 * (a1 * math.log(a1 / e1) + (a0 * math.log(a0 / (a0 + a1 - e1)) if a0 else 0)) > evidence:
+                vocab[f] = len(vocab)
     sent_doc, tok, tok_sent = [], [], []
     for d, sentences in enumerate(docs):
         for s in sentences:
             for w in s:
-                if w in vocab:
-                    tok.append(vocab[w])
-                    tok_sent.append(len(sent_doc))
+                for f in features(w):
+                    if f in vocab:
+                        tok.append(vocab[f])
+                        tok_sent.append(len(sent_doc))
             sent_doc.append(d)
     sent_doc, tok, tok_sent = (np.array(x, dtype=np.int64) for x in (sent_doc, tok, tok_sent))
     weight = np.where(y == 1, share * len(y) / n1, (1 - share) * len(y) / n0) / len(y)
