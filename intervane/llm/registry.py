@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intervane.llm import bestfit_packing, compression_quality, secret_scan, toxicity
+from intervane.llm import bestfit_packing, compression_quality, secret_scan, simhash_dedup, toxicity
 from intervane.llm.common import tables
 
 
@@ -22,6 +22,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "score", "predicted", "n_sentences", "sentences")
 
 
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash_dedup.cluster(tables(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit_packing.pack_documents(tables(spark, sf_dir, "documents"))
 
@@ -36,6 +41,7 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op4_toxicity": op4_toxicity,
+    "op6_simhash_dedup": op6_simhash_dedup,
     "op7_bestfit_packing": op7_bestfit_packing,
     "op10_compression_quality": op10_compression_quality,
 }
