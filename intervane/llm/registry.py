@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intervane.llm import bestfit_packing, compression_quality, secret_scan, simhash_dedup, toxicity
+from intervane.llm import bestfit_packing, compression_quality, secret_scan, simhash_dedup, source_mixing, toxicity
 from intervane.llm.common import tables
 
 
@@ -15,6 +16,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *n, F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = source_mixing.calibrate(tables(spark, sf_dir, "documents"))
+    return out.withColumn("probability", F.round("probability", 9))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels")
     model = toxicity.train(docs, toxicity.learnable(labels))
@@ -40,9 +46,14 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
+    "op3_source_mixing": op3_source_mixing,
     "op4_toxicity": op4_toxicity,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_bestfit_packing": op7_bestfit_packing,
     "op10_compression_quality": op10_compression_quality,
 }
-ORACLES: dict[str, str] = {}
+QUERIES["pipeline"] = corpus_pipeline.run
+
+ORACLES: dict[str, str] = {
+    "op3_source_mixing": f"WITH {source_mixing.sql()} SELECT doc_id, c_source AS source_cell, c_lang AS lang_cell, c_topic AS topic_cell, c_tokens AS n_tokens, round(probability, 9) AS probability, kept FROM mixed",
+}
