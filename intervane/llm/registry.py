@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intervane.llm import bestfit_packing, compression_quality, secret_scan, simhash_dedup, source_mixing, toxicity
+from intervane.llm import bestfit_packing, compression_quality, exact_fingerprint, media_features, secret_scan, simhash_dedup, source_mixing, toxicity
 from intervane.llm.common import tables
 
 
@@ -37,6 +37,14 @@ def op7_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit_packing.pack_documents(tables(spark, sf_dir, "documents"))
 
 
+def op8_media_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features.digests(tables(spark, sf_dir, "documents"))
+
+
+def op9_exact_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_fingerprint.fingerprint(tables(spark, sf_dir, "documents"))
+
+
 def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels")
     model = compression_quality.train(docs, compression_quality.learnable(labels))
@@ -50,6 +58,8 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_bestfit_packing": op7_bestfit_packing,
+    "op8_media_features": op8_media_features,
+    "op9_exact_fingerprint": op9_exact_fingerprint,
     "op10_compression_quality": op10_compression_quality,
 }
 QUERIES["pipeline"] = corpus_pipeline.run
