@@ -9,10 +9,12 @@ patterns, each with fewer than sqrt(2*capacity)+1 different lengths, which bound
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from bisect import bisect_right
 from dataclasses import dataclass
+from itertools import chain
 from unicodedata import is_normalized
 
 import pyarrow as pa
@@ -28,6 +30,8 @@ _CACHE_WORDS = 600_000
 
 
 _PUNCTUATION = b"!#$%&()*+,-./:;<=>?@[]^_|~"
+_MARKS = re.compile(rb"[!-/:-@\[-`{-~]+")
+_TAIL = re.compile(rb"(?<=[A-Za-z0-9])[!#-&(-/:-@\[-_{-~]+(?=[ \t-\r]|$)")
 _KNOWN: dict[str, tuple] = {}
 
 
@@ -51,54 +55,83 @@ class WordIds:
         self.of, self.ends, self.words, self.stems = _KNOWN[path]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        docs = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+        docs = [self.split(t) for t in texts]
         if len(self.words) > _CACHE_WORDS:
             self.words.clear()
         if len(self.stems) > _CACHE_WORDS:
             self.stems.clear()
         known = self.words
-        new = {w for doc in docs for w in doc if w not in known}
+        new = set(chain.from_iterable(docs)).difference(known)
         if new:
             self.learn(new)
         get = known.__getitem__
         return [b"".join(map(get, doc)) for doc in docs]
 
+    @staticmethod
+    def split(text: str) -> list[bytes]:
+        """Parts whose ids, put together, are the text's: between white space, and at marks where no token can cross."""
+        b = text.encode("utf-8", "surrogatepass")
+        if b"<|" in b:
+            return b.split()
+        if text.isascii() and b"'" not in b:
+            return _MARKS.sub(rb" \g<0> ", b.lower()).split()
+        return _TAIL.sub(rb" \g<0>", b).split()
+
     def learn(self, new: set[bytes]) -> None:
-        split, parts = {}, set()
+        words, stems = self.words, self.stems
+        later, letters, rest = [], {}, {}
         for w in new:
             core = w.rstrip(_PUNCTUATION)
-            special = b"<|" in w and b"|>" in w  # may be a special token, which is matched as it stands
-            if special or not core or core == w or not core[-1:].isalnum():
-                core, tail = w, b""
-            else:
-                tail = w[len(core) :]
-            if core.isascii() and not special:
-                core = core.lower()
-            split[w] = core, tail
-            parts.add(core)
-            parts.add(tail)
-        parts = [p for p in parts if p not in self.stems]
-        letters, rest = [], []
-        for p in parts:
-            s = p.decode()
-            (letters if s.isalpha() and (s.isascii() or is_normalized("NFC", s)) else rest).append(s)
-        for at in range(0, len(letters), 1024):
-            some = letters[at : at + 1024]
-            ids = self.of.encode(" ".join(some), add_special_tokens=False).ids
-            cuts = [k + 1 for k, i in enumerate(ids) if i in self.ends]
+            low = core.lower()
+            if not low.isalpha():  # not ASCII letters alone
+                low = self.plain(w, core, low, letters, rest)
+                if low is w:
+                    core = w
+            elif low not in stems:
+                letters[low] = None
+            tail = w[len(core) :]
+            if tail and tail not in stems:
+                rest[tail] = None
+            later.append((w, low, tail))
+        self.encode_letters([p.decode() for p in letters], rest)
+        self.encode_each([p.decode() for p in rest])
+        for w, low, tail in later:
+            words[w] = stems[low] + stems[tail] if tail else stems[low]
+
+    def plain(self, w: bytes, core: bytes, low: bytes, letters: dict, rest: dict) -> bytes:
+        """What to encode of a word that isn't ASCII letters and a tail; w itself if it must not be split."""
+        s = core.decode()
+        if s.isalpha() and is_normalized("NFC", s):
+            if low not in self.stems:
+                letters[low] = None
+            return low
+        special = b"<|" in w and b"|>" in w  # may be a special token, which is matched as it stands
+        if special or not core[-1:].isalnum():
+            low = w
+        elif not core.isascii():
+            low = core
+        if low not in self.stems:
+            rest[low] = None
+        return low
+
+    def encode_letters(self, parts: list[str], rest: dict) -> None:
+        for at in range(0, len(parts), 1024):
+            some = parts[at : at + 1024]
+            ids = self.of.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
+            cuts = [k for k, i in enumerate(ids, 1) if i in self.ends]
             if len(cuts) != len(some):  # lower case has made something else than letters
-                rest += some
+                rest.update((s.encode(), None) for s in some)
                 continue
             raw, begin = array("I", ids).tobytes(), 0
             for s, end in zip(some, cuts):
                 self.stems[s.encode()] = raw[4 * begin : 4 * end]
                 begin = end
-        for at in range(0, len(rest), 1024):
-            some = rest[at : at + 1024]
-            for s, e in zip(some, self.of.encode_batch(some, add_special_tokens=False)):
+
+    def encode_each(self, parts: list[str]) -> None:
+        for at in range(0, len(parts), 1024):
+            some = parts[at : at + 1024]
+            for s, e in zip(some, self.of.encode_batch_fast(some, add_special_tokens=False)):
                 self.stems[s.encode()] = array("I", e.ids).tobytes()
-        for w, (core, tail) in split.items():
-            self.words[w] = self.stems[core] + self.stems[tail]
 
 
 def cut(ids: bytes, doc_id: int | None, capacity: int, end_id: int) -> list[tuple]:
