@@ -6,10 +6,16 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intervane.llm import bestfit_packing, compression_quality, exact_fingerprint, media_features, secret_scan, simhash_dedup, source_mixing, toxicity
+from intervane.llm import bestfit_packing, compression_quality, exact_fingerprint, lm_scoring, media_features, secret_scan, simhash_dedup, source_mixing, toxicity
 from intervane.llm.common import tables
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_scoring.score(tables(spark, sf_dir, "documents"))
+    hits = [F.col("hits")[k].alias(f"n{3 - k}") for k in range(4)]
+    return out.select("doc_id", "n_tokens", F.round("log10_score", 4).alias("log10_score"), F.round("mean_log10", 6).alias("mean_log10"), *hits)
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(tables(spark, sf_dir, "documents"))
     n = [secret_scan.count_of(k).alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS[:3])]
@@ -53,6 +59,7 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_secret_scan": op2_secret_scan,
     "op3_source_mixing": op3_source_mixing,
     "op4_toxicity": op4_toxicity,
@@ -65,5 +72,6 @@ QUERIES = {
 QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES: dict[str, str] = {
+    "op1_lm_scoring": f"WITH {lm_scoring.sql()} SELECT doc_id, n_tokens, round(log10_score, 4) AS log10_score, CASE WHEN n_tokens > 0 THEN round(log10_score / n_tokens, 6) END AS mean_log10, n3, n2, n1, n0 FROM lm_scores",
     "op3_source_mixing": f"WITH {source_mixing.sql()} SELECT doc_id, c_source AS source_cell, c_lang AS lang_cell, c_topic AS topic_cell, c_tokens AS n_tokens, round(probability, 9) AS probability, kept FROM mixed",
 }
