@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intervane.llm import bestfit_packing, compression_quality, exact_fingerprint, lm_scoring, media_features, secret_scan, simhash_dedup, source_mixing, toxicity
+from intervane.llm import bestfit_packing, compression_quality, exact_fingerprint, lm_scoring, media_features, secret_scan, simhash_dedup, source_mixing, suffix_dedup, toxicity
 from intervane.llm.common import tables
 
 
@@ -34,6 +34,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "score", "predicted", "n_sentences", "sentences")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(tables(spark, sf_dir, "documents"))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_dedup.cluster(tables(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -63,6 +67,7 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_source_mixing": op3_source_mixing,
     "op4_toxicity": op4_toxicity,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_bestfit_packing": op7_bestfit_packing,
     "op8_media_features": op8_media_features,
