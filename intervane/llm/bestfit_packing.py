@@ -26,7 +26,7 @@ from intervane.llm.common import docs_of, from_rows, save, slices
 WORD_BPE = "/opt/tokenizers/word_bpe_49k.json"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-_CACHE_WORDS = 600_000
+_CACHE_WORDS = 900_000
 
 
 _PUNCTUATION = b"!#$%&()*+,-./:;<=>?@[]^_|~"
@@ -47,12 +47,15 @@ class WordIds:
     def __init__(self, path: str):
         if path not in _KNOWN:
             os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-            from tokenizers import Tokenizer
+            from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-            of = Tokenizer.from_file(path)
+            of, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+            # For words of small letters in normal form the tokenizer's normaliser does nothing, and its pattern cuts at spaces alone.
+            plain.normalizer = normalizers.Sequence([])
+            plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             ends = {i for token, i in of.get_vocab().items() if token.endswith("</w>")}
-            _KNOWN[path] = (of, ends, {}, {})
-        self.of, self.ends, self.words, self.stems = _KNOWN[path]
+            _KNOWN[path] = (of, plain, ends, {}, {})
+        self.of, self.plain_of, self.ends, self.words, self.stems = _KNOWN[path]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         docs = [self.split(t) for t in texts]
@@ -101,7 +104,7 @@ class WordIds:
     def plain(self, w: bytes, core: bytes, low: bytes, letters: dict, rest: dict) -> bytes:
         """What to encode of a word that isn't ASCII letters and a tail; w itself if it must not be split."""
         s = core.decode()
-        if s.isalpha() and is_normalized("NFC", s):
+        if s.isalpha() and s == s.lower() and is_normalized("NFC", s):
             if low not in self.stems:
                 letters[low] = None
             return low
@@ -117,9 +120,9 @@ class WordIds:
     def encode_letters(self, parts: list[str], rest: dict) -> None:
         for at in range(0, len(parts), 1024):
             some = parts[at : at + 1024]
-            ids = self.of.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
+            ids = self.plain_of.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
             cuts = [k for k, i in enumerate(ids, 1) if i in self.ends]
-            if len(cuts) != len(some):  # lower case has made something else than letters
+            if len(cuts) != len(some):
                 rest.update((s.encode(), None) for s in some)
                 continue
             raw, begin = array("I", ids).tobytes(), 0
