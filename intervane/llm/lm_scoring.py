@@ -15,6 +15,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _PIECE = 1 << 20
 _powers: list[np.ndarray] = []
+_SQUEEZE, _OPEN = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -86,30 +88,31 @@ def _grams(texts: list[bytes], order: int) -> tuple[list[np.ndarray], list[np.nd
 
 
 def _small(n: np.ndarray) -> bytes:
-    """Numbers as bytes, those from 255 on after them in full."""
-    return np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype(np.int64).tobytes()
+    """Numbers as bytes, those from 255 on after them in full; most are one, so they are compressed."""
+    return _SQUEEZE.compress(np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype(np.int64).tobytes())
 
 
 def _unsmall(raw: bytes, size: int) -> np.ndarray:
+    raw = _OPEN.decompress(raw)
     out = np.frombuffer(raw, np.uint8, size).astype(np.int64)
     out[out == 255] = np.frombuffer(raw, np.int64, offset=size)
     return out
 
 
 def _front(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences of five bytes, or of eight if one needs them."""
+    """Sorted keys as differences: four low bytes each, which are noise, then the high bytes, which are small and compressed."""
     d = np.diff(keys, prepend=_U(0)).astype("<u8")
-    wide = 8 if len(d) > 1 and int(d[1:].max()) >> 40 else 5
-    first, rest = d[:1].tobytes(), np.ascontiguousarray(d[1:].view(np.uint8).reshape(-1, 8)[:, :wide]).tobytes()
-    return bytes([wide]) + first + rest
+    parts = d[1:].view(np.uint8).reshape(-1, 8)
+    high = _SQUEEZE.compress(np.ascontiguousarray(parts[:, 4:].T).tobytes())
+    return len(parts).to_bytes(8, "little") + d[:1].tobytes() + np.ascontiguousarray(parts[:, :4]).tobytes() + high
 
 
 def _unfront(raw: bytes) -> np.ndarray:
-    wide = raw[0]
-    rest = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, wide)
-    d = np.zeros((len(rest) + 1, 8), np.uint8)
-    d[0] = np.frombuffer(raw, np.uint8, 8, 1)
-    d[1:, :wide] = rest
+    n = int.from_bytes(raw[:8], "little")
+    d = np.zeros((n + 1, 8), np.uint8)
+    d[0] = np.frombuffer(raw, np.uint8, 8, 8)
+    d[1:, :4] = np.frombuffer(raw, np.uint8, 4 * n, 16).reshape(n, 4)
+    d[1:, 4:] = np.frombuffer(_OPEN.decompress(raw[16 + 4 * n :]), np.uint8).reshape(4, n).T
     return np.cumsum(d.view("<u8").ravel(), dtype=np.uint64)
 
 
