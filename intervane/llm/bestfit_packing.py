@@ -26,7 +26,7 @@ from intervane.llm.common import docs_of, from_rows, save, slices
 WORD_BPE = "/opt/tokenizers/word_bpe_49k.json"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-_CACHE_WORDS = 900_000
+_CACHE_WORDS = 600_000
 
 
 _PUNCTUATION = b"!#$%&()*+,-./:;<=>?@[]^_|~"
@@ -40,8 +40,8 @@ class WordIds:
 
     The tokenizer drops white space and never joins across it, so ids are found once for each word between ASCII white
     space. A word that ends in a letter or digit and then punctuation splits there too. Words of letters alone are encoded
-    many at a time: each gives tokens up to the next that ends a word. The stores of a worker last from task to task and
-    are emptied when full.
+    many at a time: each gives tokens up to the next that ends a word. The store of a worker lasts from task to task and is
+    emptied when full.
     """
 
     def __init__(self, path: str):
@@ -54,16 +54,14 @@ class WordIds:
             plain.normalizer = normalizers.Sequence([])
             plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             ends = {i for token, i in of.get_vocab().items() if token.endswith("</w>")}
-            _KNOWN[path] = (of, plain, ends, {}, {})
-        self.of, self.plain_of, self.ends, self.words, self.stems = _KNOWN[path]
+            _KNOWN[path] = (of, plain, ends, {})
+        self.of, self.plain_of, self.ends, self.known = _KNOWN[path]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         docs = [self.split(t) for t in texts]
-        if len(self.words) > _CACHE_WORDS:
-            self.words.clear()
-        if len(self.stems) > _CACHE_WORDS:
-            self.stems.clear()
-        known = self.words
+        if len(self.known) > _CACHE_WORDS:
+            self.known.clear()
+        known = self.known
         new = set(chain.from_iterable(docs)).difference(known)
         if new:
             self.learn(new)
@@ -81,7 +79,7 @@ class WordIds:
         return _TAIL.sub(rb" \g<0>", b).split()
 
     def learn(self, new: set[bytes]) -> None:
-        words, stems = self.words, self.stems
+        stems = self.known
         later, letters, rest = [], {}, {}
         for w in new:
             core = w.rstrip(_PUNCTUATION)
@@ -95,17 +93,18 @@ class WordIds:
             tail = w[len(core) :]
             if tail and tail not in stems:
                 rest[tail] = None
-            later.append((w, low, tail))
+            if tail or low != w:
+                later.append((w, low, tail))
         self.encode_letters([p.decode() for p in letters], rest)
         self.encode_each([p.decode() for p in rest])
         for w, low, tail in later:
-            words[w] = stems[low] + stems[tail] if tail else stems[low]
+            stems[w] = stems[low] + stems[tail] if tail else stems[low]
 
     def plain(self, w: bytes, core: bytes, low: bytes, letters: dict, rest: dict) -> bytes:
         """What to encode of a word that isn't ASCII letters and a tail; w itself if it must not be split."""
         s = core.decode()
         if s.isalpha() and s == s.lower() and is_normalized("NFC", s):
-            if low not in self.stems:
+            if low not in self.known:
                 letters[low] = None
             return low
         special = b"<|" in w and b"|>" in w  # may be a special token, which is matched as it stands
@@ -113,7 +112,7 @@ class WordIds:
             low = w
         elif not core.isascii():
             low = core
-        if low not in self.stems:
+        if low not in self.known:
             rest[low] = None
         return low
 
@@ -127,14 +126,14 @@ class WordIds:
                 continue
             raw, begin = array("I", ids).tobytes(), 0
             for s, end in zip(some, cuts):
-                self.stems[s.encode()] = raw[4 * begin : 4 * end]
+                self.known[s.encode()] = raw[4 * begin : 4 * end]
                 begin = end
 
     def encode_each(self, parts: list[str]) -> None:
         for at in range(0, len(parts), 1024):
             some = parts[at : at + 1024]
             for s, e in zip(some, self.of.encode_batch_fast(some, add_special_tokens=False)):
-                self.stems[s.encode()] = array("I", e.ids).tobytes()
+                self.known[s.encode()] = array("I", e.ids).tobytes()
 
 
 def cut(ids: bytes, doc_id: int | None, capacity: int, end_id: int) -> list[tuple]:

@@ -92,10 +92,16 @@ def fit(rows: list[tuple[int, str, int]], prior: float | None = None, min_docs:
     share = float(np.clip(prior if prior is not None else (y.mean() if len(y) else 0.1), 1e-4, 1 - 1e-4))
     if not len(y) or y.min() == y.max():
         return MilModel({}, math.log(share / (1 - share)))
-    docs = [[_WORD.findall(s) for s in _SENTENCE.findall(t.lower())] or [[]] for _, t, _ in rows]
+    # Words as numbers from here on: strings of a sample of many megabytes would be most of the driver's memory.
+    number: dict[str, int] = {}
+    docs = []
+    for _, t, _ in rows:
+        found = _SENTENCE.findall(t.lower()) or [""]
+        docs.append([np.array([number.setdefault(w, len(number)) for w in _WORD.findall(s)], dtype=np.int32) for s in found])
+    names = list(number)
     seen: dict[str, list[int]] = {}
-    for words, label in zip(docs, y):
-        for f in {f for w in {w for s in words for w in s} for f in features(w)}:
+    for sentences, label in zip(docs, y):
+        for f in {f for w in np.unique(np.concatenate(sentences)) for f in features(names[w])}:
             seen.setdefault(f, [0, 0])[int(label)] += 1
     n1, n0 = y.sum(), len(y) - y.sum()
     # Features of toxic documents by more than chance (a likelihood ratio); the rest would only be fitted noise.
@@ -105,16 +111,18 @@ def fit(rows: list[tuple[int, str, int]], prior: float | None = None, min_docs:
             e1 = (a0 + a1) * n1 / (n0 + n1)
             if 2 * (a1 * math.log(a1 / e1) + (a0 * math.log(a0 / (a0 + a1 - e1)) if a0 else 0)) > evidence:
                 vocab[f] = len(vocab)
-    sent_doc, tok, tok_sent = [], [], []
-    for d, sentences in enumerate(docs):
-        for s in sentences:
-            for w in s:
-                for f in features(w):
-                    if f in vocab:
-                        tok.append(vocab[f])
-                        tok_sent.append(len(sent_doc))
-            sent_doc.append(d)
-    sent_doc, tok, tok_sent = (np.array(x, dtype=np.int64) for x in (sent_doc, tok, tok_sent))
+    of_word = [np.array([vocab[f] for f in features(w) if f in vocab], dtype=np.int64) for w in names]
+    hit = np.array([len(x) > 0 for x in of_word], dtype=bool)
+    sent_doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    toks, places, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for sentences in docs:
+        for words in sentences:
+            for w in words[hit[words]] if len(words) else ():
+                toks.append(of_word[w])
+                places.append(np.full(len(of_word[w]), at))
+            at += 1
+    tok, tok_sent = np.concatenate(toks), np.concatenate(places)
+    del docs, number, seen
     weight = np.where(y == 1, share * len(y) / n1, (1 - share) * len(y) / n0) / len(y)
     x = np.concatenate([np.zeros(len(vocab)), [-6.0]])
     m, v = np.zeros_like(x), np.zeros_like(x)
