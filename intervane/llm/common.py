@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -43,6 +44,36 @@ def slices(batch: pa.RecordBatch, rows: int = 256):
         yield batch.slice(at, rows)
 
 
+def release() -> None:
+    """Give free memory back to the system: a Python worker lives on from task to task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def releasing(f):
+    """f of one table, with release() after it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = f(table)
+        release()
+        return out
+
+    return run
+
+
+def releasing_pair(f):
+    """f of two tables, with release() after it."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = f(left, right)
+        release()
+        return out
+
+    return run
+
+
 def from_rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows)) if rows else [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intervane.llm.common import docs_of
+from intervane.llm.common import docs_of, releasing, releasing_pair
 
 _U = np.uint64
 KEY_BITS = 56
@@ -30,7 +30,7 @@ _LETTERS = np.random.Generator(np.random.PCG64(20240101)).integers(1, 1 << 63, 2
 _LETTERS[65:91] = _LETTERS[97:123]  # A-Z are a-z
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _powers: list[np.ndarray] = []
 _SQUEEZE, _OPEN = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
@@ -160,9 +160,9 @@ def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, chunk_bytes: int
     def score_chunk(table: pa.Table, answers: pa.Table) -> pa.Table:
         return _score(table, answers, order, alpha, n_all)
 
-    counted = d.groupBy("chunk").applyInArrow(blocks, "bucket long, chunk long, n long, keys binary, counts binary")
-    totals = counted.groupBy("bucket").applyInArrow(add_up, "chunk long, bucket long, n long, totals binary")
-    return d.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(score_chunk, "doc_id long, n_tokens long, log10_score double, mean_log10 double, hits array<long>")
+    counted = d.groupBy("chunk").applyInArrow(releasing(blocks), "bucket long, chunk long, n long, keys binary, counts binary")
+    totals = counted.groupBy("bucket").applyInArrow(releasing(add_up), "chunk long, bucket long, n long, totals binary")
+    return d.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(releasing_pair(score_chunk), "doc_id long, n_tokens long, log10_score double, mean_log10 double, hits array<long>")
 
 
 def _score(table: pa.Table, answers: pa.Table, order: int, alpha: float, n_all: int) -> pa.Table:

@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intervane.llm.common import docs_of
+from intervane.llm.common import docs_of, releasing, releasing_pair
 from intervane.llm.lm_scoring import _LETTERS, _front, _mix, _power, _unfront
 
 _U = np.uint64
 GRAM = 24
 _LETTERS_ALL = _LETTERS.copy()
 _LETTERS_ALL[65:91] = _mix(_LETTERS[65:91]) | _U(1)  # capitals differ here
-_STEP = 1 << 20
+_STEP = 1 << 18
 _KEY_BITS = 56
 _NULL_ID = -(1 << 63)
 
@@ -337,10 +337,10 @@ def _plan(docs: DataFrame, span: int, chunk_bytes: int, emit, schema: str) -> Da
         return emit(of, np.cumsum(gone)[: len(of.bytes)] > 0)
 
     answers = "chunk long, kind long, bucket long, n long, marks binary"
-    known = d.groupBy("chunk").applyInArrow(grams, "bucket long, chunk long, n long, keys binary, several binary").groupBy("bucket").applyInArrow(shared_grams, answers)
-    sent = d.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(runs, "bucket long, chunk long, n long, run binary, docs binary")
-    merged = sent.groupBy("bucket").applyInArrow(merge, answers)
-    return d.groupBy("chunk").cogroup(known.union(merged).groupBy("chunk")).applyInArrow(cut, schema)
+    known = d.groupBy("chunk").applyInArrow(releasing(grams), "bucket long, chunk long, n long, keys binary, several binary").groupBy("bucket").applyInArrow(releasing(shared_grams), answers)
+    sent = d.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(releasing_pair(runs), "bucket long, chunk long, n long, run binary, docs binary")
+    merged = sent.groupBy("bucket").applyInArrow(releasing(merge), answers)
+    return d.groupBy("chunk").cogroup(known.union(merged).groupBy("chunk")).applyInArrow(releasing_pair(cut), schema)
 
 
 def _rows(of: _Chunk | None, gone: np.ndarray | None, full: bool) -> pa.Table:
@@ -361,7 +361,7 @@ def _rows(of: _Chunk | None, gone: np.ndarray | None, full: bool) -> pa.Table:
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def removed(docs: DataFrame, span: int = 50, chunk_bytes: int = 8 << 20) -> DataFrame:
+def removed(docs: DataFrame, span: int = 50, chunk_bytes: int = 6 << 20) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of docs.
 
     Null and empty texts have no bytes. Rows without doc_id count as before all others, and rows that share a doc_id do not
@@ -370,6 +370,6 @@ def removed(docs: DataFrame, span: int = 50, chunk_bytes: int = 8 << 20) -> Data
     return _plan(docs, span, chunk_bytes, lambda of, gone: _rows(of, gone, False), RESULT)
 
 
-def deduplicate(docs: DataFrame, span: int = 50, chunk_bytes: int = 8 << 20) -> DataFrame:
+def deduplicate(docs: DataFrame, span: int = 50, chunk_bytes: int = 6 << 20) -> DataFrame:
     """As removed(), with the remaining bytes (kept; a cut may fall within a UTF-8 character) and the removed byte spans."""
     return _plan(docs, span, chunk_bytes, lambda of, gone: _rows(of, gone, True), RESULT + ", kept binary, spans array<struct<start:long,stop:long>>")
