@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from intervane.functions.rounding import bind
+
 # Extensions.
 SUBTITLES = ("ass", "ssa", "srt")
 ARCHIVES, CLOSED_ARCHIVES = ("zip",), ("rar", "7z")
@@ -90,10 +92,14 @@ def release(name: Column) -> Column:
     a bracketed number of at most three digits.
     """
     base = F.regexp_replace(name, r"\.[A-Za-z0-9]{2,4}$", "")
+    return bind(base, lambda b: _release(name, b))
+
+
+def _release(name: Column, base: Column) -> Column:
     lead, tail = F.regexp_extract(base, r"^\s*\[([^\]]+)\]", 1), F.regexp_extract(base, r"-([A-Za-z0-9]+)$", 1)
     group = F.coalesce(_some(lead), F.when(~tail.rlike(r"^\d+$"), _some(tail)))
     checksum = _some(F.upper(F.regexp_extract(name, r"[\[(]([0-9A-Fa-f]{8})[\])]", 1)))
-    group = F.when(~F.lower(F.trim(group)).isin(*NO_GROUPS) & ~group.rlike(r"^[0-9A-Fa-f]{8}$"), group)
+    group = bind(group, lambda g: F.when(~F.lower(F.trim(g)).isin(*NO_GROUPS) & ~g.rlike(r"^[0-9A-Fa-f]{8}$"), g))
     tries = [r"[Ss]\d{1,2}\s?[Ee](\d{1,4})(?![\d.]*\.\d(?!\d))", r"(?<![A-Za-z])[Ee][Pp]?\.?\s?(\d{1,4})(?![\d])", r"\s[-–]\s#?(\d{1,4})(?:v\d)?(?=$|[\s\[(._])", r"#(\d{1,4})(?!\d)", r"\[(\d{1,3})(?:v\d)?\]"]
     fraction = base.rlike(FRACTIONAL)
     episode = F.coalesce(*[_some(F.regexp_extract(base, p, 1)) for p in tries]).try_cast("int")
@@ -117,10 +123,14 @@ def match(video: Column, subtitle: Column, expected: Column, alternate: Column |
     An alternate number keeps a file from being ruled out but earns no points.
     """
     alternate = alternate if alternate is not None else F.lit(None).cast("int")
+    families = F.struct(video.alias("v"), subtitle.alias("s"), source_family(video["source"]).alias("vf"), source_family(subtitle["source"]).alias("sf"))
+    return bind(families, lambda p: _match(p["v"], p["s"], p["vf"], p["sf"], expected, alternate))
+
+
+def _match(video: Column, subtitle: Column, va: Column, sa: Column, expected: Column, alternate: Column) -> Column:
     exact = F.coalesce(_same(video["checksum"], subtitle["checksum"]), F.lit(False))
     ep = subtitle["episode"]
     wrong = ep.isNotNull() & (expected.isNotNull() | alternate.isNotNull()) & ~F.coalesce(ep == expected, F.lit(False)) & ~F.coalesce(ep == alternate, F.lit(False))
-    va, sa = source_family(video["source"]), source_family(subtitle["source"])
     known = va.isNotNull() & sa.isNotNull()
     same_source = known & _same(va, sa)
     add = lambda cond, what: F.when(cond, POINTS[what]).otherwise(0)

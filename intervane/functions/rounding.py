@@ -17,3 +17,8 @@ def half_even_2(x: Column) -> Column:
 
 def half_away(x: Column) -> Column:
     return F.signum(x) * F.floor(F.abs(x) + F.lit(0.5))
+
+
+def bind(value: Column, then) -> Column:
+    """then(value) with value computed once: it is held by a lambda variable, where a plain expression would be copied to each use."""
+    return F.element_at(F.transform(F.array(value), then), 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from intervane.functions.rounding import half_away
+from intervane.functions.rounding import bind, half_away
 
 _TIME = r"^\s*([+-]?\d+):([+-]?\d+):\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*$"
 
@@ -20,7 +20,11 @@ def parse_time(text: Column) -> Column:
 def format_time(seconds: Column, kind: str) -> Column:
     """kind "srt": hh:mm:ss,mmm; else h:mm:ss.cc. Negative times are zero; halves round away from zero."""
     unit = 1000 if kind == "srt" else 100
-    n = half_away(F.greatest(seconds, F.lit(0.0)) * float(unit)).cast("long")
+    n = F.floor(F.greatest(seconds, F.lit(0.0)) * float(unit) + 0.5).cast("long")
+    return bind(n, lambda k: _format(k, kind, unit))
+
+
+def _format(n: Column, kind: str, unit: int) -> Column:
     whole = F.floor(n / unit).cast("long")
     h, m, s = F.floor(whole / 3600).cast("long"), F.floor(whole / 60).cast("long") % 60, whole % 60
     two = lambda x: F.lpad(x.cast("string"), 2, "0")

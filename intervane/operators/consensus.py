@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from intervane import config as C
 from intervane.operators import correlate as X
 from intervane.operators import intervals as I
+from intervane.tables import save
 
 # Marks of annotation tracks; text codecs.
 ANNOTATIONS = ("sign", "song", "s&s", "lyric", "karaoke", "credit", "commentary", "forced")
@@ -59,9 +60,9 @@ def agreement(cues: DataFrame, key: str, track: str, tolerance: float = AGREEMEN
 
 
 def reference(cues: DataFrame, key: str, track: str, runtime=None) -> DataFrame:
-    """Agreement among the tracks that pass the quality gates, after dedup."""
+    """Agreement among the tracks that pass the quality gates, after dedup. These tracks are read many times and so written first."""
     ok = I.quality_gates(cues, [key, track], runtime).where("gate = 'ok'").select(key, track)
-    return agreement(I.dedup(cues.join(ok, [key, track], "left_semi"), [key, track]), key, track)
+    return agreement(save(I.dedup(cues.join(ok, [key, track], "left_semi"), [key, track]), "reference-tracks"), key, track)
 
 
 def first_of(preferred: DataFrame, fallback: DataFrame, key: str) -> DataFrame:

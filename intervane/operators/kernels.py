@@ -55,18 +55,38 @@ def phi(overlap: float, a: float, b: float, n: float) -> float:
     return (overlap - a * b / n) / math.sqrt(spread) if spread > 0 else 0.0
 
 
+#: Products of edges up to which the lags are counted edge by edge; beyond, a transform is cheaper.
+_EDGE_PRODUCTS = 4_000_000
+
+
+def _edges(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    step = np.diff(np.concatenate([[False], x, [False]]).astype(np.int8))
+    at = np.nonzero(step)[0]
+    return at, step[at].astype(np.int64)
+
+
+def overlaps(ref: np.ndarray, probe: np.ndarray, limit: int) -> np.ndarray:
+    """Exact overlap at each lag of the probe in [-limit, limit]."""
+    (xa, wa), (xb, wb) = _edges(ref), _edges(probe)
+    if len(xa) * len(xb) <= _EDGE_PRODUCTS:
+        lag, w = (xa[:, None] - xb[None, :]).ravel(), -(wa[:, None] * wb[None, :]).ravel()
+        w, lag = w[lag <= limit], lag[lag <= limit]
+        low = lag < -limit
+        slope = np.cumsum(np.bincount(np.maximum(lag, -limit) + limit, w, 2 * limit + 1))
+        start = float((w[low] * (-limit - lag[low])).sum())
+        return np.rint(start + np.concatenate([[0.0], np.cumsum(slope[:-1])])).astype(np.int64)
+    n = 1 << (max(len(ref), len(probe)) + limit).bit_length()
+    wave = np.fft.irfft(np.fft.rfft(ref.astype(float), n) * np.conj(np.fft.rfft(probe.astype(float), n)), n)
+    return np.rint(wave[np.arange(-limit, limit + 1) % n]).astype(np.int64)
+
+
 def correlate(ref: np.ndarray, probe: np.ndarray, max_lag: int, guard: int) -> tuple[int, int, float, float]:
     """(lag, overlap, correlation, ratio to the second peak): integer overlaps, ties to the most negative lag."""
-    n = 1 << (len(ref) + max(len(probe), 1)).bit_length()
-    wave = np.fft.irfft(np.fft.rfft(ref.astype(float), n) * np.conj(np.fft.rfft(probe.astype(float), n)), n)
-    limit = min(max_lag, n // 2 - 1)
-    lags = np.arange(-limit, limit + 1)
-    v = np.rint(wave[lags % n]).astype(np.int64)
+    v, lags = overlaps(ref, probe, max_lag), np.arange(-max_lag, max_lag + 1)
     k = int(np.argmax(v))
     if v[k] <= 0:
         return 0, 0, 0.0, 0.0
-    away = np.abs(lags - lags[k]) > guard
-    second = int(v[away].max(initial=0))
+    second = int(v[np.abs(lags - lags[k]) > guard].max(initial=0))
     return int(lags[k]), int(v[k]), phi(v[k], int(ref.sum()), int(probe.sum()), max(len(ref), len(probe))), (v[k] / second if second > 0 else C.NO_SECOND_PEAK)
 
 

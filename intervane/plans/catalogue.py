@@ -1,6 +1,7 @@
-"""Registered queries and their SQL, by name."""
+"""All registered queries and their SQL, by name."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from intervane.plans import matching, past, registry, signals, sync  # noqa: F401  registers their queries
+
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES

@@ -1 +1 @@
-
+"""Live forms of the ordered folds, on keyed state."""
