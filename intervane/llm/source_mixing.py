@@ -59,7 +59,9 @@ def with_cells(docs: DataFrame, targets: Targets) -> DataFrame:
 
 
 def rake(cells: dict[tuple, float], targets: Targets) -> dict[tuple, float]:
-    """Raked weights of the cells, {(source, lang, topic): tokens} with the same total: every axis in turn, targets.rounds times."""
+    """Raked weights of the cells, {(source, lang, topic): tokens} with the same total: every axis in turn, targets.rounds times. No cells give none."""
+    if not cells:
+        return {}
     total = float(sum(cells.values()))
     weights = {k: float(v) for k, v in sorted(cells.items())}
     for _ in range(targets.rounds):
