@@ -165,5 +165,6 @@ def _joined(rows: Column, end: Column) -> Column:
 
 def read_stamp(content: Column, mark: str = "; intervane:") -> Column:
     """The note of the first stamp within the first 40 lines, NULL if there is none."""
-    found = F.filter(F.slice(F.split(content, "\n"), 1, 40), lambda r: F.trim(r).startswith(mark))
-    return F.when(F.size(found) > 0, F.trim(F.substring(F.trim(F.try_element_at(found, F.lit(1))), len(mark) + 1, 1 << 20)))
+    bare = lambda r: F.regexp_replace(r, r"^\s+|\s+$", "")
+    found = F.filter(F.transform(F.slice(F.split(content, "\n"), 1, 40), bare), lambda r: r.startswith(mark))
+    return F.when(F.size(found) > 0, bare(F.substring(F.try_element_at(found, F.lit(1)), len(mark) + 1, 1 << 20)))
