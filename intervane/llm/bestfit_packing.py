@@ -26,7 +26,7 @@ from intervane.llm.common import docs_of, from_rows, save, slices
 WORD_BPE = "/opt/tokenizers/word_bpe_49k.json"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-_CACHE_WORDS = 600_000
+_CACHE_WORDS = 1_000_000
 
 
 _PUNCTUATION = b"!#$%&()*+,-./:;<=>?@[]^_|~"
