@@ -8,6 +8,7 @@ patterns, each with fewer than sqrt(2*capacity)+1 different lengths, which bound
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -47,13 +48,16 @@ class WordIds:
     def __init__(self, path: str):
         if path not in _KNOWN:
             os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-            from tokenizers import Tokenizer, normalizers, pre_tokenizers
+            from tokenizers import Tokenizer, models, pre_tokenizers
 
-            of, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+            of = Tokenizer.from_file(path)
+            with open(path, encoding="utf-8") as f:
+                spec = json.load(f)["model"]
+            merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["merges"]]
             # For words of small letters in normal form the tokenizer's normaliser does nothing, and its pattern cuts at spaces alone.
-            plain.normalizer = normalizers.Sequence([])
+            plain = Tokenizer(models.BPE(vocab=spec["vocab"], merges=merges, cache_capacity=0, end_of_word_suffix=spec["end_of_word_suffix"]))
             plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-            ends = {i for token, i in of.get_vocab().items() if token.endswith("</w>")}
+            ends = {i for token, i in spec["vocab"].items() if token.endswith(spec["end_of_word_suffix"])}
             _KNOWN[path] = (of, plain, ends, {})
         self.of, self.plain_of, self.ends, self.known = _KNOWN[path]
 
@@ -82,6 +86,9 @@ class WordIds:
         stems = self.known
         later, letters, rest = [], {}, {}
         for w in new:
+            if w.isalpha() and w.islower():
+                letters[w] = None
+                continue
             core = w.rstrip(_PUNCTUATION)
             low = core.lower()
             if not low.isalpha():  # not ASCII letters alone
@@ -95,7 +102,7 @@ class WordIds:
                 rest[tail] = None
             if tail or low != w:
                 later.append((w, low, tail))
-        self.encode_letters([p.decode() for p in letters], rest)
+        self.encode_letters(list(letters), rest)
         self.encode_each([p.decode() for p in rest])
         for w, low, tail in later:
             stems[w] = stems[low] + stems[tail] if tail else stems[low]
@@ -116,17 +123,18 @@ class WordIds:
             rest[low] = None
         return low
 
-    def encode_letters(self, parts: list[str], rest: dict) -> None:
+    def encode_letters(self, parts: list[bytes], rest: dict) -> None:
+        known, ends = self.known, self.ends
         for at in range(0, len(parts), 1024):
             some = parts[at : at + 1024]
-            ids = self.plain_of.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
-            cuts = [k for k, i in enumerate(ids, 1) if i in self.ends]
+            ids = self.plain_of.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids
+            cuts = [4 * k for k, i in enumerate(ids, 1) if i in ends]
             if len(cuts) != len(some):
-                rest.update((s.encode(), None) for s in some)
+                rest.update(dict.fromkeys(some))
                 continue
             raw, begin = array("I", ids).tobytes(), 0
-            for s, end in zip(some, cuts):
-                self.known[s.encode()] = raw[4 * begin : 4 * end]
+            for w, end in zip(some, cuts):
+                known[w] = raw[begin:end]
                 begin = end
 
     def encode_each(self, parts: list[str]) -> None:
