@@ -176,10 +176,10 @@ def redact(docs: DataFrame, alpha: float = 0.01, mark: str = "[SECRET]") -> Data
     limits = spans_of_thresholds(thresholds(save(findings(docs), "secrets"), alpha))
     text = F.coalesce(F.col("text"), F.lit(""))
     cut = let(limits(text), lambda s: F.when(F.size(s) > 0, _replace(text, s, mark)))
-    out = docs.withColumn("_cut", cut)
-    out = out.withColumn("text", F.coalesce("_cut", "text"))
+    out = docs.withColumn("__scan_cut", cut)
+    out = out.withColumn("text", F.coalesce("__scan_cut", "text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_cut").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("__scan_cut").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

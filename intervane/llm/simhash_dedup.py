@@ -183,7 +183,7 @@ def keep_one(docs: DataFrame, radius: int = 3, words: int = 3, seed: int = 42) -
     Components without any doc_id cannot be named and stay whole.
     """
     of = cluster(docs, radius, words, seed)
-    kept = of.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
-    once = named.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(F.coalesce("text", F.lit("")))))).where("_n = 1").drop("_n")
+    kept = of.where("doc_id = component_id").select(F.col("doc_id").alias("__dedup_kept")).distinct()
+    named = docs.join(kept, docs["doc_id"] == kept["__dedup_kept"], "left_semi")
+    once = named.withColumn("__dedup_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(F.coalesce("text", F.lit("")))))).where("__dedup_n = 1").drop("__dedup_n")
     return once.unionByName(docs.where("doc_id is null"))

@@ -53,9 +53,9 @@ def _known(value: Column, values: dict[str, float]) -> Column:
 
 
 def with_cells(docs: DataFrame, targets: Targets) -> DataFrame:
-    """docs with _source, _lang, _topic (values without target and nulls: other) and _tokens."""
+    """docs with __mix_source, __mix_lang, __mix_topic (values without target and nulls: other) and __mix_tokens."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"_source": _known(F.col("source"), targets.source), "_lang": _known(F.col("lang"), targets.lang), "_topic": _known(topic(text), targets.topic), "_tokens": tokens(text)})
+    return docs.withColumns({"__mix_source": _known(F.col("source"), targets.source), "__mix_lang": _known(F.col("lang"), targets.lang), "__mix_topic": _known(topic(text), targets.topic), "__mix_tokens": tokens(text)})
 
 
 def rake(cells: dict[tuple, float], targets: Targets) -> dict[tuple, float]:
@@ -102,21 +102,21 @@ def uniform(doc_id: Column, seed: int) -> Column:
 
 def _with_probability(docs: DataFrame, targets: Targets) -> DataFrame:
     of = with_cells(docs, targets)
-    counted = of.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("n")).collect()  # bounded by the targets
+    counted = of.groupBy("__mix_source", "__mix_lang", "__mix_topic").agg(F.sum("__mix_tokens").alias("n")).collect()  # bounded by the targets
     p = probabilities({(r[0], r[1], r[2]): r.n for r in counted}, targets)
-    table = docs.sparkSession.createDataFrame([(*k, v) for k, v in sorted(p.items())], "_source string, _lang string, _topic string, _p double")
-    return of.join(F.broadcast(table), ["_source", "_lang", "_topic"], "left").withColumn("_kept", uniform(F.col("doc_id"), targets.seed) < F.col("_p"))
+    table = docs.sparkSession.createDataFrame([(*k, v) for k, v in sorted(p.items())], "__mix_source string, __mix_lang string, __mix_topic string, __mix_p double")
+    return of.join(F.broadcast(table), ["__mix_source", "__mix_lang", "__mix_topic"], "left").withColumn("__mix_kept", uniform(F.col("doc_id"), targets.seed) < F.col("__mix_p"))
 
 
 def calibrate(docs: DataFrame, targets: Targets | None = None) -> DataFrame:
     """(doc_id, source_cell, lang_cell, topic_cell, n_tokens, probability, kept) for every row; an empty table gives no rows. Rows that share a doc_id share their number."""
     out = _with_probability(docs.select("doc_id", "text", "source", "lang"), targets or Targets())
-    return out.select("doc_id", F.col("_source").alias("source_cell"), F.col("_lang").alias("lang_cell"), F.col("_topic").alias("topic_cell"), F.col("_tokens").alias("n_tokens"), F.col("_p").alias("probability"), F.col("_kept").alias("kept"))
+    return out.select("doc_id", F.col("__mix_source").alias("source_cell"), F.col("__mix_lang").alias("lang_cell"), F.col("__mix_topic").alias("topic_cell"), F.col("__mix_tokens").alias("n_tokens"), F.col("__mix_p").alias("probability"), F.col("__mix_kept").alias("kept"))
 
 
 def mix(docs: DataFrame, targets: Targets | None = None) -> DataFrame:
     """The sampled rows of docs, with its columns."""
-    return _with_probability(docs, targets or Targets()).where("_kept").select(*docs.columns)
+    return _with_probability(docs, targets or Targets()).where("__mix_kept").select(*docs.columns)
 
 
 def sql(docs: str = "documents", targets: Targets | None = None) -> str:
