@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,22 +88,28 @@ def admit(requests: DataFrame, key: str, permits: int = 25, window_ms: int = 60_
     """When each request (key, seq, at_ms) passes a sliding-window limit, served in order: (key, seq, at_ms, admitted_ms).
 
     A request passes at once if fewer than permits passed in the window before it; else a window and a grace after the one
-    permits places before it. Delays feed back, so it is a fold; the state is the last permits admissions.
+    permits places before it. Delays feed back, so requests are walked in order of seq: sorted partitions, read in batches,
+    with the last permits admissions of one key in hand.
     """
-    log = F.array_sort(F.collect_list(F.struct("seq", "at_ms")))
-    zero = F.struct(F.array().cast("array<bigint>").alias("last"), F.array().cast("array<struct<seq:bigint,at_ms:bigint,admitted_ms:bigint>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        last = s["last"]
-        at = F.greatest(x["at_ms"], F.coalesce(F.try_element_at(last, F.lit(-1)), x["at_ms"]))
-        gate = F.element_at(F.concat(last, F.array(F.lit(0).cast("long"))), 1) + window_ms
-        wait = (F.size(last) >= permits) & (gate > at)
-        t = F.when(wait, gate + grace_ms).otherwise(at)
-        kept = F.when(F.size(last) >= permits, F.slice(last, 2, permits)).otherwise(last)
-        item = F.struct(x["seq"].cast("bigint").alias("seq"), x["at_ms"].alias("at_ms"), t.alias("admitted_ms"))
-        return F.struct(F.concat(kept, F.array(t)).alias("last"), F.concat(s["out"], F.array(item)).alias("out"))
-
-    return requests.withColumn("at_ms", F.col("at_ms").cast("long")).groupBy(key).agg(log.alias("log")).select(key, F.explode(F.aggregate("log", zero, step, lambda s: s["out"])).alias("r")).select(key, "r.*")
+    kind = dict(requests.dtypes)[key]
+    x = requests.select(key, F.col("seq").cast("long").alias("seq"), F.col("at_ms").cast("long").alias("at_ms"))
+
+    def run(batches):
+        now, last = object(), deque()
+        for pdf in batches:
+            out = []
+            for k, at in zip(pdf[key], pdf["at_ms"]):
+                if k != now:
+                    now, last = k, deque(maxlen=permits)
+                if last:
+                    at = max(at, last[-1])
+                if len(last) == permits and last[0] + window_ms > at:
+                    at = last[0] + window_ms + grace_ms
+                last.append(at)
+                out.append(at)
+            yield pdf.assign(admitted_ms=out)
+
+    return x.repartition(F.col(key)).sortWithinPartitions(key, "seq").mapInPandas(run, f"`{key}` {kind}, seq long, at_ms long, admitted_ms long")
 
 
 def applied_paths(log: DataFrame, key: str) -> DataFrame:
