@@ -324,7 +324,21 @@ def stream_match(spark, sf_dir):
     return P.match_streams(lib, probed, "track_id").select("track_id", "stream", "ordinal", "n_packets")
 
 
-@query()
+_THREE = """three AS (SELECT track_id, 1 AS tr, src_ix, start_s, stop_s FROM tracks WHERE event_type <> 'error' UNION ALL SELECT track_id, 2, src_ix, start_s, stop_s FROM tracks WHERE event_type <> 'view' UNION ALL SELECT track_id, 3, src_ix, start_s + 1.0, stop_s + 1.0 FROM tracks),
+counted AS (SELECT track_id, tr FROM three GROUP BY ALL HAVING count(*) >= 10),
+cues AS (SELECT track_id, tr, min(src_ix) AS src_ix, arg_min(start_s, src_ix) AS start_s, arg_min(stop_s, src_ix) AS stop_s FROM three JOIN counted USING (track_id, tr) GROUP BY track_id, tr, CAST(round_even(start_s * 100, 0) AS BIGINT), CAST(round_even(stop_s * 100, 0) AS BIGINT))"""
+_LAST = "SELECT track_id, tr, count(*) AS n_cues, arg_max(stop_s, {'a': start_s, 'b': src_ix}) AS last FROM cues GROUP BY track_id, tr"
+
+
+@query(f"""WITH {TRACKS}, {_THREE}, ends AS ({_LAST}), pairs AS (SELECT a.track_id, a.tr AS i, b.tr AS j FROM ends a JOIN ends b ON a.track_id = b.track_id AND a.tr < b.tr),
+n0 AS (SELECT track_id, CAST(ceil(max(last) * 100) + 2 AS BIGINT) AS n_bins FROM ends GROUP BY track_id), n1 AS (SELECT track_id, tr, CAST(ceil(last * 100) + 2 AS BIGINT) AS n_bins FROM ends),
+mm AS ({merge_sql(bins_sql('cues', 'onset', extra=', tr'), 'track_id, tr')}),
+na AS (SELECT track_id, i, j, n_bins FROM pairs JOIN n0 USING (track_id)), nb AS (SELECT p.track_id, i, j, n_bins FROM pairs p JOIN n1 ON n1.track_id = p.track_id AND n1.tr = p.j),
+ra AS (SELECT p.track_id, i, j, greatest(s, 0) AS s, least(e, n_bins) AS e FROM pairs p JOIN mm ON mm.track_id = p.track_id AND mm.tr = p.i JOIN n0 ON n0.track_id = p.track_id WHERE least(e, n_bins) > greatest(s, 0)),
+pb AS (SELECT p.track_id, i, j, greatest(s, 0) AS s, least(e, n_bins) AS e FROM pairs p JOIN mm ON mm.track_id = p.track_id AND mm.tr = p.j JOIN n1 ON n1.track_id = p.track_id AND n1.tr = p.j WHERE least(e, n_bins) > greatest(s, 0)),
+{correlate_sql('track_id, i, j', 3000)},
+agree AS (SELECT track_id, i, j FROM fits WHERE abs(lag) <= 15), votes AS (SELECT track_id, tr, count(*) AS agreed FROM (SELECT track_id, i AS tr FROM agree UNION ALL SELECT track_id, j FROM agree) GROUP BY ALL)
+SELECT e.track_id AS episode_id, e.tr AS track, n_cues, coalesce(agreed, 0) AS agreed, row_number() OVER (PARTITION BY e.track_id ORDER BY coalesce(agreed, 0) DESC, n_cues DESC, e.tr) = 1 AS chosen FROM ends e LEFT JOIN votes v ON v.track_id = e.track_id AND v.tr = e.tr""")
 def consensus_tracks(spark, sf_dir):
     """Each user's cues as three tracks of one episode, the third late by a second."""
     t = tracks(spark, sf_dir)
