@@ -119,8 +119,8 @@ def applied_paths(log: DataFrame, key: str) -> DataFrame:
 
 def targets(sessions: DataFrame, interactive: Column) -> DataFrame:
     """Sessions to notify: those playing; if none is and the request is interactive, those active lately."""
-    playing = F.bool_or("playing").over(Window.partitionBy())
-    return sessions.where(F.col("playing")).unionByName(sessions.withColumn("_any", playing).where(~F.col("_any") & interactive & F.col("recent")).drop("_any"))
+    anyone = bool(sessions.agg(F.bool_or("playing")).first()[0])  # one number to the driver, no global window
+    return sessions.where(F.col("playing")) if anyone else sessions.where(interactive & F.col("recent"))
 
 
 def learns(x: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from intervane.config import Settings
+from intervane.functions import messages as MS
 from intervane.functions import names as N
 from intervane.functions import script as S
 from intervane.functions import timing as T
@@ -285,3 +285,15 @@ def fractional_episode(spark, sf_dir):
     n = F.col("p_size").cast("string")
     name = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("Show S01E"), n, F.lit(".5 [1080p].ass"))).when(F.col("p_size") % 3 == 1, F.concat(F.lit("Show 5.1 FLAC "), n)).otherwise(F.concat(F.lit("Show - "), n, F.lit(" 10.2 Mbps")))
     return p.select(F.col("p_partkey").alias("k"), N.fractional_episode(name).alias("f")).select("k", F.col("f.whole").alias("whole"), F.col("f.text").alias("text"))
+
+
+@query("""WITH x AS (SELECT p_partkey AS k, CAST(p_partkey % 100 AS DOUBLE) / 100.0 AS c, CAST(p_partkey % 37 AS DOUBLE) / 20.0 AS r, p_size % 5 AS v FROM part)
+SELECT k, CASE WHEN c < 0.5 AND r < 1.2 THEN concat('no convincing alignment: correlation ', printf('%.2f', c), ' of 0.50, uniqueness ', printf('%.2f', r), ' of 1.20') WHEN c < 0.5 THEN concat('correlation ', printf('%.2f', c), ' is below 0.50') WHEN r < 1.2 THEN concat('uniqueness ', printf('%.2f', r), ' is below 1.20') END AS weak,
+CASE v WHEN 0 THEN 'already in sync' WHEN 1 THEN 'shifted by +1.500s' WHEN 2 THEN 'rescaled: +1.500s' WHEN 3 THEN 'matched in sections' ELSE 'declined: unknown' END AS outcome,
+CASE WHEN k % 4 = 0 THEN 'reference: stream 2' WHEN k % 4 = 1 THEN 'no embedded subtitle streams' WHEN k % 4 = 2 THEN concat(CAST(k % 4 AS VARCHAR), ' streams, none usable') ELSE 'no reference chosen' END AS note FROM x""")
+def explanations(spark, sf_dir):
+    k = F.col("p_partkey")
+    c, r = (k % 100).cast("double") / 100.0, (k % 37).cast("double") / 20.0
+    verdict = F.element_at(F.array(*map(F.lit, ("Exact", "ConstantOffset", "FramerateDrift", "PiecewiseCut", "Declined"))), (F.col("p_size") % 5 + 1).cast("int"))
+    note = MS.reference_note(F.when(k % 4 == 1, 0).otherwise((k % 4).cast("int")), F.when(k % 4 == 3, 1).otherwise(0), F.when(k % 4 == 0, "stream 2"))
+    return read(spark, sf_dir, "part").select(k.alias("k"), MS.weak_match(c, r, F.lit(0.5), F.lit(1.2)).alias("weak"), MS.outcome(verdict, T.describe(F.lit(1.0), F.lit(1.5)), F.lit(None).cast("string")).alias("outcome"), note.alias("note"))
