@@ -85,6 +85,11 @@ def _some(x: Column) -> Column:
     return F.when(F.length(F.trim(x)) > 0, x)
 
 
+def _first(x: Column, pattern: str) -> Column:
+    """Group 1 of the first match, NULL without one; the pattern runs once."""
+    return F.try_element_at(F.regexp_extract_all(x, F.lit(pattern), F.lit(1)), F.lit(1))
+
+
 def release(name: Column) -> Column:
     """struct<group, episode, resolution, source, checksum, video, audio>: an approximation of a release-name grammar by patterns.
 
@@ -96,14 +101,13 @@ def release(name: Column) -> Column:
 
 
 def _release(name: Column, base: Column) -> Column:
-    lead, tail = F.regexp_extract(base, r"^\s*\[([^\]]+)\]", 1), F.regexp_extract(base, r"-([A-Za-z0-9]+)$", 1)
-    group = F.coalesce(_some(lead), F.when(~tail.rlike(r"^\d+$"), _some(tail)))
-    checksum = _some(F.upper(F.regexp_extract(name, r"[\[(]([0-9A-Fa-f]{8})[\])]", 1)))
+    group = F.coalesce(_first(base, r"^\s*\[([^\]]+)\]"), _first(base, r"-(?!\d+$)([A-Za-z0-9]+)$"))
+    checksum = F.upper(_first(name, r"[\[(]([0-9A-Fa-f]{8})[\])]"))
     group = bind(group, lambda g: F.when(~F.lower(F.trim(g)).isin(*NO_GROUPS) & ~g.rlike(r"^[0-9A-Fa-f]{8}$"), g))
     tries = [r"[Ss]\d{1,2}\s?[Ee](\d{1,4})(?![\d.]*\.\d(?!\d))", r"(?<![A-Za-z])[Ee][Pp]?\.?\s?(\d{1,4})(?![\d])", r"\s[-–]\s#?(\d{1,4})(?:v\d)?(?=$|[\s\[(._])", r"#(\d{1,4})(?!\d)", r"\[(\d{1,3})(?:v\d)?\]"]
     fraction = base.rlike(FRACTIONAL)
-    episode = F.coalesce(*[_some(F.regexp_extract(base, p, 1)) for p in tries]).try_cast("int")
-    pick = lambda p: _some(F.regexp_extract(base, p, 1))
+    episode = F.coalesce(*[_first(base, p) for p in tries]).try_cast("int")
+    pick = lambda p: _first(base, p)
     return F.struct(group.alias("group"), F.when(~fraction, episode).alias("episode"), pick(_RESOLUTION).alias("resolution"), pick(_SOURCE).alias("source"), checksum.alias("checksum"), pick(_VIDEO).alias("video"), pick(_AUDIO).alias("audio"))
 
 
