@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from intervane.llm.common import save
@@ -39,3 +39,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         last = now
     raise RuntimeError(f"no fixed point within {most_rounds} rounds")
+
+
+def first_rows(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """docs with exactly one row of each component: the smallest doc_id, then the smallest hash of the text, nulls last.
+
+    members: (doc_id, text_hash, root) of every row, text_hash being xxhash64 of the text, an empty one for null.
+    """
+    first = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("f"))
+    key = ["__dedup_none", "__dedup_id", "__dedup_hash"]
+    kept = first.select(F.col("f.none").alias(key[0]), F.coalesce("f.doc_id", F.lit(0)).cast("long").alias(key[1]), F.col("f.text_hash").alias(key[2]))
+    rows = docs.withColumns(dict(zip(key, (F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.xxhash64(F.coalesce("text", F.lit("")))))))
+    once = rows.join(kept, key, "left_semi").withColumn("__dedup_n", F.row_number().over(Window.partitionBy(*key).orderBy(key[2])))
+    return once.where("__dedup_n = 1").select(*docs.columns)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from intervane.llm import bestfit_packing as P
-from intervane.llm import components, compression_quality, exact_fingerprint, lm_scoring, media_features, secret_scan, simhash_dedup, source_mixing, suffix_dedup, toxicity
+from intervane.llm import components, compression_quality, exact_fingerprint, lm_scoring, media_features, near_copies, secret_scan, simhash_dedup, source_mixing, suffix_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, fp string"
 WORDS = "the of river stone quick été naïve straße über 日本 token data model and to in".split()
@@ -353,6 +353,64 @@ def test_keep_one_and_empty(table, empty):
     assert simhash_dedup.keep_one(empty).count() == 0
 
 
+# --- near copies
+
+
+def jaccard_groups(values, words=5):
+    sets = []
+    for t in values:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))})
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(sets))]
+
+
+def edited_texts(seed=11):
+    """Families of copies with a few words changed, cut or added; many share a line, and texts of few words."""
+    r = random.Random(seed)
+    out = [None, "", " \t", "a", "A", "a b c d e", "a b c d e f", "a b c d e f g h i", "z a b c d e f g h i"]
+    line = [f"line{k}" for k in range(30)]
+    for f in range(12):
+        base = [f"w{r.randrange(400)}" for _ in range(r.choice([8, 30, 90, 300]))] + line * (f % 3 > 0)
+        for _ in range(r.choice([2, 8, 25])):
+            w = list(base)
+            for _ in range(r.randint(0, 1 + len(base) // 40)):
+                at = r.randrange(len(w))
+                w[at : at + r.randint(0, 2)] = [f"x{r.randrange(9)}"] * r.randint(0, 2)
+            out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("pairs_a_row", [0, 2])
+def test_near_copies_equal_brute_force(spark, monkeypatch, pairs_a_row):
+    monkeypatch.setattr(near_copies, "PAIRS_A_ROW", pairs_a_row)
+    values = edited_texts()
+    of = jaccard_groups(values)
+    got = near_copies.members(docs(spark, values).withColumn("doc_id", F.coalesce("doc_id", F.lit(7))).repartition(3)).collect()
+    root = {r.doc_id: r.root for r in got}
+    assert len(got) == len(values) and len(set(of)) > 20
+    assert len(set(zip(of, (root[k] for k in range(len(values)))))) == len(set(of)) == len(set(root.values()))
+
+
+def test_near_copies_keep_one_row_each(spark, empty):
+    same = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, same, "en"), (4, same + " tail", "de"), (3, same, "fr"), (3, same, "fr"), (3, "another text", None), (None, "alone", "x"), (None, "alone", "y"), (9, None, "z")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = near_copies.keep_one(d)
+    assert out.columns == d.columns and sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(3, same), (3, "another text"), (None, "alone"), (9, None)], key=str)
+    assert near_copies.keep_one(empty).count() == 0
+
+
 # --- packing
 
 

@@ -51,3 +51,25 @@ def test_one_row_a_document_at_least(spark, name):
     docs = tables(spark, SF, "documents")
     out = registry.QUERIES[name](spark, SF)
     assert out.select("doc_id").distinct().count() == docs.count()
+
+
+def test_near_copies_stage_equals_brute_force(spark):
+    docs = tables(spark, SF, "documents")
+    rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    words = [t.encode().lower().split() for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    want = {rows[i][0] for i in range(len(rows)) if find(i) == i}
+    stage = dict(corpus_pipeline.STAGES)["simhash_dedup"]
+    out = stage(spark, docs, SF)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == sorted(want)
