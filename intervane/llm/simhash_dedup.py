@@ -13,11 +13,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from intervane.llm.common import docs_of, save, slices
-from intervane.llm.components import components
+from intervane.llm.components import components, first_rows
 
 BITS, CELL = 64, 4096
 
@@ -178,12 +178,19 @@ def cluster(docs: DataFrame, radius: int = 3, words: int = 3, seed: int = 42) ->
 
 
 def keep_one(docs: DataFrame, radius: int = 3, words: int = 3, seed: int = 42) -> DataFrame:
-    """docs with one row of each component: that of its smallest doc_id. Rows that share this doc_id give one row.
+    """docs with exactly one row of each component: that of the smallest doc_id, nulls last.
 
-    Components without any doc_id cannot be named and stay whole.
+    Components are told apart by their root fingerprint, so equal or null doc_ids in different components each keep a row.
     """
-    of = cluster(docs, radius, words, seed)
-    kept = of.where("doc_id = component_id").select(F.col("doc_id").alias("__dedup_kept")).distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["__dedup_kept"], "left_semi")
-    once = named.withColumn("__dedup_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(F.coalesce("text", F.lit("")))))).where("__dedup_n = 1").drop("__dedup_n")
-    return once.unionByName(docs.where("doc_id is null"))
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                fps = np.array([fingerprint(t, words, seed) for t in part.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(fps)], names=["doc_id", "text_hash", "fp"])
+
+    hashed = docs_of(docs).withColumn("text_hash", F.xxhash64("text"))
+    of = save(hashed.mapInArrow(run, "doc_id long, text_hash long, fp long"), "document-fingerprints")
+    roots = components(links(of, radius))
+    members = of.join(roots, of.fp == roots.node, "left").select("doc_id", "text_hash", F.coalesce("root", "fp").alias("root"))
+    return first_rows(docs, members)

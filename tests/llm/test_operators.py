@@ -353,6 +353,13 @@ def test_keep_one_and_empty(table, empty):
     assert simhash_dedup.keep_one(empty).count() == 0
 
 
+def test_keep_one_keeps_one_row_of_each_component(spark):
+    same, other = (" ".join(f"{c}{k}" for k in range(60)) for c in "wv")
+    d = spark.createDataFrame([(None, same), (4, same), (3, same), (3, other), (None, "alone"), (None, "alone")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in simhash_dedup.keep_one(d).collect()), key=str)
+    assert got == sorted([(3, same), (3, other), (None, "alone")], key=str)
+
+
 # --- near copies
 
 
