@@ -1,10 +1,10 @@
 """Stupid-backoff scores of documents against counts of the whole corpus.
 
 The tables of the relational plan are: exploded n-grams of documents; counts by n-gram, partitioned by its hash; and their
-join, summed for each document. Rows of these tables travel in blocks: a block holds the sorted hashed n-grams that a chunk of
-documents has in one hash bucket, each once, with its count there. A bucket adds up the blocks of all chunks and answers each
-block with the totals in the same order, so that the join brings back one number for an n-gram and chunk, and a frequent
-n-gram costs no more than one entry a chunk. Both shuffles grow in proportion to the text.
+join, summed for each document. Rows of these tables travel in blocks (see ``exchange``): a block holds the sorted hashed
+n-grams that a chunk of documents has in one hash bucket, each once, with its count there. A bucket adds up the blocks and
+answers each with the totals in the same order, so that the join brings back one number for an n-gram and chunk, and a frequent
+n-gram costs no more than one entry a chunk. Shuffles grow in proportion to the text, times the levels of the exchange.
 
 Scores leave out the document itself: its own counts are taken off first, else every n-gram would be found at full length.
 """
@@ -15,14 +15,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from intervane.llm.common import docs_of, releasing, releasing_pair
+from intervane.llm.exchange import BLOCKS, MOST, Fan, answered, deal, key_blocks, marks_of, small, texts, unfront, unsmall
 
 _U = np.uint64
-KEY_BITS = 56
 #: An odd base, and the multipliers of the splitmix64 finaliser.
 _BASE = 0x9E3779B97F4A7C15
 _M1, _M2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -32,7 +31,6 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _PIECE = 1 << 18
 _powers: list[np.ndarray] = []
-_SQUEEZE, _OPEN = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -82,97 +80,75 @@ def _grams(texts: list[bytes], order: int) -> tuple[list[np.ndarray], list[np.nd
             last = np.concatenate([[_U(0)], last[:-1]]) if len(last) else last
             last = _mix(last * _U(0xD6E8FEB86659FD93) + h + _U(n))
         ok = np.nonzero(place >= n - 1)[0]
-        keys.append(last[ok] >> _U(64 - KEY_BITS))
+        keys.append(last[ok])
         ends.append(ok)
     return keys, ends, doc, counts
 
 
-def _small(n: np.ndarray) -> bytes:
-    """Numbers as bytes, those from 255 on after them in full; most are one, so they are compressed."""
-    return _SQUEEZE.compress(np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype(np.int64).tobytes())
-
-
-def _unsmall(raw: bytes, size: int) -> np.ndarray:
-    raw = _OPEN.decompress(raw)
-    out = np.frombuffer(raw, np.uint8, size).astype(np.int64)
-    out[out == 255] = np.frombuffer(raw, np.int64, offset=size)
-    return out
-
+_SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log10_score", pa.float64()), ("mean_log10", pa.float64()), ("hits", pa.list_(pa.int64()))])
 
-def _front(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences: four low bytes each, which are noise, then the high bytes, which are small and compressed."""
-    d = np.diff(keys, prepend=_U(0)).astype("<u8")
-    parts = d[1:].view(np.uint8).reshape(-1, 8)
-    high = _SQUEEZE.compress(np.ascontiguousarray(parts[:, 4:].T).tobytes())
-    return len(parts).to_bytes(8, "little") + d[:1].tobytes() + np.ascontiguousarray(parts[:, :4]).tobytes() + high
 
+class _Counts:
+    """Blocks of n-gram keys and counts: combined entries add up."""
 
-def _unfront(raw: bytes) -> np.ndarray:
-    n = int.from_bytes(raw[:8], "little")
-    d = np.zeros((n + 1, 8), np.uint8)
-    d[0] = np.frombuffer(raw, np.uint8, 8, 8)
-    d[1:, :4] = np.frombuffer(raw, np.uint8, 4 * n, 16).reshape(n, 4)
-    d[1:, 4:] = np.frombuffer(_OPEN.decompress(raw[16 + 4 * n :]), np.uint8).reshape(4, n).T
-    return np.cumsum(d.view("<u8").ravel(), dtype=np.uint64)
+    def combine(self, table: pa.Table, cuts: np.ndarray | None) -> tuple:
+        sizes = table["n"].to_pylist()
+        keys = np.concatenate([unfront(x) for x in table["keys"].to_pylist()])
+        counts = np.concatenate([unsmall(x, n) for x, n in zip(table["extra"].to_pylist(), sizes)])
+        keys, where = np.unique(keys, return_inverse=True)
+        return keys, np.bincount(where, counts).astype(np.int64), where, np.cumsum(sizes)
 
+    def send(self, state: tuple, sender: int, first_bucket: int, cuts: np.ndarray) -> pa.Table:
+        return key_blocks(sender, first_bucket, state[0], state[1], cuts)
 
-_BLOCKS = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-_TOTALS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64()), ("totals", pa.binary())])
-_SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log10_score", pa.float64()), ("mean_log10", pa.float64()), ("hits", pa.list_(pa.int64()))])
+    def settle(self, state: tuple) -> np.ndarray:
+        return state[1]
 
+    def read(self, marks: list[tuple[int, bytes]]) -> np.ndarray:
+        return np.concatenate([unsmall(m, n) for n, m in marks]) if marks else np.zeros(0, np.int64)
 
-def _texts(table: pa.Table) -> list[bytes]:
-    return [t.encode("utf-8", "surrogatepass") for t in table["text"].to_pylist()]
+    def give(self, state: tuple, answers: np.ndarray) -> list[bytes]:
+        if len(answers) != len(state[0]):
+            raise RuntimeError("the answers do not fit the blocks")
+        return [small(x) for x in np.split(answers[state[2]], state[3][:-1])]
 
 
-def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, chunk_bytes: int = 8 << 20) -> DataFrame:
+def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, chunk_bytes: int = 6 << 20, most: int = MOST) -> DataFrame:
     """(doc_id, n_tokens, log10_score, mean_log10, hits) for every row of docs.
 
     log10_score: sum over words of log10 S, S = c(n-gram) / c(its first n-1 words) for the longest n-gram that occurs outside
     the document, times alpha for each step down from order; for one word c(word) / N; for a word found nowhere else alpha
     once more times 1 / N. Counts and N are those of all other rows of docs. hits: words scored with n = order, ..., 1, and
-    not found. A text without words has score 0 and no mean; if no other row has words, N counts as 1.
-    n-grams are held as 56-bit hashes. chunk_bytes: text worked on at a time by a task; a longer document is a chunk of its own.
+    not found. A null, an empty text or one of white space has score 0, no words and no mean; if no other row has words, N
+    counts as 1. Rows are scored each on its own: rows without doc_id, and repeated rows, count as documents that others see.
+    n-grams are held as 64-bit hashes: of 10**13 distinct ones about one in two million shares its key and so its count.
+    chunk_bytes: text worked on at a time by a task; a longer document is a chunk of its own. most: ways a chunk splits its keys.
     """
     d = docs_of(docs)
     sizes = d.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).alias("words")).first()
-    parts, n_all = max(1, math.ceil((sizes.bytes or 0) / chunk_bytes)), sizes.words or 0
-    d = d.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).alias("chunk"))
-    d = d.repartition(F.col("chunk"))
+    n_all = sizes.words or 0
+    fan = Fan.of(d, sizes.bytes or 0, chunk_bytes, most)
+    d = deal(d, fan)
 
     def blocks(table: pa.Table) -> pa.Table:
-        keys, counts = np.unique(np.concatenate(_grams(_texts(table), order)[0]), return_counts=True)
-        cuts = np.searchsorted(keys, (np.arange(parts + 1, dtype=object) * (1 << KEY_BITS) // parts).astype(np.uint64))
-        chunk = table["chunk"][0].as_py()
-        rows = [(b, chunk, int(z - a), _front(keys[a:z]), _small(counts[a:z])) for b, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])) if z > a]
-        return pa.Table.from_pylist([dict(zip(_BLOCKS.names, r)) for r in rows], schema=_BLOCKS)
-
-    def add_up(table: pa.Table) -> pa.Table:
-        sizes = table["n"].to_pylist()
-        keys = np.concatenate([_unfront(x) for x in table["keys"].to_pylist()])
-        counts = np.concatenate([_unsmall(x, n) for x, n in zip(table["counts"].to_pylist(), sizes)])
-        _, where = np.unique(keys, return_inverse=True)
-        total = np.bincount(where, counts).astype(np.int64)[where]
-        ends = np.cumsum(sizes)
-        totals = [_small(total[e - n : e]) for n, e in zip(sizes, ends)]
-        return pa.table([table["chunk"], table["bucket"], table["n"], pa.array(totals, pa.binary())], schema=_TOTALS)
+        keys, counts = np.unique(np.concatenate(_grams(texts(table), order)[0]), return_counts=True)
+        return key_blocks(table["chunk"][0].as_py(), 0, keys, counts, fan.cuts(0))
 
     def score_chunk(table: pa.Table, answers: pa.Table) -> pa.Table:
         return _score(table, answers, order, alpha, n_all)
 
-    counted = d.groupBy("chunk").applyInArrow(releasing(blocks), "bucket long, chunk long, n long, keys binary, counts binary")
-    totals = counted.groupBy("bucket").applyInArrow(releasing(add_up), "chunk long, bucket long, n long, totals binary")
-    return d.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(releasing_pair(score_chunk), "doc_id long, n_tokens long, log10_score double, mean_log10 double, hits array<long>")
+    totals = answered(d.groupBy("chunk").applyInArrow(releasing(blocks), BLOCKS), fan, _Counts()).repartition(fan.partitions, "sender")
+    scores = "doc_id long, n_tokens long, log10_score double, mean_log10 double, hits array<long>"
+    return d.groupBy("chunk").cogroup(totals.groupBy("sender")).applyInArrow(releasing_pair(score_chunk), scores)
 
 
 def _score(table: pa.Table, answers: pa.Table, order: int, alpha: float, n_all: int) -> pa.Table:
     if table.num_rows == 0:
         return _SCORES.empty_table()
-    keys, ends, doc, counts = _grams(_texts(table), order)
+    keys, ends, doc, counts = _grams(texts(table), order)
     n_words, n_docs = len(doc), len(counts)
     distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
-    got = sorted(zip(answers["bucket"].to_pylist(), answers["n"].to_pylist(), answers["totals"].to_pylist()))
-    total = np.concatenate([_unsmall(t, n) for _, n, t in got]) if got else np.zeros(0, np.int64)
+    total = _Counts().read(marks_of(answers))
     if len(total) != len(distinct):
         raise RuntimeError("the answers do not fit the chunk")
     # Each n-gram's count outside its document.

@@ -2,45 +2,54 @@
 
 A byte goes if a string of ``span`` bytes that covers it also starts in a document with a smaller doc_id. Sorting every suffix
 would write many times the input, so suffixes are taken at anchors: in each window of span bytes, the place whose gram (the
-next 24 bytes) hashes lowest. Equal windows have equal anchors, so no repeat is missed. Four steps, over chunks of documents:
+next 24 bytes) hashes lowest. Equal windows have equal anchors, so no repeat is missed. Steps, over chunks of documents:
 
 1. every chunk sends its distinct anchor grams, hashed and front-coded, to buckets; a bucket answers which occur in two
-   documents or more. Only anchors with such grams go on.
-2. every chunk sorts the suffixes at these anchors (span bytes to the right, then the bytes to the left, nearest first), each
-   distinct one once with its smallest doc_id, and sends them to buckets as front-coded sorted runs.
-3. a bucket merges its runs with a loser tree whose entries carry the common prefix with the last winner: two entries with
-   different prefixes are ordered by these numbers alone, and equal ones are compared only beyond them. The merged order and
-   its common prefixes give, for each place of the window about the anchor, which suffixes are equal there, and so which
-   windows occur in a smaller document.
-4. every chunk marks its windows and cuts the marked bytes.
-
-The texts are shuffled once; steps 1, 2 and 4 read the same shuffle.
+   documents or more, and which so often that one bucket should not hold all suffixes that start with them.
+2. for the anchors of such frequent grams, every chunk sends the hashes of all windows about them, and learns which occur in two
+   documents. These windows stand for the anchor from here on, each under its own hash, so that no bucket has more than one row
+   a chunk of any key.
+3. every chunk sorts the suffixes at the anchors that are left (span bytes to the right, then the bytes to the left, nearest
+   first), each distinct one once with its smallest doc_id, and sends them to buckets as front-coded sorted runs.
+4. a bucket merges its runs with a loser tree whose entries carry the common prefix with the last winner: two entries with
+   different prefixes are ordered by these numbers alone, and equal ones are compared only beyond them; the prefix of a run's
+   next entry is the one that its front coding holds. The merged order and its common prefixes give, for each place of the
+   window about the anchor, which suffixes are equal there, and so which windows occur in a smaller document. Left contexts are
+   told apart by their bytes, in a second sorted order with its common prefixes.
+5. every chunk marks its windows and cuts the marked bytes.
+
+Blocks travel by ``exchange``: beyond 256 chunks, runs are merged level by level, and each level splits what it has merged.
+The texts are shuffled once; steps 1, 2, 3 and 5 read the same shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from intervane.llm.common import docs_of, releasing, releasing_pair
-from intervane.llm.lm_scoring import _LETTERS, _front, _mix, _power, _unfront
+from intervane.llm.exchange import BLOCKS, MOST, Fan, answered, blocks_table, deal, key_blocks, marks_of, small, texts, unfront, unsmall
+from intervane.llm.lm_scoring import _LETTERS, _mix, _power
 
 _U = np.uint64
 GRAM = 24
 _LETTERS_ALL = _LETTERS.copy()
 _LETTERS_ALL[65:91] = _mix(_LETTERS[65:91]) | _U(1)  # capitals differ here
 _STEP = 1 << 18
-_KEY_BITS = 56
+#: Bits of the hashes that only choose what goes on: equal hashes of different bytes cost a suffix, not a byte of the result.
+_KEY_BITS = 48
+_HIGH = _U((1 << 64) - (1 << (64 - _KEY_BITS)))
+#: A gram with more anchors than this in the corpus is taken window by window.
+FREQUENT = 4096
+_WINDOW = 255  # in place of the number of bytes to the left: the row is a window, and has none
 _NULL_ID = -(1 << 63)
+_NONE, _SHARED, _OFTEN = 0, 1, 2
 
-_GRAMS = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("several", pa.binary())])
-_RUNS = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("run", pa.binary()), ("docs", pa.binary())])
-_ANSWERS = pa.schema([("chunk", pa.int64()), ("kind", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64()), ("marks", pa.binary())])
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 _KEPT = pa.schema([*_RESULT, pa.field("kept", pa.binary()), pa.field("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
 
@@ -49,12 +58,12 @@ class _Chunk:
     """Documents end to end, their anchors, and what identifies them."""
 
     def __init__(self, table: pa.Table, span: int):
-        texts = [t.encode("utf-8", "surrogatepass") for t in table["text"].to_pylist()]
+        parts = texts(table)
         self.span, self.names = span, table["doc_id"]
         self.ids = np.array([_NULL_ID if k is None else k for k in table["doc_id"].to_pylist()], dtype=np.int64)
-        self.ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
-        self.starts = self.ends - np.array([len(t) for t in texts], dtype=np.int64)
-        self.bytes = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        self.ends = np.cumsum([len(t) for t in parts], dtype=np.int64)
+        self.starts = self.ends - np.array([len(t) for t in parts], dtype=np.int64)
+        self.bytes = np.frombuffer(b"".join(parts), dtype=np.uint8)
         whole = np.zeros(len(self.bytes), dtype=bool)  # windows that lie in one document
         for a, b in zip(self.starts, self.ends):
             whole[a : max(a, b - span + 1)] = True
@@ -75,10 +84,8 @@ class _Chunk:
     def _minima(self, first: int, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, gram keys) of the lowest gram of each window, each place once; windows count from first."""
         part = self.bytes[first : first + _STEP + self.span]
-        power, inverse = _power(len(part) + 1)
-        total = np.concatenate([[_U(0)], np.cumsum(_LETTERS_ALL[part] * power[: len(part)], dtype=np.uint64)])
-        n = len(part) - GRAM + 1
-        key = _mix((total[GRAM:] - total[:n]) * inverse[:n])
+        key = _keys(part, GRAM)
+        n = len(key)
         low = (key & _U((1 << 64) - (1 << 21))) | np.arange(n, dtype=np.uint64)
         width, done = self.span - GRAM + 1, 1
         while done * 2 <= width:
@@ -88,38 +95,49 @@ class _Chunk:
             low = np.minimum(low[: len(low) - (width - done)], low[width - done :])
         at = (low[windows] & _U((1 << 21) - 1)).astype(np.int64)
         at = at[np.concatenate([[True], at[1:] != at[:-1]])]
-        return at + first, key[at] >> _U(64 - _KEY_BITS)
-
-    def distinct_grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(sorted distinct keys, whether two documents have it, place of each anchor's key among them)."""
-        keys, where = np.unique(self.keys, return_inverse=True)
-        order = np.argsort(where, kind="stable")
-        begin = np.searchsorted(where[order], np.arange(len(keys)))
-        owner = self.ids[self.doc[order]]
-        several = np.minimum.reduceat(owner, begin) != np.maximum.reduceat(owner, begin) if len(keys) else np.zeros(0, bool)
-        return keys, several, where
-
-    def suffixes(self, shared: np.ndarray, cuts: np.ndarray):
-        """Distinct suffixes at the anchors where shared: (anchors, rows, bucket of each row, smallest doc_id of each row, row of each anchor).
-
-        A row: span bytes from the anchor on, the bytes before it nearest first, and how many of either are its document's;
-        the others are zero. Rows are sorted by bucket, then bytes.
+        return at + first, key[at] & _HIGH
+
+    def window_starts(self, anchors: np.ndarray) -> np.ndarray:
+        """Starts of all windows of one document that hold the gram at one of the anchors (numbers of them), ascending."""
+        first, last = self.starts[self.doc[anchors]], self.ends[self.doc[anchors]] - self.span
+        found = np.zeros(len(self.bytes) + 1, bool)
+        for j in range(self.span - GRAM + 1):
+            at = self.at[anchors] - j
+            found[at[(at >= first) & (at <= last)]] = True
+        return np.nonzero(found)[0]
+
+    def window_keys(self, starts: np.ndarray) -> np.ndarray:
+        out = [np.zeros(0, np.uint64)]
+        for first in range(0, len(self.bytes), _STEP):
+            here = starts[np.searchsorted(starts, first) : np.searchsorted(starts, first + _STEP)] - first
+            if len(here):
+                out.append(_keys(self.bytes[first : first + _STEP + self.span], self.span)[here] & _HIGH)
+        return np.concatenate(out)
+
+    def owners(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ends, at, side="right")
+
+    def suffixes(self, shared: np.ndarray, windows: np.ndarray, window_keys: np.ndarray, cuts: np.ndarray):
+        """Distinct suffixes at the anchors where shared, and windows: (places, rows, bucket of each row, smallest doc_id of each row, row of each place).
+
+        A row: span bytes from the place on, the bytes before it nearest first, and how many of either are its document's;
+        the others are zero. A window has no bytes before it. Rows are sorted by bucket, then bytes.
         """
         span, left = self.span, self.span - GRAM
-        at = self.at[shared]
-        width = span + left + 2
+        at = np.concatenate([self.at[shared], windows])
         if not len(at):
-            return at, np.zeros((0, width), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        doc = self.doc[shared]
-        before, after = np.minimum(at - self.starts[doc], left), np.minimum(self.ends[doc] - at, span)
+            return at, np.zeros((0, span + left + 2), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        doc = self.owners(at)
+        single = np.arange(len(at)) >= len(shared)
+        before, after = np.where(single, 0, np.minimum(at - self.starts[doc], left)), np.minimum(self.ends[doc] - at, span)
         padded = np.concatenate([np.zeros(left, np.uint8), self.bytes, np.zeros(span, np.uint8)])
         view = np.lib.stride_tricks.sliding_window_view(padded, left + span)[at]
-        rows = np.empty((len(at), width), np.uint8)
+        rows = np.empty((len(at), span + left + 2), np.uint8)
         rows[:, :span] = np.where(np.arange(span) < after[:, None], view[:, left:], 0)
-        rows[:, span:-2] = np.where(np.arange(left) < before[:, None], view[:, left - 1 :: -1] if left else view[:, :0], 0)[:, :left]
-        rows[:, -2], rows[:, -1] = before, after
-        order = np.argsort(rows.view(f"S{width}").ravel(), kind="stable")
-        bucket = np.searchsorted(cuts, self.keys[shared], side="right") - 1
+        rows[:, span:-2] = np.where(np.arange(left) < before[:, None], view[:, left - 1 :: -1], 0)[:, :left]
+        rows[:, -2], rows[:, -1] = np.where(single, _WINDOW, before), after
+        bucket = np.searchsorted(cuts, np.concatenate([self.keys[shared], window_keys]), side="right")
+        order = _by_bytes(rows)
         order = order[np.argsort(bucket[order], kind="stable")]
         rows, owner = rows[order], self.ids[doc[order]]
         new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])
@@ -129,6 +147,131 @@ class _Chunk:
         return at, rows[begin], bucket[order][begin], np.minimum.reduceat(owner, begin), row_of
 
 
+def _keys(part: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hash of the width bytes from each place of part on."""
+    power, inverse = _power(len(part) + 1)
+    total = np.concatenate([[_U(0)], np.cumsum(_LETTERS_ALL[part] * power[: len(part)], dtype=np.uint64)])
+    n = len(part) - width + 1
+    return _mix((total[width:] - total[:n]) * inverse[:n])
+
+
+def _row_keys(rows: np.ndarray, span: int) -> np.ndarray:
+    """The key under which each row travels: that of its gram, or of its window."""
+    letters = _LETTERS_ALL[rows[:, :span]] * _power(span)[0][:span]
+    return _mix(np.where(rows[:, -2] == _WINDOW, letters.sum(axis=1, dtype=np.uint64), letters[:, :GRAM].sum(axis=1, dtype=np.uint64))) & _HIGH
+
+
+def _by_bytes(rows: np.ndarray) -> np.ndarray:
+    return np.argsort(np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), kind="stable")
+
+
+def distinct_keys(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct keys; for each, twice its count, and one if two owners have it; place of each key among them)."""
+    found, where, count = np.unique(keys, return_inverse=True, return_counts=True)
+    if not len(found):
+        return found, count, where
+    order = np.argsort(where, kind="stable")
+    begin = np.cumsum(count) - count
+    return found, 2 * count + (np.minimum.reduceat(owner[order], begin) != np.maximum.reduceat(owner[order], begin)), where
+
+
+class _Grams:
+    """Blocks of hashes with their counts: the answer to each is whether two documents have it, and whether it is frequent."""
+
+    def __init__(self, frequent: int):
+        self.frequent = frequent
+
+    def combine(self, table: pa.Table, cuts: np.ndarray | None) -> tuple:
+        sizes = table["n"].to_pylist()
+        keys = np.concatenate([unfront(x, _KEY_BITS) for x in table["keys"].to_pylist()])
+        extra = np.concatenate([unsmall(x, n) for x, n in zip(table["extra"].to_pylist(), sizes)])
+        keys, where, senders = np.unique(keys, return_inverse=True, return_counts=True)
+        several = (senders > 1) | (np.bincount(where, extra & 1) > 0)
+        return keys, 2 * np.bincount(where, extra >> 1).astype(np.int64) + several, where, np.cumsum(sizes)
+
+    def send(self, state: tuple, sender: int, first_bucket: int, cuts: np.ndarray) -> pa.Table:
+        return key_blocks(sender, first_bucket, state[0], state[1], cuts, _KEY_BITS)
+
+    def settle(self, state: tuple) -> np.ndarray:
+        several = state[1] & 1
+        return np.where(several & (state[1] >> 1 > self.frequent), _OFTEN, several)
+
+    def read(self, marks: list[tuple[int, bytes]]) -> np.ndarray:
+        return np.concatenate([unsmall(m, n) for n, m in marks]) if marks else np.zeros(0, np.int64)
+
+    def give(self, state: tuple, answers: np.ndarray) -> list[bytes]:
+        if len(answers) != len(state[0]):
+            raise RuntimeError("the answers do not fit the blocks")
+        return [small(x) for x in np.split(answers[state[2]], state[3][:-1])]
+
+
+class _Suffixes:
+    """Sorted runs of rows with their smallest doc_id: the answer to a row has a bit for each of its windows that a smaller document has."""
+
+    def __init__(self, span: int):
+        self.span, self.width = span, 2 * span - GRAM + 2
+
+    def combine(self, table: pa.Table, cuts: np.ndarray | None) -> dict:
+        sizes = table["n"].to_pylist()
+        each, common = zip(*(front_decode(raw, n, self.width) for raw, n in zip(table["keys"].to_pylist(), sizes)))
+        docs = np.concatenate([np.frombuffer(x, np.int64) for x in table["extra"].to_pylist()])
+        source, prefix = loser_tree_merge([[r.tobytes() for r in rows] for rows in each], [c.tolist() for c in common])
+        source, prefix, ends = np.array(source), np.array(prefix), np.cumsum(sizes)
+        place = np.empty(len(source), np.int64)
+        for k, n in enumerate(sizes):
+            place[source == k] = ends[k] - n + np.arange(n)
+        new = prefix < self.width
+        new[0] = True
+        where = np.empty(len(source), np.int64)
+        where[place] = np.cumsum(new) - 1
+        all_rows = np.concatenate(each)
+        rows, least = all_rows[place[new]], np.minimum.reduceat(docs[place], np.nonzero(new)[0])
+        state = {"rows": rows, "docs": least, "prefix": prefix[new], "where": where, "ends": ends, "sent": docs, "valid": _valid(all_rows, self.span)}
+        if cuts is not None:
+            state["bucket"] = np.searchsorted(cuts, _row_keys(rows, self.span), side="right")
+            order = np.argsort(state["bucket"], kind="stable")
+            back = np.empty(len(order), np.int64)
+            back[order] = np.arange(len(order))
+            state |= {"rows": rows[order], "docs": least[order], "bucket": state["bucket"][order], "where": back[where]}
+        return state
+
+    def send(self, state: dict, sender: int, first_bucket: int, cuts: np.ndarray) -> pa.Table:
+        return run_blocks(sender, first_bucket, state["rows"], state["bucket"], state["docs"], len(cuts) + 1)
+
+    def settle(self, state: dict) -> np.ndarray:
+        return _windows_seen(state["rows"], state["prefix"], state["docs"], self.span)
+
+    def read(self, marks: list[tuple[int, bytes]]) -> np.ndarray:
+        return np.concatenate([np.frombuffer(m, np.uint32) for _, m in marks]) if marks else np.zeros(0, np.uint32)
+
+    def give(self, state: dict, answers: np.ndarray) -> list[bytes]:
+        if len(answers) != len(state["rows"]):
+            raise RuntimeError("the answers do not fit the blocks")
+        where = state["where"]
+        marks = np.where(state["sent"] > state["docs"][where], state["valid"], answers[where]).astype(np.uint32)
+        return [x.tobytes() for x in np.split(marks, state["ends"][:-1])]
+
+
+def run_blocks(sender: int, first_bucket: int, rows: np.ndarray, bucket: np.ndarray, docs: np.ndarray, buckets: int) -> pa.Table:
+    """A front-coded sorted run for each bucket that has rows."""
+    at = np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
+    cut = zip(range(buckets), at, at[1:])
+    return blocks_table([(first_bucket + b, sender, z - a, front_code(rows[a:z]), docs[a:z].tobytes()) for b, a, z in cut if z > a])
+
+
+def _valid(rows: np.ndarray, span: int) -> np.ndarray:
+    """A bit for each number of bytes to the left at which a row's window starts and lies in its document."""
+    before, after = _reach(rows)
+    out = np.zeros(len(rows), np.uint32)
+    for j in range(span - GRAM + 1):
+        out |= ((before >= j) & (after >= span - j)).astype(np.uint32) << np.uint32(j)
+    return out
+
+
+def _reach(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.where(rows[:, -2] == _WINDOW, 0, rows[:, -2]).astype(np.int64), rows[:, -1].astype(np.int64)
+
+
 def front_code(rows: np.ndarray) -> bytes:
     """Sorted rows: the common prefix of each with the one before, then the bytes beyond it."""
     common = np.zeros(len(rows), np.uint8)
@@ -137,7 +280,8 @@ def front_code(rows: np.ndarray) -> bytes:
     return common.tobytes() + rows[np.arange(rows.shape[1]) >= common[:, None]].tobytes()
 
 
-def front_decode(raw: bytes, n: int, width: int) -> np.ndarray:
+def front_decode(raw: bytes, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, common prefix of each with the one before)."""
     common = np.frombuffer(raw, np.uint8, n)
     rows = np.zeros((n, width), np.uint8)
     own = np.arange(width) >= common[:, None]
@@ -145,7 +289,7 @@ def front_decode(raw: bytes, n: int, width: int) -> np.ndarray:
     for c in range(width):
         last = np.maximum.accumulate(np.where(own[:, c], np.arange(n), 0))
         rows[:, c] = rows[last, c]
-    return rows
+    return rows, common
 
 
 def _common(a: bytes, b: bytes, known: int) -> int:
@@ -158,10 +302,10 @@ def _common(a: bytes, b: bytes, known: int) -> int:
     return min(known, n)
 
 
-def loser_tree_merge(runs: list[list[bytes]]) -> tuple[list[int], list[int]]:
+def loser_tree_merge(runs: list[list[bytes]], common: list[list[int]]) -> tuple[list[int], list[int]]:
     """Merge sorted runs of equal-length rows: (run of each output, common prefix with the output before).
 
-    Every entry keeps its common prefix with the last row that went out along its path. Of two entries, the one with the longer
+    common: the common prefix of each row of a run with the one before it; known, so never looked for again. Every entry keeps its common prefix with the last row that went out along its path. Of two entries, the one with the longer
     prefix is smaller; only equal prefixes are compared, from there on, and the loser keeps the prefix it shares with the winner.
     """
     k = len(runs)
@@ -207,8 +351,8 @@ def loser_tree_merge(runs: list[list[bytes]]) -> tuple[list[int], list[int]]:
         at[winner] += 1
         i = at[winner]
         if i < len(run):
-            heads[winner] = row = run[i]
-            known[winner] = _common(run[i - 1], row, 0)
+            heads[winner] = run[i]
+            known[winner] = common[winner][i]
         else:
             heads[winner] = None
         node = (winner + size) >> 1
@@ -225,122 +369,118 @@ def loser_tree_merge(runs: list[list[bytes]]) -> tuple[list[int], list[int]]:
 
 
 def _windows_seen(rows: np.ndarray, prefix: np.ndarray, docs: np.ndarray, span: int) -> np.ndarray:
-    """For each row in sorted order, a bit for each number of bytes to the left that its window starts: it occurs in a smaller document."""
+    """For each of the distinct rows in sorted order, a bit for each number of bytes to the left that its window starts: it occurs in a smaller document."""
     left = span - GRAM
-    marks = np.zeros(len(rows), np.uint32)
-    before, after = rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64)
+    out = np.zeros(len(rows), np.uint32)
     group = np.cumsum(prefix < GRAM)
-    many = np.bincount(group, minlength=group[-1] + 1)[group] > 1
-    left_hash = np.zeros(len(rows), np.uint64)
+    many = np.nonzero(np.bincount(group)[group] > 1)[0]
+    if not len(many):
+        return out
+    # All rows of a group stay, so that the prefix between neighbours is still the one between rows.
+    rows, prefix, docs = rows[many], prefix[many], docs[many]
+    marks = np.zeros(len(rows), np.uint32)
+    before, after = _reach(rows)
+    contexts = np.ascontiguousarray(rows[:, span : span + left])
+    by_left = _by_bytes(contexts)
+    differs = contexts[by_left[1:]] != contexts[by_left[:-1]]
+    left_prefix = np.concatenate([[0], np.where(differs.any(axis=1), differs.argmax(axis=1), left)])
+    side = np.empty(len(rows), np.int64)
     for j in range(left + 1):
-        if j:
-            left_hash = left_hash * _U(0x100000001B3) + rows[:, span + j - 1].astype(np.uint64) + _U(1)
-        ok = np.nonzero(many & (before >= j) & (after >= span - j))[0]
+        ok = np.nonzero((before >= j) & (after >= span - j))[0]
         if not len(ok):
             continue
-        run = np.cumsum(prefix < span - j)
-        key = _mix(_mix(run[ok].astype(np.uint64)) + left_hash[ok])
+        side[by_left] = np.cumsum(left_prefix < j)
+        key = (np.cumsum(prefix < span - j) * (len(rows) + 1) + side)[ok]
         order = np.argsort(key, kind="stable")
         same = np.concatenate([[True], key[order][1:] != key[order][:-1]])
         begin = np.nonzero(same)[0]
         least = np.minimum.reduceat(docs[ok][order], begin)[np.cumsum(same) - 1]
         seen = ok[order][least < docs[ok][order]]
         marks[seen] |= np.uint32(1 << j)
-    return marks
-
-
-def _cuts(parts: int) -> np.ndarray:
-    return (np.arange(parts + 1, dtype=object) * (1 << _KEY_BITS) // parts).astype(np.uint64)
+    out[many] = marks
+    return out
 
 
-def _plan(docs: DataFrame, span: int, chunk_bytes: int, emit, schema: str) -> DataFrame:
+def _plan(docs: DataFrame, span: int, chunk_bytes: int, most: int, frequent: int, emit, schema: str) -> DataFrame:
     if not GRAM < span <= GRAM + 31:
         raise ValueError("span must be 25 to 55 bytes")
     d = docs_of(docs)
-    size = d.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
-    parts = max(1, math.ceil(size / chunk_bytes))
-    cuts, width = _cuts(parts), 2 * span - GRAM + 2
-    d = d.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).alias("chunk")).repartition(F.col("chunk"))
+    fan = Fan.of(d, d.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0, chunk_bytes, most)
+    d = deal(d, fan)
+    cuts = fan.cuts(0)
 
-    def table_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
-        return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+    def of_kind(answers: pa.Table, kind: int) -> list[tuple[int, bytes]]:
+        return marks_of(answers.filter(pc.equal(answers["kind"], kind)))
+
+    def gram_answers(of: _Chunk, answers: pa.Table, where: np.ndarray, n: int, kind: int) -> np.ndarray:
+        got = _Grams(0).read(of_kind(answers, kind))
+        if len(got) != n:
+            raise RuntimeError("the answers do not fit the chunk")
+        return got[where]
 
     def grams(table: pa.Table) -> pa.Table:
-        keys, several, _ = _Chunk(table, span).distinct_grams()
-        at, chunk = np.searchsorted(keys, cuts), table["chunk"][0].as_py()
-        rows = [(b, chunk, int(z - a), _front(keys[a:z]), np.packbits(several[a:z]).tobytes()) for b, (a, z) in enumerate(zip(at[:-1], at[1:])) if z > a]
-        return table_of(rows, _GRAMS)
+        of = _Chunk(table, span)
+        keys, extra, _ = distinct_keys(of.keys, of.ids[of.doc])
+        return key_blocks(table["chunk"][0].as_py(), 0, keys, extra, cuts, _KEY_BITS)
 
-    def shared_grams(table: pa.Table) -> pa.Table:
-        sizes = table["n"].to_pylist()
-        keys = np.concatenate([_unfront(x) for x in table["keys"].to_pylist()])
-        several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(table["several"].to_pylist(), sizes)])
-        _, where, count = np.unique(keys, return_inverse=True, return_counts=True)
-        shared = ((count > 1) | (np.bincount(where, several) > 0))[where]
-        ends = np.cumsum(sizes)
-        marks = [np.packbits(shared[e - n : e]).tobytes() for n, e in zip(sizes, ends)]
-        return table_of(list(zip(table["chunk"].to_pylist(), [0] * len(sizes), table["bucket"].to_pylist(), sizes, marks)), _ANSWERS)
-
-    def answers_of(table: pa.Table, kind: int) -> list[tuple[int, int, bytes]]:
-        return sorted((b, n, m) for k, b, n, m in zip(*(table[c].to_pylist() for c in ("kind", "bucket", "n", "marks"))) if k == kind)
-
-    def survivors(of: _Chunk, answers: pa.Table) -> np.ndarray:
-        keys, _, where = of.distinct_grams()
-        got = [np.unpackbits(np.frombuffer(m, np.uint8), count=n) for _, n, m in answers_of(answers, 0)]
-        shared = np.concatenate(got).astype(bool) if got else np.zeros(0, bool)
-        if len(shared) != len(keys):
-            raise RuntimeError("the answers do not fit the chunk")
-        return np.nonzero(shared[where])[0]
+    def often(of: _Chunk, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """(anchors to go on as they are, starts of the windows about the others of frequent grams)."""
+        keys, _, where = distinct_keys(of.keys, of.ids[of.doc])
+        got = gram_answers(of, answers, where, len(keys), 0)
+        return np.nonzero(got == _SHARED)[0], of.window_starts(np.nonzero(got == _OFTEN)[0])
 
-    def runs(table: pa.Table, answers: pa.Table) -> pa.Table:
+    def windows(table: pa.Table, answers: pa.Table) -> pa.Table:
         if table.num_rows == 0:
-            return _RUNS.empty_table()
+            return blocks_table([])
         of = _Chunk(table, span)
-        _, rows, bucket, docs_, _ = of.suffixes(survivors(of, answers), cuts)
-        at, chunk = np.searchsorted(bucket, np.arange(parts + 1)), table["chunk"][0].as_py()
-        return table_of([(b, chunk, int(z - a), front_code(rows[a:z]), docs_[a:z].tobytes()) for b, (a, z) in enumerate(zip(at[:-1], at[1:])) if z > a], _RUNS)
+        starts = often(of, answers)[1]
+        keys, extra, _ = distinct_keys(of.window_keys(starts), of.ids[of.owners(starts)])
+        return key_blocks(table["chunk"][0].as_py(), 0, keys, extra, cuts, _KEY_BITS)
 
-    def merge(table: pa.Table) -> pa.Table:
-        sizes = table["n"].to_pylist()
-        each = [front_decode(raw, n, width) for raw, n in zip(table["run"].to_pylist(), sizes)]
-        docs_ = np.concatenate([np.frombuffer(x, np.int64) for x in table["docs"].to_pylist()])
-        source, prefix = loser_tree_merge([[r.tobytes() for r in rows] for rows in each])
-        source, offset = np.array(source), np.cumsum(sizes) - np.array(sizes)
-        place = np.empty(len(source), np.int64)
-        for k, n in enumerate(sizes):
-            place[source == k] = offset[k] + np.arange(n)
-        marks = np.zeros(len(source), np.uint32)
-        marks[place] = _windows_seen(np.concatenate(each)[place], np.array(prefix), docs_[place], span)
-        return table_of([(c, 1, b, n, marks[o : o + n].tobytes()) for c, b, n, o in zip(table["chunk"].to_pylist(), table["bucket"].to_pylist(), sizes, offset)], _ANSWERS)
+    def survivors(of: _Chunk, answers: pa.Table):
+        shared, starts = often(of, answers)
+        window_keys = of.window_keys(starts)
+        keys, _, where = distinct_keys(window_keys, of.ids[of.owners(starts)])
+        on = gram_answers(of, answers, where, len(keys), 1) != _NONE
+        return of.suffixes(shared, starts[on], window_keys[on], cuts)
+
+    def runs(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if table.num_rows == 0:
+            return blocks_table([])
+        _, rows, bucket, docs_, _ = survivors(_Chunk(table, span), answers)
+        return run_blocks(table["chunk"][0].as_py(), 0, rows, bucket, docs_, len(cuts) + 1)
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
         if table.num_rows == 0:
             return emit(None, None)
         of = _Chunk(table, span)
-        shared = survivors(of, answers)
-        at, rows, _, docs_, row_of = of.suffixes(shared, cuts)
-        got = [np.frombuffer(m, np.uint32) for _, _, m in answers_of(answers, 1)]
-        marks = np.concatenate(got) if got else np.zeros(0, np.uint32)
+        at, rows, _, docs_, row_of = survivors(of, answers)
+        marks = _Suffixes(span).read(of_kind(answers, 2))
         if len(marks) != len(rows):
             raise RuntimeError("the answers do not fit the chunk")
         gone = np.zeros(len(of.bytes) + span + 1, np.int32)
         if len(at):
-            later = of.ids[of.doc[shared]] > docs_[row_of]  # the chunk itself has the same suffix in a smaller document
-            before, after = rows[row_of, -2].astype(np.int64), rows[row_of, -1].astype(np.int64)
+            # In the chunk itself a smaller document has the same suffix, or other documents have the window.
+            later = of.ids[of.owners(at)] > docs_[row_of]
+            seen = np.where(later, _valid(rows, span)[row_of], marks[row_of])
             start = np.zeros(len(of.bytes) + 1, bool)
             for j in range(span - GRAM + 1):
-                hit = np.where(later, (before >= j) & (after >= span - j), marks[row_of] >> np.uint32(j) & np.uint32(1) > 0)
-                start[at[hit] - j] = True
+                start[at[seen >> np.uint32(j) & np.uint32(1) > 0] - j] = True
             first = np.nonzero(start)[0]
             gone[first] += 1
             gone[first + span] -= 1
         return emit(of, np.cumsum(gone)[: len(of.bytes)] > 0)
 
-    answers = "chunk long, kind long, bucket long, n long, marks binary"
-    known = d.groupBy("chunk").applyInArrow(releasing(grams), "bucket long, chunk long, n long, keys binary, several binary").groupBy("bucket").applyInArrow(releasing(shared_grams), answers)
-    sent = d.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(releasing_pair(runs), "bucket long, chunk long, n long, run binary, docs binary")
-    merged = sent.groupBy("bucket").applyInArrow(releasing(merge), answers)
-    return d.groupBy("chunk").cogroup(known.union(merged).groupBy("chunk")).applyInArrow(releasing_pair(cut), schema)
+    def ask(f, answers: DataFrame) -> DataFrame:
+        return d.groupBy("chunk").cogroup(answers.repartition(fan.partitions, "sender").groupBy("sender")).applyInArrow(releasing_pair(f), BLOCKS)
+
+    def tell(blocks: DataFrame, how, kind: int) -> DataFrame:
+        return answered(blocks, fan, how).withColumn("kind", F.lit(kind))
+
+    known = tell(d.groupBy("chunk").applyInArrow(releasing(grams), BLOCKS), _Grams(frequent), 0)
+    known = known.union(tell(ask(windows, known), _Grams(1 << 62), 1))
+    merged = known.union(tell(ask(runs, known), _Suffixes(span), 2)).repartition(fan.partitions, "sender")
+    return d.groupBy("chunk").cogroup(merged.groupBy("sender")).applyInArrow(releasing_pair(cut), schema)
 
 
 def _rows(of: _Chunk | None, gone: np.ndarray | None, full: bool) -> pa.Table:
@@ -361,15 +501,18 @@ def _rows(of: _Chunk | None, gone: np.ndarray | None, full: bool) -> pa.Table:
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def removed(docs: DataFrame, span: int = 50, chunk_bytes: int = 6 << 20) -> DataFrame:
+def removed(docs: DataFrame, span: int = 50, chunk_bytes: int = 5 << 20, most: int = MOST, frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of docs.
 
     Null and empty texts have no bytes. Rows without doc_id count as before all others, and rows that share a doc_id do not
-    remove each other's text. Strings are judged on the input, not on what is left.
+    remove each other's text. Strings are judged on the input, not on what is left. chunk_bytes: text worked on at a time by a
+    task; a longer document is a chunk of its own. most: ways a chunk splits its suffixes. frequent: anchors of a gram beyond
+    which its windows are told apart one by one; no choice changes the result.
     """
-    return _plan(docs, span, chunk_bytes, lambda of, gone: _rows(of, gone, False), RESULT)
+    return _plan(docs, span, chunk_bytes, most, frequent, lambda of, gone: _rows(of, gone, False), RESULT)
 
 
-def deduplicate(docs: DataFrame, span: int = 50, chunk_bytes: int = 6 << 20) -> DataFrame:
+def deduplicate(docs: DataFrame, span: int = 50, chunk_bytes: int = 5 << 20, most: int = MOST, frequent: int = FREQUENT) -> DataFrame:
     """As removed(), with the remaining bytes (kept; a cut may fall within a UTF-8 character) and the removed byte spans."""
-    return _plan(docs, span, chunk_bytes, lambda of, gone: _rows(of, gone, True), RESULT + ", kept binary, spans array<struct<start:long,stop:long>>")
+    schema = RESULT + ", kept binary, spans array<struct<start:long,stop:long>>"
+    return _plan(docs, span, chunk_bytes, most, frequent, lambda of, gone: _rows(of, gone, True), schema)

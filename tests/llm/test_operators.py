@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from intervane.llm import bestfit_packing as P
-from intervane.llm import components, compression_quality, exact_fingerprint, lm_scoring, media_features, near_copies, secret_scan, simhash_dedup, source_mixing, suffix_dedup, toxicity
+from intervane.llm import components, compression_quality, exact_fingerprint, exchange, lm_scoring, media_features, near_copies, secret_scan, simhash_dedup, source_mixing, suffix_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, fp string"
 WORDS = "the of river stone quick été naïve straße über 日本 token data model and to in".split()
@@ -76,18 +76,28 @@ def key(r):
     return tuple((x is not None, x) for x in r)
 
 
-@pytest.mark.parametrize("chunk", [300, 1 << 20])
-def test_lm_scores(table, chunk):
-    got = [(r.doc_id, r.n_tokens, round(r.log10_score, 5)) for r in lm_scoring.score(table, chunk_bytes=chunk).collect()]
+@pytest.mark.parametrize("chunk, most", [(5000, 2), (5000, 256), (1 << 20, 256)])
+def test_lm_scores(table, chunk, most):
+    got = [(r.doc_id, r.n_tokens, round(r.log10_score, 5)) for r in lm_scoring.score(table, chunk_bytes=chunk, most=most).collect()]
     assert sorted(got, key=key) == sorted(brute_lm(rows_of(table)), key=key)
 
 
 def test_lm_blocks_round_trip():
-    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 56, 1000, dtype=np.uint64))
+    keys = np.unique(np.random.default_rng(1).integers(0, (1 << 64) - 1, 1000, dtype=np.uint64, endpoint=True))
     for k in (keys, keys[:1], keys[[0, -1]]):
-        assert (lm_scoring._unfront(lm_scoring._front(k)) == k).all()
+        assert (exchange.unfront(exchange.front(k)) == k).all()
+        assert (exchange.unfront(exchange.front(k, 48), 48) == k >> np.uint64(16) << np.uint64(16)).all()
     n = np.array([1, 254, 255, 256, 10**9])
-    assert (lm_scoring._unsmall(lm_scoring._small(n), 5) == n).all()
+    assert (exchange.unsmall(exchange.small(n), 5) == n).all()
+
+
+def test_a_sender_splits_its_keys_no_more_than_most_ways(spark):
+    d = docs(spark, ["a"])
+    for chunks, most in [(1, 4), (4, 4), (5, 4), (17, 4), (100_000, 256), (10**8, 256)]:
+        fan = exchange.Fan.of(d, chunks * 10, 10, most)
+        assert fan.chunks == chunks and fan.fan <= most and fan.fan**fan.levels >= chunks
+        assert fan.levels == 1 or most ** (fan.levels - 1) < chunks
+    assert exchange.Fan(10, 4, 2, 8).cuts(1, 3).tolist() == [((12 + k) << 64) // 16 for k in (1, 2, 3)]
 
 
 # --- secrets
@@ -221,11 +231,11 @@ def brute_repeats(rows, span=50):
     return out
 
 
-@pytest.mark.parametrize("chunk", [700, 1 << 20])
-def test_repeated_bytes(table, chunk):
+@pytest.mark.parametrize("chunk, most, frequent", [(5000, 256, 4096), (5000, 2, 2), (1 << 20, 256, 0)])
+def test_repeated_bytes(table, chunk, most, frequent):
     rows = [(-(1 << 63) if k is None else k, t) for k, t in rows_of(table)]
     want = sorted(brute_repeats(rows))
-    got = sorted((-(1 << 63) if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed(table, chunk_bytes=chunk).collect())
+    got = sorted((-(1 << 63) if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed(table, chunk_bytes=chunk, most=most, frequent=frequent).collect())
     assert got == want and sum(r[2] for r in want) > 0
 
 
@@ -242,7 +252,8 @@ def test_loser_tree_gives_order_and_common_prefixes():
     r = random.Random(3)
     for k in (1, 2, 3, 7, 8):
         runs = [sorted(bytes(r.choice(b"ab") for _ in range(9)) for _ in range(r.randint(1, 30))) for _ in range(k)]
-        source, prefix = suffix_dedup.loser_tree_merge(runs)
+        common = [[0] + [next((i for i in range(9) if a[i] != b[i]), 9) for a, b in zip(run, run[1:])] for run in runs]
+        source, prefix = suffix_dedup.loser_tree_merge(runs, common)
         at = [0] * k
         out = []
         for s in source:
@@ -257,7 +268,9 @@ def test_loser_tree_gives_order_and_common_prefixes():
 def test_front_coding_round_trip():
     r = np.random.default_rng(1)
     rows = np.unique(r.integers(97, 99, (200, 12)).astype(np.uint8), axis=0)
-    assert (suffix_dedup.front_decode(suffix_dedup.front_code(rows), len(rows), 12) == rows).all()
+    again, common = suffix_dedup.front_decode(suffix_dedup.front_code(rows), len(rows), 12)
+    assert (again == rows).all()
+    assert common.tolist() == [0] + [next(i for i in range(12) if a[i] != b[i]) for a, b in zip(rows, rows[1:])]
 
 
 # --- simhash
