@@ -95,7 +95,7 @@ class _Chunk:
             low = np.minimum(low[: len(low) - (width - done)], low[width - done :])
         at = (low[windows] & _U((1 << 21) - 1)).astype(np.int64)
         at = at[np.concatenate([[True], at[1:] != at[:-1]])]
-        return at + first, key[at] & _HIGH
+        return at + first, _mix(key[at]) & _HIGH  # the lowest hashes are crowded at the low end, so they are mixed again
 
     def window_starts(self, anchors: np.ndarray) -> np.ndarray:
         """Starts of all windows of one document that hold the gram at one of the anchors (numbers of them), ascending."""
@@ -158,7 +158,8 @@ def _keys(part: np.ndarray, width: int) -> np.ndarray:
 def _row_keys(rows: np.ndarray, span: int) -> np.ndarray:
     """The key under which each row travels: that of its gram, or of its window."""
     letters = _LETTERS_ALL[rows[:, :span]] * _power(span)[0][:span]
-    return _mix(np.where(rows[:, -2] == _WINDOW, letters.sum(axis=1, dtype=np.uint64), letters[:, :GRAM].sum(axis=1, dtype=np.uint64))) & _HIGH
+    gram = _mix(_mix(letters[:, :GRAM].sum(axis=1, dtype=np.uint64)))
+    return np.where(rows[:, -2] == _WINDOW, _mix(letters.sum(axis=1, dtype=np.uint64)), gram) & _HIGH
 
 
 def _by_bytes(rows: np.ndarray) -> np.ndarray:
