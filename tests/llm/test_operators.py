@@ -437,7 +437,7 @@ def test_near_copies_keep_one_row_each(spark, empty):
 def test_pieces_are_the_tokenizers_ids(table):
     from tokenizers import Tokenizer
 
-    of = Tokenizer.from_file(P.WORD_BPE)
+    of = Tokenizer.from_file(P.tokenizer_path())
     special = [(900, "<|endoftext|> x<|endoftext|>y don't 'S it's.. é. a». Éa İb J̌x ½² 你好。world! a!!b..c"), (901, None)]
     rows = rows_of(table) + [(k, t or "") for k, t in special]
     d = table.select("doc_id", "text").unionByName(table.sparkSession.createDataFrame(special, "doc_id long, text string"))
@@ -481,6 +481,63 @@ def test_every_capacity_holds(rule):
     assert used == counts and len(bins) <= len(counts) * 2
 
 
+def test_attention_decides_between_bins_that_tokens_alone_would_fill():
+    """By tokens, a piece of 90 takes one of 10; under an attention bound of 5000 only what leaves room in every capacity may join."""
+    counts = {60: 2, 40: 2, 30: 2, 10: 4}
+    scalar = P.fit(counts, P.Limits(100, 100, 100 * 100))
+    vector = P.fit(counts, P.Limits(100, 100, 5000))
+    assert (1, [(60, 1), (40, 1)]) in [(k, parts) for _, k, parts in scalar] or (2, [(60, 1), (40, 1)]) in [(k, parts) for _, k, parts in scalar]
+    for _, _, parts in vector:
+        assert sum(n * k for n, k in parts) <= 100 and sum(n * n * k for n, k in parts) <= 5000
+    assert sorted((n, k * times) for _, times, parts in vector for n, k in parts) != sorted((n, k * times) for _, times, parts in scalar for n, k in parts)
+    # The fewest bins under all bounds: 60 with 30 and 10 (4600), twice; 40 and 40 with 10 and 10 (3400).
+    assert sum(times for _, times, _ in vector) == 3
+
+
+def brute_bin(left, limits):
+    """One bin by the rule of the docstring, in plain loops."""
+    caps = [limits.tokens, limits.documents, limits.attention]
+    room, used, left = list(caps), [], dict(left)
+
+    def put(n):
+        used.append(n)
+        left[n] -= 1
+        for k, d in enumerate((n, 1, n * n)):
+            room[k] -= d
+
+    put(max(n for n in left if left[n]))
+    while True:
+        fit = [n for n in left if left[n] and all(d <= r for d, r in zip((n, 1, n * n), room))]
+        if not fit:
+            return sorted(used)
+        if limits.rule == "dot":
+            best = max(fit, key=lambda n: (sum(w * d / c * r / c for w, c, r, d in zip(limits.weights, caps, room, (n, 1, n * n))), n))
+        else:
+            best = min(fit, key=lambda n: (sum(w * ((r - d) / c) ** 2 for w, c, r, d in zip(limits.weights, caps, room, (n, 1, n * n))), -n))
+        pair = [(n, room[0] - n) for n in fit if n * 2 >= room[0] > n and left.get(room[0] - n, 0) > (n * 2 == room[0]) and n * n + (room[0] - n) ** 2 <= room[2]]
+        if best < room[0] and room[1] >= 2 and pair:
+            put(max(pair)[0])
+            put(max(pair)[1])
+            return sorted(used)
+        put(best)
+
+
+@pytest.mark.parametrize("limits", [P.Limits(100, 6, 5200), P.Limits(100, 6, 5200, rule="residual"), P.Limits(100, 4, 9000, (0.1, 2.0, 3.0), "residual"), P.Limits(64, 64, 4096)])
+def test_bins_follow_the_scores(limits):
+    r = random.Random(11)
+    counts = {}
+    for _ in range(150):
+        n = min(limits.tokens, 1 + int(r.expovariate(0.05)))
+        counts[n] = counts.get(n, 0) + 1
+    left = dict(counts)
+    for _, times, parts in P.fit(counts, limits):
+        if all(n * n <= limits.attention for n, _ in parts):
+            assert brute_bin(left, limits) == sorted(n for n, k in parts for _ in range(k))
+        for n, k in parts:
+            left[n] -= k * times
+    assert not any(left.values())
+
+
 # --- media
 
 
@@ -534,17 +591,28 @@ def test_fingerprints(table, empty):
         e = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
         r = got[k]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(e.encode()).hexdigest())
+        assert r.fingerprint == xxhash.xxh3_128_hexdigest(canon(t).encode()) and r.edited_fingerprint == xxhash.xxh3_128_hexdigest(canon(e).encode())
         assert (r.near_edited, r.near_next) == (float(canon(e) == canon(t)), float(canon(n) == canon(t)))
         same = [x for x, u in rows if canon(u) == canon(t) and x is not None]
         assert r.class_id == (min(same) if same else None)
     assert exact_fingerprint.fingerprint(empty).count() == 0
 
 
-def test_forced_collisions_are_told_apart(table, monkeypatch):
-    rows = exact_fingerprint.save(exact_fingerprint.with_next(table).select("k", "h", "digest"), "rows").withColumn("digest", F.lit("same"))
-    assert exact_fingerprint.strangers(table, rows.where("1 = 0")).count() == 0
-    shared = exact_fingerprint.with_next(table).select("k", "h", "digest")
-    assert exact_fingerprint.strangers(table, shared).count() == 0
+@pytest.mark.parametrize("broadcast, hot", [(200_000, 512), (2, 512), (3, 1)])
+def test_colliding_digests_are_told_apart(table, monkeypatch, broadcast, hot):
+    monkeypatch.setattr(exact_fingerprint, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(exact_fingerprint, "HOT", hot)
+    monkeypatch.setattr(exact_fingerprint, "_ROWS_A_SALT", 5)
+    canon = exact_fingerprint.canonical
+    of_canon, sizes = {}, {}
+    rows = exact_fingerprint.fingerprint(table, bits=4).join(table.select("doc_id", F.coalesce("text", F.lit("")).alias("t")), "doc_id").collect()
+    for r in rows:
+        assert of_canon.setdefault(canon(r.t), r.fingerprint) == r.fingerprint
+        sizes[r.fingerprint] = sizes.get(r.fingerprint, 0) + 1
+    assert len(set(of_canon.values())) == len(of_canon) > 16 and sum("-" in f for f in of_canon.values()) > 10
+    assert all(r.class_size - sizes[r.fingerprint] in (0, 1) for r in rows)  # the row without doc_id counts too
+    bare = [f for f in of_canon.values() if "-" not in f]
+    assert len(bare) == len(set(bare)) <= 16
 
 
 def test_canonical_form():
