@@ -18,13 +18,14 @@ from dataclasses import dataclass
 from itertools import chain
 from unicodedata import is_normalized
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from intervane.llm.common import docs_of, from_rows, save, slices
 
-WORD_BPE = "/opt/tokenizers/word_bpe_49k.json"
+VOCABULARY = "word_bpe_49k.json"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _CACHE_WORDS = 1_000_000
@@ -36,6 +37,13 @@ _TAIL = re.compile(rb"(?<=[A-Za-z0-9])[!#-&(-/:-@\[-_{-~]+(?=[ \t-\r]|$)")
 _KNOWN: dict[str, tuple] = {}
 
 
+def tokenizer_path(name: str = VOCABULARY) -> str:
+    """Place of a public tokenizer's file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 class WordIds:
     """Token ids of texts as little-endian 32-bit bytes.
 
@@ -151,11 +159,14 @@ def cut(ids: bytes, doc_id: int | None, capacity: int, end_id: int) -> list[tupl
     return [(doc_id, k, at // 4, len(part := ids[at : at + step]) // 4, zlib.crc32(part)) for k, at in enumerate(range(0, len(ids), step))]
 
 
-def pieces(docs: DataFrame, tokenizer: str = WORD_BPE, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """Token pieces of every document. Empty and null texts give one piece that holds end_id alone."""
+def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = 4096, end_id: int = 1) -> DataFrame:
+    """Token pieces of every document. Empty and null texts give one piece that holds end_id alone.
+
+    tokenizer: path of the tokenizer's file on every executor; by default that of the public one, as each executor finds it.
+    """
 
     def run(batches):
-        ids = WordIds(tokenizer)
+        ids = WordIds(tokenizer or tokenizer_path())
         for batch in batches:
             for part in slices(batch, 128):
                 names, texts = part.column("doc_id").to_pylist(), part.column("text").to_pylist()
@@ -166,7 +177,11 @@ def pieces(docs: DataFrame, tokenizer: str = WORD_BPE, capacity: int = 4096, end
 
 @dataclass
 class Limits:
-    """Capacities of a bin. attention: sum of squared piece lengths; the default never binds below the token capacity."""
+    """Capacities of a bin. attention: sum of squared piece lengths.
+
+    The defaults are the packing contract's: it bounds tokens alone, so the other two are set where they never bind. weights:
+    of tokens, documents and attention in the scores.
+    """
 
     tokens: int = 4096
     documents: int = 4096
@@ -178,60 +193,60 @@ class Limits:
 def fit(counts: dict[int, int], limits: Limits) -> list[tuple[int, int, list[tuple[int, int]]]]:
     """Bins by vector best fit over {length: count}: (first bin, bins, [(length, pieces of it), ...]).
 
-    A bin opens with the longest piece left. Of the lengths that fit every residual capacity, the one is added whose demand
-    vector has the largest weighted dot product with the residual vector (or leaves the least weighted residual norm). All
-    demands grow with the length, so the dot product is largest for the longest fitting length; the residual rule is
-    evaluated over all. When the best choice would leave a gap that two smaller lengths fill exactly, those two are taken.
+    A bin opens with the longest piece left. A piece of length n asks for (n, 1, n * n) of tokens, documents and attention; all
+    are taken as parts of the capacities. Of the lengths that fit every residual capacity, the one is added whose demand has the
+    largest weighted dot product with the residual vector, or, by the rule "residual", leaves the least weighted norm of it;
+    between equals the longer one. When the best would leave a gap that two smaller lengths fill exactly within every capacity,
+    those two are taken. A piece that breaks a capacity on its own has a bin to itself.
     """
-    left = dict(counts)
-    order = sorted(left)
-    caps = (limits.tokens, limits.documents, limits.attention)
-    scale = [w / max(c, 1) ** 2 for w, c in zip(limits.weights, caps)]
-    out, first = [], 0
-    while order:
-        room, used = list(caps), {}
-
-        def add(n: int) -> None:
-            used[n] = used.get(n, 0) + 1
-            for k, d in enumerate((n, 1, n * n)):
-                room[k] -= d
-
-        def free(n: int) -> int:
-            return left.get(n, 0) - used.get(n, 0)
-
-        def fits(n: int) -> bool:
-            return n <= room[0] and room[1] >= 1 and n * n <= room[2]
-
-        add(order[-1])
-        while room[1] > 0 and room[0] > 0:
-            at = bisect_right(order, room[0])
-            best = None
+    if limits.rule not in ("dot", "residual"):
+        raise ValueError("rule must be dot or residual")
+    sizes = np.array(sorted(counts), dtype=np.int64)
+    left = np.array([counts[n] for n in sizes.tolist()], dtype=np.int64)
+    place = {n: k for k, n in enumerate(sizes.tolist())}
+    caps = np.array([limits.tokens, limits.documents, limits.attention], dtype=np.float64)
+    asks = np.stack([sizes, np.ones_like(sizes), sizes * sizes], axis=1)
+    parts, weights = asks / caps, np.array(limits.weights)
+    out, first, top = [], 0, len(sizes) - 1
+    while True:
+        while top >= 0 and not left[top]:
+            top -= 1
+        if top < 0:
+            return out
+        room, used, free = caps - asks[top], {top: 1}, left.copy()
+        free[top] -= 1
+        while (room > 0).all():
+            end = int(np.searchsorted(sizes, room[0], side="right"))
+            ok = np.nonzero((free[:end] > 0) & (sizes[:end] * sizes[:end] <= room[2]))[0]
+            if not len(ok):
+                break
             if limits.rule == "dot":
-                for n in reversed(order[:at]):
-                    if free(n) > 0 and fits(n):
-                        best = n
-                        break
+                score = parts[ok] @ (weights * room / caps)
             else:
-                rest = [(sum(s * (r - d) ** 2 for s, r, d in zip(scale, room, (n, 1, n * n))), -n) for n in order[:at] if free(n) > 0 and fits(n)]
-                best = -min(rest)[1] if rest else None
-            if best is None:
-                break
-            if best < room[0] and room[1] >= 2:
-                pair = next(((n, room[0] - n) for n in reversed(order[bisect_right(order, (room[0] - 1) // 2) : at]) if n < room[0] and free(n) > 0 and free(room[0] - n) > (n * 2 == room[0]) and n * n + (room[0] - n) ** 2 <= room[2]), None)
-                if pair:
-                    add(pair[0])
-                    add(pair[1])
-                    break
-            add(best)
-        times = min(left[n] // k for n, k in used.items())
-        out.append((first, times, sorted(used.items(), reverse=True)))
+                score = -(((room / caps - parts[ok]) ** 2) @ weights)
+            best = int(ok[np.nonzero(score == score.max())[0][-1]])
+            add = [best]
+            if sizes[best] < room[0] and room[1] >= 2:
+                add = _pair(ok, sizes, free, place, room) or add
+            for k in add:
+                used[k] = used.get(k, 0) + 1
+                free[k] -= 1
+                room = room - asks[k]
+        times = min(int(left[k]) // n for k, n in used.items())
+        out.append((first, times, sorted(((int(sizes[k]), n) for k, n in used.items()), reverse=True)))
         first += times
-        for n, k in used.items():
-            left[n] -= k * times
-            if not left[n]:
-                del left[n]
-                order.remove(n)
-    return out
+        for k, n in used.items():
+            left[k] -= n * times
+
+
+def _pair(ok: np.ndarray, sizes: np.ndarray, free: np.ndarray, place: dict[int, int], room: np.ndarray) -> list[int] | None:
+    """Two lengths that fill the tokens left exactly, the longer one as long as can be."""
+    for a in ok[sizes[ok] * 2 >= room[0]][::-1].tolist():
+        n = int(sizes[a])
+        b = place.get(int(room[0]) - n)
+        if b is not None and free[b] > (a == b) and n * n + int(sizes[b]) ** 2 <= room[2]:
+            return [a, b]
+    return None
 
 
 def places(patterns) -> dict[int, tuple[list[int], list[tuple[int, int, int]]]]:
@@ -250,22 +265,33 @@ def places(patterns) -> dict[int, tuple[list[int], list[tuple[int, int, int]]]]:
     return out
 
 
-def pack(cut_pieces: DataFrame, limits: Limits | None = None, salts: int = 64) -> DataFrame:
+#: Rows that one task ranks, and (length, salt) pairs that a large corpus may have beyond one for each length.
+_ROWS_A_SALT, _SALTS = 4096, 100_000
+
+
+def pack(cut_pieces: DataFrame, limits: Limits | None = None) -> DataFrame:
     """Give each piece a sequence and a gapless offset: cut_pieces plus (sequence_id, offset).
 
     Rows with the same doc_id and piece number are different pieces. A third of all pieces may have one length: ranks within
-    a length are counted per (length, salt) and shifted by the sums of the salts before.
+    a length are counted per (length, salt) and shifted by the sums of the salts before. A length has a salt for each 4096
+    pieces of it, or fewer, so that all pairs are no more than 100,000 beyond the lengths: these numbers come to the driver.
     A piece that breaks a limit on its own gets a bin for itself.
     """
     limits = limits or Limits()
     spark = cut_pieces.sparkSession
-    table = save(cut_pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int")), "pieces")
-    by_salt = table.groupBy("length", "_salt").count().collect()  # at most capacity x salts rows
-    counts: dict[int, int] = {}
+    table = save(cut_pieces, "pieces")
+    counts = {r["length"]: r["count"] for r in table.groupBy("length").count().collect()}  # at most capacity rows
+    a_salt = max(_ROWS_A_SALT, -(-sum(counts.values()) // _SALTS))
+    many = {n: -(-k // a_salt) for n, k in counts.items() if k > a_salt}
+    salts = spark.createDataFrame(list(many.items()), "length long, _salts long")  # at most capacity rows
+    table = table.join(F.broadcast(salts), "length", "left").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.coalesce("_salts", F.lit(1))))
     shift: dict[tuple[int, int], int] = {}
-    for r in sorted(by_salt, key=lambda r: (r.length, r._salt)):
-        shift[r.length, r._salt] = counts.get(r.length, 0)
-        counts[r.length] = counts.get(r.length, 0) + r["count"]
+    before: dict[int, int] = {}
+    if many:
+        by_salt = table.where("_salts is not null").groupBy("length", "_salt").count().collect()
+        for r in sorted(by_salt, key=lambda r: (r["length"], r["_salt"])):
+            shift[r["length"], r["_salt"]] = before.get(r["length"], 0)
+            before[r["length"]] = before.get(r["length"], 0) + r["count"]
     where = spark.sparkContext.broadcast((shift, places(fit(counts, limits))))
     ranked = table.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)
     fields = [f for f in cut_pieces.schema.fields]
@@ -276,7 +302,7 @@ def pack(cut_pieces: DataFrame, limits: Limits | None = None, salts: int = 64) -
         for batch in batches:
             seq, off = [], []
             for n, salt, rank in zip(*(batch.column(c).to_pylist() for c in ("length", "_salt", "_rank"))):
-                rank += shift[n, salt]
+                rank += shift.get((n, salt), 0)
                 starts, ranges = spots[n]
                 i = bisect_right(starts, rank) - 1
                 first, times, offset, k = ranges[i]
@@ -289,7 +315,7 @@ def pack(cut_pieces: DataFrame, limits: Limits | None = None, salts: int = 64) -
     return ranked.mapInArrow(run, types)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str = WORD_BPE, limits: Limits | None = None, end_id: int = 1) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, limits: Limits | None = None, end_id: int = 1) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every document."""
     limits = limits or Limits()
     return pack(pieces(docs, tokenizer, limits.tokens, end_id), limits)
