@@ -12,20 +12,22 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one if that is unset (tests)."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one if that is unset on a local master (tests)."""
     sc = spark.sparkContext
     conf = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not conf:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="intervane-"))
         conf = sc.getCheckpointDir()
     return conf.rstrip("/")
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df to the shared folder and read it back. The files outlive lost executors."""
+def save(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Cut lineage: write df to the shared folder and read it back. The files outlive lost executors. codec: of the files, by default the session's."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/intervane/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

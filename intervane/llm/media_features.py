@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from intervane.llm.common import docs_of, from_rows, slices
+from intervane.llm.common import docs_of, from_rows, save, slices
 
 RATE, UP, DOWN = 16_000, 1, 2  # samples a second as stored; resampled to RATE * UP / DOWN
 WINDOW, HOP, MELS, FRAMES = 256, 128, 24, 32
@@ -131,9 +131,9 @@ def segments(energy: np.ndarray, rate: float, rise: float = 1.15, fall: float =
 
 
 def tensors(mel: np.ndarray, rate: float) -> pa.RecordBatch:
-    """Frames as fixed-shape Arrow tensors of FRAMES x MELS, with start and stop in seconds and the number of frames that are not filling."""
+    """Frames as fixed-shape Arrow tensors of FRAMES x MELS in half precision, with start and stop in seconds and the number of frames that are not filling."""
     n = -(-len(mel) // FRAMES)
-    full = np.zeros((n * FRAMES, MELS), np.float32)
+    full = np.zeros((n * FRAMES, MELS), np.float16)
     full[: len(mel)] = mel
     used = np.minimum(FRAMES, len(mel) - np.arange(n) * FRAMES)
     start = np.arange(n) * FRAMES * HOP / rate
@@ -169,45 +169,78 @@ def summary(mel: np.ndarray, spans: list[tuple[float, float]]) -> str:
     return f"frames={len(mel)};segments={len(spans)};active_ms={round(1000 * sum(b - a for a, b in spans))};mean={q(mean)};dev={q(dev)}"
 
 
-FEATURES = "doc_id long, n_bytes long, media binary, segments array<struct<start:double,stop:double>>, tensors binary, feature string"
-_FEATURES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("segments", pa.list_(pa.struct([("start", pa.float64()), ("stop", pa.float64())]))), ("tensors", pa.binary()), ("feature", pa.string())])
-DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-_DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+#: A span of time, in seconds.
+_SPANS = pa.list_(pa.struct([("start", pa.float64()), ("stop", pa.float64())]))
+MEDIA = "doc_id long, n_bytes long, media binary"
+_MEDIA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
+FEATURES = (
+    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
+    "segments array<struct<start:double,stop:double>>, tensors binary"
+)
+_FEATURES = pa.schema(
+    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64())]
+    + [("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("segments", _SPANS), ("tensors", pa.binary())]
+)
+_FEATURE = pa.schema([*list(_FEATURES)[:7], pa.field("feature", pa.string())])
 
 
-def _mapped(docs: DataFrame, row, schema: str, arrow: pa.Schema) -> DataFrame:
+def _mapped(rows: DataFrame, row, schema: str, arrow: pa.Schema) -> DataFrame:
+    names = rows.columns
+
     def run(batches):
         for batch in batches:
             for part in slices(batch, 64):
-                yield from_rows([row(k, t) for k, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist())], arrow)
+                yield from_rows([row(*values) for values in zip(*(part.column(c).to_pylist() for c in names))], arrow)
 
-    return docs_of(docs).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media, segments, tensors, feature): the WAVE file of each text and its features; tensors is an Arrow IPC stream, see from_ipc()."""
+def media(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media): each text as a WAVE file of 8-bit samples. Null and empty texts are one block of spaces; repeated rows stay."""
 
     def row(k, text):
-        media = to_wave(payload_of(text))
-        mel, spans, rate = analyse(media)
-        return k, len(text.encode("utf-8", "surrogatepass")), media, [{"start": a, "stop": b} for a, b in spans], to_ipc(tensors(mel, rate)), summary(mel, spans)
+        return k, len(text.encode("utf-8", "surrogatepass")), to_wave(payload_of(text))
 
-    return _mapped(docs, row, FEATURES, _FEATURES)
+    return _mapped(docs_of(docs), row, MEDIA, _MEDIA)
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """Sizes and digests of each row's media and of the payload read back from it, and its features in short.
+def features(media_rows: DataFrame) -> DataFrame:
+    """What the media column (doc_id, n_bytes, media) holds, as read back from it, and its features.
 
-    The media is made, read back and analysed where the text is, and only its digests leave the task.
+    payload: the samples. tensors: an Arrow stream of fixed-shape tensors of log-mel frames with their time spans, see
+    from_ipc(). segments: time spans of high energy. Other columns are left behind.
     """
 
-    def row(k, text):
-        media = to_wave(payload_of(text))
-        back, _ = from_wave(media)
-        mel, spans, rate = analyse(media)
-        kept = from_ipc(to_ipc(tensors(mel, rate)))
-        n = sum(kept["frames"].to_pylist())
-        again = np.concatenate([c.to_numpy_ndarray().reshape(-1, MELS) for c in kept["mel"].chunks])[:n]
-        return (k, len(text.encode("utf-8", "surrogatepass")), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), summary(again, spans))
-
-    return _mapped(docs, row, DIGESTS, _DIGESTS)
+    def row(k, n, wave_file):
+        back, _ = from_wave(wave_file)
+        mel, spans, rate = analyse(wave_file)
+        digests = hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(wave_file), hashlib.sha256(wave_file).hexdigest()
+        return k, n, len(back), *digests, [{"start": a, "stop": b} for a, b in spans], to_ipc(tensors(mel, rate))
+
+    return _mapped(media_rows.select("doc_id", "n_bytes", "media"), row, FEATURES, _FEATURES)
+
+
+def summaries(feature_rows: DataFrame) -> DataFrame:
+    """The rows of features() with what their tensors and segments say in short, in place of these columns: see summary()."""
+
+    def row(*values):
+        *kept, spans, raw = values
+        got = from_ipc(raw)
+        mel = np.concatenate([c.to_numpy_ndarray().reshape(-1, MELS) for c in got["mel"].chunks])[: sum(got["frames"].to_pylist())]
+        return *kept, summary(mel, [(s["start"], s["stop"]) for s in spans])
+
+    return _mapped(feature_rows.select(*_FEATURES.names), row, FEATURES.split(", segments")[0] + ", feature string", _FEATURE)
+
+
+def stored_features(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(media, features) of docs, both written to the shared folder and read back: the features are those of the stored media."""
+    stored = save(media(docs), "media", "zstd")
+    return stored, save(features(stored), "media-features", "zstd")
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """Sizes and digests of each row's stored media and of the payload read back from it, and its stored features in short.
+
+    One row for each row of docs. Null and empty texts are one block of spaces; equal texts give equal values.
+    """
+    return summaries(stored_features(docs)[1])

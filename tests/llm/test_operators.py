@@ -541,15 +541,69 @@ def test_bins_follow_the_scores(limits):
 # --- media
 
 
-def test_media_round_trip(table, empty):
+def direct_mel(x, rate, window=256, hop=128, mels=24):
+    """Log-mel frames by sums over the definition of the transform."""
+    x = np.asarray(x, dtype=float)
+    n = max(1, -(-max(0, len(x) - window) // hop) + 1)
+    x = np.concatenate([x, np.zeros(max(0, (n - 1) * hop + window - len(x)))])
+    taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(window) / (window - 1))
+    wave = np.exp(-2j * np.pi * np.outer(np.arange(window // 2 + 1), np.arange(window)) / window)
+    top = 2595 * np.log10(1 + rate / 2 / 700)
+    hertz = [700 * (10 ** (top * k / (mels + 1) / 2595) - 1) for k in range(mels + 2)]
+    out = np.zeros((n, mels))
+    for f in range(n):
+        power = np.abs(wave @ (x[f * hop : f * hop + window] * taper)) ** 2
+        for m in range(mels):
+            a, c, z = hertz[m : m + 3]
+            total = 0.0
+            for k, p in enumerate(power):
+                at = k * rate / window
+                total += p * max(0, min((at - a) / (c - a), (z - at) / (z - c)))
+            out[f, m] = np.log(total + 1e-6)
+    return out
+
+
+def test_log_mel_frames_equal_direct_sums():
+    x = np.random.default_rng(5).normal(0, 0.3, 700).astype(np.float32)
+    for part in (x, x[:256], x[:100]):
+        mel, energy = media_features.frames(part, 8000)
+        want = direct_mel(part, 8000)
+        assert mel.shape == want.shape and np.abs(mel - want).max() < 1e-3
+        filled = np.concatenate([part, np.zeros(max(0, 256 - len(part)))])
+        assert energy[0] == pytest.approx((filled[:256] ** 2).mean(), rel=1e-4)
+
+
+def test_media_columns(spark, table, empty):
+    stored, found = media_features.stored_features(table)
+    text = {r.doc_id: r.text or "" for r in table.select("doc_id", "text").collect()}
+    files = {r.doc_id: bytes(r.media) for r in stored.collect()}
+    kept = {r.doc_id: r for r in found.collect()}
+    assert len(files) == len(kept) == len(text)
     seen = {}
-    for r in media_features.features(table).join(table.select("doc_id", F.col("text").alias("t")), "doc_id").collect():
-        b = (r.t or "").encode()
-        back, rate = media_features.from_wave(bytes(r.media))
-        assert back.rstrip(b" ") == b.rstrip(b" ") and len(back) % 192 == 0 and back.startswith(b) and rate == media_features.RATE
-        assert seen.setdefault(r.t or "", r.feature) == r.feature
-        t = media_features.from_ipc(bytes(r.tensors))
-        assert t["mel"].type.shape == [media_features.FRAMES, media_features.MELS] and all(a < z for a, z in zip(t["start"].to_pylist(), t["stop"].to_pylist()))
+    for r in media_features.summaries(found).collect():
+        b = text[r.doc_id].encode()
+        payload = b + b" " * (-len(b) % 192 or (0 if b else 192))
+        media = files[r.doc_id]
+        assert media[:4] == b"RIFF" and media[8:12] == b"WAVE" and media.endswith(payload) and len(media) - len(payload) == 44
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(b), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest())
+        t = media_features.from_ipc(bytes(kept[r.doc_id].tensors))
+        assert t["mel"].type.shape == [media_features.FRAMES, media_features.MELS]
+        y = media_features.resample((np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128)
+        if len(y) < 3000:
+            want = direct_mel(y, 8000)
+            got = np.concatenate([c.to_numpy_ndarray().reshape(-1, 24) for c in t["mel"].chunks])[: len(want)]
+            assert sum(t["frames"].to_pylist()) == len(want) and np.abs(got - want).max() < 0.02
+            spans = kept[r.doc_id].segments
+            mean, dev = got.astype(float).mean(axis=0), got.astype(float).std(axis=0)
+            parts = dict(p.split("=") for p in r.feature.split(";"))
+            assert (int(parts["frames"]), int(parts["segments"])) == (len(want), len(spans))
+            assert int(parts["active_ms"]) == round(1000 * sum(s.stop - s.start for s in spans))
+            assert max(abs(int(a) - 10 * b) for a, b in zip(parts["mean"].split(","), mean)) < 0.6
+            assert max(abs(int(a) - 10 * b) for a, b in zip(parts["dev"].split(","), dev)) < 0.6
+        ends = [x for a, z in zip(t["start"].to_pylist(), t["stop"].to_pylist()) for x in (a, z)]
+        assert all(a < z for a, z in zip(ends[::2], ends[1::2])) and ends[0] == 0 and ends[-1] >= len(payload) / 16_000
+        assert seen.setdefault(text[r.doc_id], r.feature) == r.feature
     assert media_features.digests(empty).count() == 0
 
 
