@@ -1,7 +1,8 @@
 """Quality by compression: does a text compress better with a dictionary of good or of bad text?
 
-Two zstandard dictionaries are built from labelled text. A text's score is a calibrated function of the difference of its two
-compressed sizes, normalised by its length, so that what it shares with each dictionary decides.
+Pairs of zstandard dictionaries, one of good and one of bad text each, are built from labelled text. A text's score is a
+calibrated, rising function of one number: the difference of its compressed sizes, averaged over the pairs and normalised by
+its length. Texts of equal difference have equal scores.
 """
 
 from __future__ import annotations
@@ -18,40 +19,52 @@ from pyspark.sql import functions as F
 from intervane.llm.common import bounded_sample, docs_of, from_rows, slices
 
 THRESHOLD = 0.3
-SCORES = "doc_id long, score double, predicted int, good_bytes long, bad_bytes long, difference double"
-_SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32()), ("good_bytes", pa.int64()), ("bad_bytes", pa.int64()), ("difference", pa.float64())])
+_TILT = 0.01
+SCORES = "doc_id long, score double, predicted int, good_bytes double, bad_bytes double, difference double"
+_SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32()), ("good_bytes", pa.float64()), ("bad_bytes", pa.float64()), ("difference", pa.float64())])
 
 
 @dataclass(frozen=True)
 class Model:
-    good: bytes
-    bad: bytes
+    """Dictionary pairs (good, bad), their compression level, and the score: rates of good text at rising differences, straight in between.
+
+    Beyond the outermost differences the score goes on by a small part of a logistic curve, so that it rises everywhere.
+    """
+
+    pairs: tuple[tuple[bytes, bytes], ...]
     level: int
-    centre: tuple[float, ...]
-    scale: tuple[float, ...]
-    weights: tuple[float, ...]
+    differences: tuple[float, ...]
+    rates: tuple[float, ...]
 
     def scorer(self):
-        """text -> (score, size with the good dictionary, size with the bad one, normalised difference)."""
-        good, bad = (_compressor(x, self.level) for x in (self.good, self.bad))
-        centre, scale, weights = (np.array(x) for x in (self.centre, self.scale, self.weights))
+        """text -> (score, mean size with the good dictionaries, with the bad ones, normalised difference)."""
+        pairs = _compressors(self.pairs, self.level)
 
-        def run(text: str) -> tuple[float, int, int, float]:
-            b = text.encode("utf-8", "surrogatepass")
-            g, d = len(good(b)), len(bad(b))
-            z = float(((_features(g, d, len(b)) - centre) / scale) @ weights[1:] + weights[0])
-            return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), g, d, (d - g) / (len(b) + _SMOOTH)
+        def run(text: str) -> tuple[float, float, float, float]:
+            t = text.encode("utf-8", "surrogatepass")
+            good, bad = _sizes(pairs, t)
+            d = difference(good, bad, len(t))
+            return self.of(d), good, bad, d
 
         return run
 
+    def of(self, d: float) -> float:
+        """Score of a normalised difference."""
+        tilt = _TILT if len(self.rates) > 1 else 0.0
+        return (1 - tilt) * float(np.interp(d, self.differences, self.rates)) + tilt / (1 + math.exp(-max(-30.0, min(30.0, d))))
+
 
-_SMOOTH = 20
+def difference(good: float, bad: float, n: int) -> float:
+    """Bytes saved by the good dictionary, over the square root of the length: what texts of one kind save varies about so much."""
+    return (bad - good) / math.sqrt(n + 20)
 
 
-def _features(good: int, bad: int, n: int) -> np.ndarray:
-    """The normalised difference, bent and crossed with the length, as a short text's difference says less."""
-    d, size = (bad - good) / (n + _SMOOTH), math.log(n + _SMOOTH)
-    return np.array([d, d * abs(d), d * size, size, good / (n + _SMOOTH), abs(d) ** 0.5 * (1 if d >= 0 else -1)])
+def _compressors(pairs, level: int) -> list[tuple]:
+    return [(_compressor(g, level), _compressor(b, level)) for g, b in pairs]
+
+
+def _sizes(pairs: list[tuple], t: bytes) -> tuple[float, float]:
+    return sum(len(g(t)) for g, _ in pairs) / len(pairs), sum(len(b(t)) for _, b in pairs) / len(pairs)
 
 
 def _dictionary(texts: list[bytes], size: int) -> bytes:
@@ -73,33 +86,34 @@ def _compressor(dictionary: bytes, level: int):
     return zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False).compress
 
 
-def fit(rows: list[tuple[int, str, int]], prior: float | None = None, size: int = 32_768, level: int = 3) -> Model:
-    """Dictionaries from two thirds of the labelled rows, calibration from the rest, which the dictionaries have not seen.
+def fit(rows: list[tuple[int, str, int]], prior: float | None = None, size: int = 32_768, level: int = 3, folds: int = 3) -> Model:
+    """A dictionary pair from all labelled rows but one fold, for each fold; calibration on differences that each fold has with its own pair.
 
-    prior: share of good documents among all labelled ones. With one class only, every score is that share.
+    prior: share of good documents among all labelled ones. With fewer than five documents of a class every score is that share.
     """
     texts = [t.encode("utf-8", "surrogatepass") for _, t, _ in rows]
     y = np.array([r[2] for r in rows], dtype=float)
     share = float(np.clip(prior if prior is not None else (y.mean() if len(y) else 0.5), 1e-4, 1 - 1e-4))
-    fold = np.arange(len(rows)) % 3 == 0
-    parts = [[t for t, label, held in zip(texts, y, fold) if label == k and not held] for k in (1, 0)]
-    good, bad = (_dictionary(p, size) for p in parts)
-    flat = Model(good, bad, level, (0.0,) * 6, (1.0,) * 6, (math.log(share / (1 - share)),) + (0.0,) * 6)
-    if min((y[fold] == 1).sum(), (y[fold] == 0).sum()) < 5:
-        return flat
-    a, b = (_compressor(x, level) for x in (good, bad))
-    x = np.array([_features(len(a(t)), len(b(t)), len(t)) for t, held in zip(texts, fold) if held])
-    label = y[fold]
-    centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    x = np.column_stack([np.ones(len(x)), (x - centre) / scale])
-    weight = np.where(label == 1, share / label.mean(), (1 - share) / (1 - label.mean()))
-    w = np.zeros(x.shape[1])
-    ridge = np.diag([0.0] + [0.3] * (x.shape[1] - 1))
-    for _ in range(40):  # Newton's method
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + ridge + 1e-9 * np.eye(len(w)), x.T @ (weight * (label - p)) - ridge @ w)
-        w += np.clip(step, -2, 2)
-    return Model(good, bad, level, tuple(centre), tuple(scale), tuple(w))
+    fold = np.arange(len(rows)) % folds
+    pairs = tuple(tuple(_dictionary([t for t, label, f in zip(texts, y, fold) if label == k and f != own], size) for k in (1, 0)) for own in range(folds))
+    if min((y == 1).sum(), (y == 0).sum()) < 5:
+        return Model(pairs, level, (0.0,), (share,))
+    ready = _compressors(pairs, level)
+    d = np.array([difference(*_sizes([ready[f]], t), len(t)) for t, f in zip(texts, fold.tolist())])
+    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+    return Model(pairs, level, *_rising(d, y, weight))
+
+
+def _rising(d: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """Isotonic regression of y over d, by pooling neighbours that fall: (mean difference, rate) of each pool, rates kept off 0 and 1."""
+    pools: list[list[float]] = []  # weight, weight of y, weighted sum of d
+    for k in np.argsort(d, kind="stable").tolist():
+        pools.append([weight[k], weight[k] * y[k], weight[k] * d[k]])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last)]
+    least = 0.5 / (weight.sum() + 1)
+    return tuple(float(s / w) for w, _, s in pools), tuple(float(np.clip(g / w, least, 1 - least)) for w, g, _ in pools)
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_class: int = 3000, max_chars: int = 12_000_000) -> Model:
@@ -115,7 +129,10 @@ def learnable(labels: DataFrame) -> DataFrame:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score, predicted, good_bytes, bad_bytes, difference) for every row of docs. An empty text gets what its empty frame's size gives."""
+    """(doc_id, score, predicted, good_bytes, bad_bytes, difference) for every row of docs: sizes are means over the dictionary pairs.
+
+    A null is an empty text, and an empty text gets what its empty frames' sizes give. Repeated rows are scored alike.
+    """
 
     def run(batches):
         of = model.scorer()
