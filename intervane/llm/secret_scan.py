@@ -46,23 +46,82 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def _total(lengths: Column) -> Column:
-    return F.aggregate(lengths, F.lit(0), lambda a, x: a + x)
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
+
+
+def _largest(numbers: Column) -> Column:
+    return F.coalesce(F.array_max(numbers), F.lit(0))
+
+
+#: Numbers that a running total or maximum goes through one by one; larger runs are taken from totals of so many, and of so many of these.
+_RUN = 64
+
+
+def running(numbers: Column, fold: Callable[[Column], Column], then: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """then(before), where before(i) folds the numbers before place i: at most 64 of them, 64 totals of 64, and totals of 4096."""
+    def div(i: Column, n: int) -> Column:
+        return F.floor(i / n).cast("int")
+
+    def folded(of: Column) -> Column:
+        blocks = F.sequence(F.lit(0), div(F.size(of) - 1, _RUN))
+        return F.when(F.size(of) > 0, F.transform(blocks, lambda j: fold(F.slice(of, j * _RUN + 1, F.lit(_RUN))))).otherwise(F.array().cast("array<int>"))
+
+    def use(s: Column) -> Column:
+        def before(i: Column) -> Column:
+            far = F.slice(s["coarse"], F.lit(1), div(i, _RUN * _RUN))
+            near = F.slice(s["blocks"], div(i, _RUN * _RUN) * _RUN + 1, div(i, _RUN) % _RUN)
+            own = F.slice(s["each"], div(i, _RUN) * _RUN + 1, i % _RUN)
+            return fold(F.array(fold(far), fold(near), fold(own)))
+
+        return then(before)
+
+    with_blocks = let(numbers, lambda x: F.struct(x.alias("each"), folded(x).alias("blocks")))
+    return let(let(with_blocks, lambda s: F.struct(s["each"].alias("each"), s["blocks"].alias("blocks"), folded(s["blocks"]).alias("coarse"))), use)
 
 
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start:int,stop:int,hit:string>> of leftmost non-overlapping matches, in code points, stop exclusive."""
 
     def found(s: Column) -> Column:
-        before = lambda i: _total(F.slice(s["gaps"], 1, i + 1)) + _total(F.slice(s["widths"], 1, i))
-        return F.transform(s["hits"], lambda h, i: let(before(i), lambda at: F.struct(at.alias("start"), (at + F.length(h)).alias("stop"), h.alias("hit"))))
+        def placed(before: Callable[[Column], Column]) -> Column:
+            begin = lambda i: before(i) + s["gaps"][i]
+            return F.transform(s["hits"], lambda h, i: let(begin(i), lambda at: F.struct(at.alias("start"), (at + F.length(h)).alias("stop"), h.alias("hit"))))
+
+        steps = F.transform(s["hits"], lambda h, i: s["gaps"][i] + F.length(h))
+        return running(steps, _total, placed)
 
     none = F.array().cast("array<struct<start:int,stop:int,hit:string>>")
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = let(hits, lambda h: F.struct(h.alias("hits"), F.transform(h, lambda x: F.length(x)).alias("widths"), F.transform(F.split(text, pattern, -1), lambda x: F.length(x)).alias("gaps")))
+    parts = F.struct(hits.alias("hits"), F.transform(F.split(text, pattern, -1), lambda x: F.length(x)).alias("gaps"))
     return F.when(text.rlike(pattern), let(parts, found)).otherwise(none)
 
 
+def apart(found: Column, base: Column) -> Column:
+    """Those of found, which do not overlap each other, that overlap none of the base spans; both are sorted by start.
+
+    In one order of all starts, a token is hit by a base span that begins before it and ends beyond its start, or by the next
+    span; a token in between ends before it begins.
+    """
+    mark = lambda m, kind, hit: F.struct(m["start"].alias("start"), F.lit(kind).alias("own"), m["stop"].alias("stop"), hit.alias("hit"))
+    all_ = F.array_sort(F.concat(F.transform(base, lambda m: mark(m, 0, F.lit(""))), F.transform(found, lambda m: mark(m, 1, m["hit"]))))
+
+    def free(events: Column) -> Column:
+        stops = F.transform(events, lambda m: F.when(m["own"] == 0, m["stop"]).otherwise(0))
+
+        def alone(before: Callable[[Column], Column]) -> Column:
+            def ok(m: Column, i: Column) -> Column:
+                after = F.get(events, i + 1)
+                cut = (after["own"] == 0) & (after["start"] < m["stop"])
+                return (m["own"] == 1) & (before(i) <= m["start"]) & ~F.coalesce(cut, F.lit(False))
+
+            return F.transform(F.filter(events, ok), lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"), m["hit"].alias("hit")))
+
+        return running(stops, _largest, alone)
+
+    return F.when((F.size(base) == 0) | (F.size(found) == 0), found).otherwise(let(all_, free))
+
+
 def base_spans(text: Column) -> Column:
     """array<struct<start:int,kind:int,stop:int>> of the three base patterns, by start and then kind."""
     long_enough = F.filter(matches(text, ASSIGN), lambda m: F.length(F.regexp_extract(m["hit"], ASSIGN, 2)) >= 6)
@@ -119,8 +178,7 @@ def findings(docs: DataFrame) -> DataFrame:
     """(doc_id, base, tokens): base spans and tested tokens that overlap none of them, for each row of docs. No text is carried."""
     d = docs_of(docs)
     d = d.select("doc_id", base_spans(F.col("text")).alias("base"), matches(F.col("text"), TOKEN).alias("found"))
-    apart = F.filter("found", lambda m: ~F.exists("base", lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])))
-    tokens = F.transform(apart, lambda m: let(battery(m["hit"]), lambda t: F.struct(m["start"].alias("start"), m["stop"].alias("stop"), t["random"].alias("random"), t["p"].alias("p"))))
+    tokens = F.transform(apart(F.col("found"), F.col("base")), lambda m: let(battery(m["hit"]), lambda t: F.struct(m["start"].alias("start"), m["stop"].alias("stop"), t["random"].alias("random"), t["p"].alias("p"))))
     return d.select("doc_id", "base", tokens.alias("tokens"))
 
 
@@ -197,8 +255,7 @@ def spans_of_thresholds(limits: dict[int, float]) -> Callable[[Column], Column]:
 
     def run(text: Column) -> Column:
         def both(s: Column) -> Column:
-            apart = F.filter(s["found"], lambda m: ~F.exists(s["base"], lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])))
-            more = _of_kind(F.filter(apart, hit), 3)
+            more = _of_kind(F.filter(apart(s["found"], s["base"]), hit), 3)
             return F.array_sort(F.concat(s["base"], more))
 
         return let(F.struct(base_spans(text).alias("base"), matches(text, TOKEN).alias("found")), both)
