@@ -1,9 +1,11 @@
-"""Near copies by the exact Jaccard similarity of word shingles: every pair of at least 4/5 is found.
-
-Sets of that similarity share a shingle among the first n - ceil(4n/5) + 1 of either in any one order of all shingles, so those
-prefixes are joined. The order puts shingles that are frequent in a bounded sample last; it decides the cost, not the result.
-Sets that share a shingle are first held against one of them, for as long as that joins many, and then only pairs of different
-components are listed. A pair goes on to the comparison of whole sets if the prefixes' overlap leaves room for 4/5.
+"""SimHash near-dedup at a similarity: every pair of word-shingle sets of Jaccard similarity 4/5 or more is linked.
+
+Candidates come from the bit-sliced comparison of 64-bit fingerprints, and an exact comparison of whole sets follows. No radius
+finds all pairs of that similarity, so the pairs beyond it are found exactly: sets of that similarity share a shingle among the
+first n - ceil(4n/5) + 1 of either in any one order of all shingles, so those prefixes are joined. The order puts shingles that
+are frequent in a bounded sample last; it decides the cost, not the result. Sets that share a shingle are first held against one
+of them, for as long as that joins many, and then only pairs of different components are listed. A pair goes on to the
+comparison of whole sets if the prefixes' overlap leaves room for 4/5.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from intervane.llm.common import docs_of, save, slices
 from intervane.llm.components import components, first_rows
+from intervane.llm.simhash_dedup import BITS, links
 
 WORDS, SEED = 5, 42
 #: Documents in the sample that finds frequent shingles, the least number of them that makes one frequent, and how many are kept.
@@ -24,9 +27,11 @@ SAMPLE, FREQUENT, MOST = 4000, 4, 200_000
 BROADCAST_ROWS = 400_000
 #: Rounds against leads end at so many, or once no more pairs than this many a row are left to list. All that are left are listed.
 ROUNDS, PAIRS_A_ROW = 3, 2
+#: Bits in which the fingerprints of candidates may differ.
+RADIUS = 3
 _PIECE = 50_000
 
-_OF = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("set_id", pa.int64()), ("n", pa.int32()), ("prefix", pa.binary())])
+_OF = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("set_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("prefix", pa.binary())])
 
 
 def shingles(text: str, words: int = WORDS, seed: int = SEED) -> np.ndarray:
@@ -46,6 +51,14 @@ def set_id(s: np.ndarray) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def fingerprint(s: np.ndarray) -> int:
+    """SimHash of a shingle set: majority bits of its hashes; none: zero."""
+    ones = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(s), 8192):
+        ones += np.unpackbits(s[at : at + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(s)).view(">i8")[0])
+
+
 def prefix(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The first n - ceil(4n/5) + 1 shingles of s: by hash, and after those the frequent ones by rank."""
     if not len(s):
@@ -84,19 +97,34 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, set_id, n, prefix) for every row: n is the size of its shingle set, prefix the bytes of its first shingles."""
+    """(doc_id, text_hash, set_id, fp, n, prefix) for every row: of its shingle set the SimHash, the size, and the bytes of its first shingles."""
     frequent, rank = frequent_shingles(docs)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 sets = [shingles(t) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("text_hash"), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([prefix(s, frequent, rank).tobytes() for s in sets], pa.binary())],
-                    schema=_OF,
-                )
+                columns = [
+                    part.column("doc_id"),
+                    part.column("text_hash"),
+                    pa.array([set_id(s) for s in sets], pa.int64()),
+                    pa.array([fingerprint(s) for s in sets], pa.int64()),
+                    pa.array([len(s) for s in sets], pa.int32()),
+                    pa.array([prefix(s, frequent, rank).tobytes() for s in sets], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, schema=_OF)
+
+    return _texts(docs).mapInArrow(run, "doc_id long, text_hash long, set_id long, fp long, n int, prefix binary")
+
 
-    return _texts(docs).mapInArrow(run, "doc_id long, text_hash long, set_id long, n int, prefix binary")
+def by_fingerprint(of: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(u, v): candidates among the sets of (set_id, fp): one set of each fingerprint with the others of it, and with one of each linked fingerprint."""
+    sets = save(of.select("set_id", "fp").distinct(), "set-fingerprints")
+    lead = save(sets.groupBy("fp").agg(F.min("set_id").alias("lead"), F.count("*").alias("n")), "fingerprint-leads")
+    same = sets.join(lead.where("n > 1"), "fp").where("set_id <> lead").select(F.col("lead").alias("u"), F.col("set_id").alias("v"))
+    of_u, of_v = (lead.select(F.col("fp").alias(f"{k}fp"), F.col("lead").alias(k)) for k in ("u", "v"))
+    pairs = links(sets, radius).toDF("ufp", "vfp").join(of_u, "ufp").join(of_v, "vfp").select("u", "v")
+    return pairs.union(same).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def _groups(batches, names: tuple[str, ...]):
@@ -248,16 +276,17 @@ def members(docs: DataFrame) -> DataFrame:
     of = save(sets_of(docs), "shingle-prefixes")
     shared = save(shared_prefixes(of), "shared-prefixes")
     rows = shared.count()
-    rooted, edges, joined = shared.withColumn("root", F.col("set_id")), None, rows
+    edges = save(confirmed(docs, of, save(by_fingerprint(of), "pairs-by-fingerprint")), "near-fingerprints")
+    rooted, joined = save(_with_roots(shared, components(edges)), "rooted"), rows
     for turn in range(ROUNDS):
         if not joined or _left(rooted) <= PAIRS_A_ROW * rows:
             break
         new = save(confirmed(docs, of, save(possible(against_leads(rooted, turn)), "pairs-with-leads")), "near-leads")
         joined = new.count()
-        edges = new if edges is None else edges.union(new)
+        edges = edges.union(new)
         rooted = save(_with_roots(shared, components(edges)), "rooted")
     new = confirmed(docs, of, save(possible(across(rooted)), "pairs-across"))
-    return _with_roots(of.select("doc_id", "text_hash", "set_id"), components(new if edges is None else edges.union(new))).drop("set_id")
+    return _with_roots(of.select("doc_id", "text_hash", "set_id"), components(edges.union(new))).drop("set_id")
 
 
 def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:

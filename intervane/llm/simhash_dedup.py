@@ -20,6 +20,8 @@ from intervane.llm.common import docs_of, save, slices
 from intervane.llm.components import components, first_rows
 
 BITS, CELL = 64, 4096
+#: Rows of all tables that a task compares on average; small, as comparing costs far more than reading them.
+_ROWS_A_TASK = 20_000
 
 
 def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
@@ -51,7 +53,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
 
 
 def groups_within(fps: list[int], planes_of: list[int], radius: int) -> list[tuple[int, int]]:
-    """Links (fp, first fp of its group) of a cell: fingerprints of one cell that reach each other in steps of at most radius.
+    """Links (fp, the query that reached it) of a cell, within the radius: they join what reaches each other in steps of at most radius.
 
     planes_of: bits in which the cell's fingerprints may differ. Each fingerprint is a query once, against those not yet
     reached; a link is given once for each fingerprint reached.
@@ -73,7 +75,7 @@ def groups_within(fps: list[int], planes_of: list[int], radius: int) -> list[tup
                 k = low.bit_length() - 1
                 near ^= low
                 front.append(k)
-                out.append((fps[k], fps[first]))
+                out.append((fps[k], fps[q]))
     return out
 
 
@@ -122,7 +124,7 @@ def _signed(x: int) -> int:
 
 
 def links(fps: DataFrame, radius: int = 3, cell: int = CELL) -> DataFrame:
-    """Links (u, v) that join all distinct fingerprints (fp long) of fps within radius of each other, transitively.
+    """Links (u, v), within radius of each other, that join all distinct fingerprints (fp long) of fps that do so, transitively.
 
     A key with more than cell fingerprints is dealt out to blocks, and each two blocks of it meet in a task of their own, so
     that no task holds more than two blocks and no pair is missed.
@@ -136,7 +138,8 @@ def links(fps: DataFrame, radius: int = 3, cell: int = CELL) -> DataFrame:
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least(other, "own").alias("i"), F.greatest(other, "own").alias("j")))
     cells = dealt.withColumn("own", own).select("fp", "t", "key", F.explode(meets).alias("at")).select("fp", "t", "key", "at.i", "at.j")
-    cells = cells.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "fp")
+    tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * len(masks) // _ROWS_A_TASK))
+    cells = cells.repartition(tasks, "t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "fp")
     others = [planes for _, planes in masks]
 
     def run(batches):
