@@ -9,7 +9,10 @@ from intervane.llm.common import save, tables
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the multiple-instance model, trained on the labelled ones among them, doesn't predict toxic."""
+    """Documents that the multiple-instance model, trained on the labelled ones among them, doesn't predict toxic.
+
+    Null and empty texts are judged as empty ones; rows without doc_id are judged but not learned from; repeated rows go together.
+    """
     model = toxicity.train(docs, toxicity.learnable(tables(spark, sf_dir, "labels")))
     return toxicity.keep_clean(docs, model)
 
@@ -20,23 +23,27 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, five-word shingle sets of Jaccard similarity 0.8 or more: the smallest doc_id."""
+    """One document of each group of near-duplicates, five-word shingle sets of Jaccard similarity 0.8 or more: the smallest doc_id.
+
+    Candidates come from SimHash and exact comparison follows; what the fingerprints miss is found by shared shingles. Texts
+    without words, nulls among them, are one group. Rows without doc_id come after all others.
+    """
     return near_copies.keep_one(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by a mark and n_chars set anew."""
+    """All documents, with secrets replaced by a mark and n_chars set anew. Rows without a finding, nulls among them, stay as they are."""
     return secret_scan.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled by probabilities raked to the source, language and topic targets."""
+    """Documents sampled by probabilities raked to the source, language and topic targets. Null values are of the cell "other"."""
     return source_mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their place in sequences."""
-    return bestfit_packing.pack_documents(docs)
+    """Token pieces with their place in sequences of at most 4096 tokens and 64 documents: many short ones are spread by the vector rule."""
+    return bestfit_packing.pack_documents(docs, limits=bestfit_packing.Limits(documents=64))
 
 
 STAGES = [
