@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intervane.llm.common import bounded_sample, docs_of, from_rows, slices
+from intervane.llm.common import bounded_sample, docs_of, from_rows, release, slices
 
 THRESHOLD = 0.3
 _TILT = 0.01
@@ -120,7 +120,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_cl
     """Fit on at most per_class documents and max_chars characters of each class. labels: doc_id and label_col, of the rows to learn from."""
     use = labels.select("doc_id", F.col(label_col).alias("label"))
     prior = use.where("label is not null").agg(F.avg(F.col("label").cast("double"))).first()[0]
-    return fit(bounded_sample(docs_of(docs), use, per_class, max_chars), prior)
+    model = fit(bounded_sample(docs_of(docs), use, per_class, max_chars), prior)
+    release()
+    return model
 
 
 def learnable(labels: DataFrame) -> DataFrame:

@@ -90,10 +90,9 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     part = texts.where(F.pmod("text_hash", F.lit(one_in)) == 0).groupBy("text_hash").agg(F.min("text").alias("text"))
     found = part.select("text").mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= FREQUENT)
-    rows = found.orderBy(F.desc("count"), "h").limit(MOST).collect()
-    hashes = np.array([r.h for r in rows], dtype=np.int64).view(np.uint64)
+    hashes = found.orderBy(F.desc("count"), "h").select("h").limit(MOST).toArrow()["h"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    return hashes[order], (len(rows) - np.arange(len(rows)))[order]
+    return hashes[order], (len(hashes) - np.arange(len(hashes)))[order]
 
 
 def sets_of(docs: DataFrame) -> DataFrame:

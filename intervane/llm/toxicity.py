@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intervane.llm.common import bounded_sample, docs_of, from_rows, slices
+from intervane.llm.common import bounded_sample, docs_of, from_rows, release, slices
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -92,16 +93,23 @@ def fit(rows: list[tuple[int, str, int]], prior: float | None = None, min_docs:
     share = float(np.clip(prior if prior is not None else (y.mean() if len(y) else 0.1), 1e-4, 1 - 1e-4))
     if not len(y) or y.min() == y.max():
         return MilModel({}, math.log(share / (1 - share)))
-    # Words as numbers from here on: strings of a sample of many megabytes would be most of the driver's memory.
+    # Words as numbers, end to end, from here on: strings of a sample of many megabytes would be most of the driver's memory.
     number: dict[str, int] = {}
-    docs = []
+    flat, lengths, sentences = array("i"), array("i"), array("i")
     for _, t, _ in rows:
         found = _SENTENCE.findall(t.lower()) or [""]
-        docs.append([np.array([number.setdefault(w, len(number)) for w in _WORD.findall(s)], dtype=np.int32) for s in found])
+        sentences.append(len(found))
+        for s in found:
+            before = len(flat)
+            flat.extend(number.setdefault(w, len(number)) for w in _WORD.findall(s))
+            lengths.append(len(flat) - before)
     names = list(number)
+    words, lengths, sent_doc = np.array(flat), np.array(lengths), np.repeat(np.arange(len(rows)), np.array(sentences))
+    word_sent = np.repeat(np.arange(len(lengths)), lengths)
+    ends = np.searchsorted(sent_doc[word_sent], np.arange(len(rows)), side="right")
     seen: dict[str, list[int]] = {}
-    for sentences, label in zip(docs, y):
-        for f in {f for w in np.unique(np.concatenate(sentences)) for f in features(names[w])}:
+    for begin, end, label in zip(np.concatenate([[0], ends]), ends, y):
+        for f in {f for w in np.unique(words[begin:end]) for f in features(names[w])}:
             seen.setdefault(f, [0, 0])[int(label)] += 1
     n1, n0 = y.sum(), len(y) - y.sum()
     # Features of toxic documents by more than chance (a likelihood ratio); the rest would only be fitted noise.
@@ -111,18 +119,15 @@ def fit(rows: list[tuple[int, str, int]], prior: float | None = None, min_docs:
             e1 = (a0 + a1) * n1 / (n0 + n1)
             if 2 * (a1 * math.log(a1 / e1) + (a0 * math.log(a0 / (a0 + a1 - e1)) if a0 else 0)) > evidence:
                 vocab[f] = len(vocab)
-    of_word = [np.array([vocab[f] for f in features(w) if f in vocab], dtype=np.int64) for w in names]
-    hit = np.array([len(x) > 0 for x in of_word], dtype=bool)
-    sent_doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    toks, places, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-    for sentences in docs:
-        for words in sentences:
-            for w in words[hit[words]] if len(words) else ():
-                toks.append(of_word[w])
-                places.append(np.full(len(of_word[w]), at))
-            at += 1
-    tok, tok_sent = np.concatenate(toks), np.concatenate(places)
-    del docs, number, seen
+    of_word = [[vocab[f] for f in features(w) if f in vocab] for w in names]
+    many = np.array([len(x) for x in of_word], dtype=np.int64)
+    csr, first = np.array([f for x in of_word for f in x], dtype=np.int64), np.cumsum(many) - many
+    hit = many[words] > 0
+    words, tok_sent = words[hit], word_sent[hit]
+    times = many[words]
+    tok_sent = np.repeat(tok_sent, times)
+    tok = csr[np.repeat(first[words] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+    del flat, number, seen, of_word, word_sent
     weight = np.where(y == 1, share * len(y) / n1, (1 - share) * len(y) / n0) / len(y)
     x = np.concatenate([np.zeros(len(vocab)), [-6.0]])
     m, v = np.zeros_like(x), np.zeros_like(x)
@@ -143,7 +148,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_clas
     """Fit on at most per_class documents and max_chars characters of each class. labels: doc_id and label_col, of the rows to learn from."""
     use = labels.select("doc_id", F.col(label_col).alias("label"))
     prior = use.where("label is not null").agg(F.avg(F.col("label").cast("double"))).first()[0]
-    return fit(bounded_sample(docs_of(docs), use, per_class, max_chars), prior)
+    model = fit(bounded_sample(docs_of(docs), use, per_class, max_chars), prior)
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: MilModel) -> DataFrame:
