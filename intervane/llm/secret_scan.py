@@ -59,7 +59,10 @@ _RUN = 64
 
 
 def running(numbers: Column, fold: Callable[[Column], Column], then: Callable[[Callable[[Column], Column]], Column]) -> Column:
-    """then(before), where before(i) folds the numbers before place i: at most 64 of them, 64 totals of 64, and totals of 4096."""
+    """then(before), where before(i) folds the numbers before place i: at most 64 of them, 64 totals of 64, and totals of 4096.
+
+    No more than 64 numbers are folded as they are.
+    """
     def div(i: Column, n: int) -> Column:
         return F.floor(i / n).cast("int")
 
@@ -76,8 +79,11 @@ def running(numbers: Column, fold: Callable[[Column], Column], then: Callable[[C
 
         return then(before)
 
-    with_blocks = let(numbers, lambda x: F.struct(x.alias("each"), folded(x).alias("blocks")))
-    return let(let(with_blocks, lambda s: F.struct(s["each"].alias("each"), s["blocks"].alias("blocks"), folded(s["blocks"]).alias("coarse"))), use)
+    def long(x: Column) -> Column:
+        with_blocks = F.struct(x.alias("each"), folded(x).alias("blocks"))
+        return let(let(with_blocks, lambda s: F.struct(s["each"].alias("each"), s["blocks"].alias("blocks"), folded(s["blocks"]).alias("coarse"))), use)
+
+    return let(numbers, lambda x: F.when(F.size(x) <= _RUN, then(lambda i: fold(F.slice(x, F.lit(1), i)))).otherwise(long(x)))
 
 
 def matches(text: Column, pattern: str) -> Column:
