@@ -20,7 +20,7 @@ from intervane.llm.common import docs_of, from_rows, save, slices
 BROADCAST_ROWS = 200_000
 #: Rows of a class that may meet in one task without more ado.
 HOT = 512
-_ROWS_A_SALT = 256
+_ROWS_A_SALT = 64
 #: Bytes of text in a block of documents in doc_id order, which a task streams through.
 _BLOCK_BYTES = 256 << 20
 #: So many blocks at most are asked of one quantile function; a task streams, so larger blocks need no more memory.
