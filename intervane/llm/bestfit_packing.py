@@ -266,14 +266,14 @@ def places(patterns) -> dict[int, tuple[list[int], list[tuple[int, int, int]]]]:
 
 
 #: Rows that one task ranks, and (length, salt) pairs that a large corpus may have beyond one for each length.
-_ROWS_A_SALT, _SALTS = 4096, 100_000
+_ROWS_A_SALT, _SALTS = 512, 100_000
 
 
 def pack(cut_pieces: DataFrame, limits: Limits | None = None) -> DataFrame:
     """Give each piece a sequence and a gapless offset: cut_pieces plus (sequence_id, offset).
 
     Rows with the same doc_id and piece number are different pieces. A third of all pieces may have one length: ranks within
-    a length are counted per (length, salt) and shifted by the sums of the salts before. A length has a salt for each 4096
+    a length are counted per (length, salt) and shifted by the sums of the salts before. A length has a salt for each 512
     pieces of it, or fewer, so that all pairs are no more than 100,000 beyond the lengths: these numbers come to the driver.
     A piece that breaks a limit on its own gets a bin for itself.
     """
