@@ -400,9 +400,9 @@ def timecode_parse(spark, sf_dir):
     return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), T.parse_time(T.format_time(t, "ass")).alias("seconds"))
 
 
-@query("SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'unchanged' ELSE concat(CASE WHEN o_orderkey % 2 = 0 THEN '-' ELSE '+' END, CAST(o_orderkey % 7001 // 1000 AS VARCHAR), '.', lpad(CAST(o_orderkey % 7001 % 1000 AS VARCHAR), 3, '0'), 's') END AS described FROM orders WHERE o_orderkey % 7001 > 0")
+@query("SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 7001 = 0 THEN 'unchanged' ELSE concat(CASE WHEN o_orderkey % 2 = 0 THEN '-' ELSE '+' END, CAST(o_orderkey % 7001 // 1000 AS VARCHAR), '.', lpad(CAST(o_orderkey % 7001 % 1000 AS VARCHAR), 3, '0'), 's') END AS described FROM orders")
 def describe_transform(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").where("o_orderkey % 7001 > 0")
+    o = read(spark, sf_dir, "orders")
     shift = F.when(F.col("o_orderkey") % 5 == 0, 0.0).otherwise((F.col("o_orderkey") % 7001) / 1000.0 * F.when(F.col("o_orderkey") % 2 == 0, -1.0).otherwise(1.0))
     return o.select(F.col("o_orderkey").alias("k"), T.describe(F.lit(1.0), shift).alias("described"))
 
