@@ -30,7 +30,7 @@ def stream_order(streams: DataFrame, key: str, limit: int = C.MAX_TRACKS) -> Dat
 
 def audio_stream(streams: DataFrame, key: str) -> DataFrame:
     """Japanese, else default, else first: (key, stream)."""
-    rank = F.when(F.lower("language").isin("jpn", "ja", "japanese"), 0).when(F.col("is_default"), 1).otherwise(2)
+    rank = F.when(F.lower("language") == "jpn", 0).when(F.col("is_default"), 1).otherwise(2)
     return streams.groupBy(key).agg(F.min_by("stream", F.struct(rank, "stream")).alias("stream"))
 
 

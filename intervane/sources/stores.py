@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,29 +24,42 @@ def id_mappings(text: DataFrame, column: str = "value") -> DataFrame:
 
 
 def archive_members(files: DataFrame) -> DataFrame:
-    """(path, member, content) of all files in ZIP archives (path, content binary); what is no archive gives no rows."""
+    """(path, member, content, place) of the files in ZIP archives (path, content binary), place being their order.
+
+    What is no archive gives no rows, nor does a member that is empty, encrypted, damaged or packed in an unknown way.
+    """
 
     def run(batches):
         for pdf in batches:
-            out = []
             for path, raw in zip(pdf["path"], pdf["content"]):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(bytes(raw or b""))) as z:
-                        out += [(path, m.filename, z.read(m)) for m in z.infolist() if not m.is_dir()]
-                except zipfile.BadZipFile:
-                    continue
-            yield pd.DataFrame(out, columns=["path", "member", "content"])
+                yield pd.DataFrame(list(_members(path, bytes(raw or b""))), columns=["path", "member", "content", "place"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, member string, content binary, place int")
+
 
-    return files.select("path", "content").mapInPandas(run, "path string, member string, content binary")
+def _members(path: str, raw: bytes):
+    try:
+        archive = zipfile.ZipFile(io.BytesIO(raw))
+    except (zipfile.BadZipFile, NotImplementedError, ValueError):
+        return
+    with archive:
+        for place, m in enumerate(archive.infolist()):
+            if m.is_dir() or not m.file_size:
+                continue
+            try:
+                yield path, m.filename, archive.read(m), place
+            except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError):
+                continue
 
 
 def choose_member(members: DataFrame, episode: Column, key: str = "path") -> DataFrame:
-    """One subtitle of each archive: that of the episode, else the only one."""
+    """One subtitle of each archive: the first in it of the episode, else the only one."""
     m = members.where(N.extension(F.col("member")).isin(*N.SUBTITLES)).withColumn("_ep", N.release(F.col("member"))["episode"])
     w = Window.partitionBy(key)
     hit = F.coalesce(F.col("_ep") == episode, F.lit(False))
-    x = m.withColumn("_hit", hit).withColumn("_n", F.count("*").over(w)).withColumn("_k", F.row_number().over(w.orderBy(F.desc("_hit"), F.lower("member"))))
-    return x.where("_k = 1 and (_hit or _n = 1)").drop("_hit", "_n", "_k", "_ep")
+    ranked = m.withColumn("_hit", hit).withColumn("_n", F.count("*").over(w))
+    ranked = ranked.withColumn("_k", F.row_number().over(w.orderBy(F.desc("_hit"), "place")))
+    return ranked.where("_k = 1 and (_hit or _n = 1)").drop("_hit", "_n", "_k", "_ep")
 
 
 def library(items: DataFrame, conditions: Column, limit: int = 250) -> DataFrame:

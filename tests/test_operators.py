@@ -243,6 +243,16 @@ def test_stores(spark, tmp_path):
         z.writestr("readme.txt", "c")
     m = stores.archive_members(spark.createDataFrame([("p", bytearray(buf.getvalue())), ("q", bytearray(b"no zip"))], "path string, content binary"))
     assert m.count() == 3 and bytes(stores.choose_member(m, F.lit(2)).first().content) == b"b" and stores.choose_member(m, F.lit(9)).count() == 0
+    whole = io.BytesIO()
+    with zipfile.ZipFile(whole, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in (("Show - 02 z.srt", b"first"), ("Show - 02 a.srt", b"second"), ("Show - 03.srt", b""), ("Show - 04.srt", b"damaged " * 50)):
+            z.writestr(name, text)
+    raw = bytearray(whole.getvalue())
+    at = raw.index(b"Show - 04.srt") + len("Show - 04.srt")
+    raw[at : at + 4] = b"\xff\xff\xff\xff"
+    m = stores.archive_members(spark.createDataFrame([("p", raw)], "path string, content binary"))
+    assert sorted(r.member for r in m.collect()) == ["Show - 02 a.srt", "Show - 02 z.srt"]
+    assert bytes(stores.choose_member(m, F.lit(2)).first().content) == b"first"
     path = str(tmp_path / "kv")
     stores.put(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), path, ["k"])
     stores.put(spark.createDataFrame([(2, "c")], "k int, v string"), path, ["k"])
