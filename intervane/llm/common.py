@@ -101,5 +101,5 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, per_class: int, max_chars
     if not chosen:
         return []
     ids = spark.createDataFrame(sorted(chosen.items()), "doc_id long, label int")
-    out = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label").collect()
-    return sorted((r.doc_id, r.text, r.label) for r in out)
+    out = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label").toArrow()
+    return sorted(zip(*(out.column(c).to_pylist() for c in out.column_names)))

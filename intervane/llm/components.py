@@ -15,7 +15,7 @@ def _least(directed: DataFrame) -> DataFrame:
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     m = _least(both).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(e: DataFrame) -> DataFrame:
@@ -24,20 +24,38 @@ def _small_star(e: DataFrame) -> DataFrame:
     return down.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(m.select("u", F.col("m").alias("v"))).distinct()
 
 
+def contract(edges: DataFrame, rounds: int) -> DataFrame:
+    """Edges (u, v), u > v, that join what edges (u long, v long, u <> v) joins, after so many rounds: ever more of them lead to the least node.
+
+    Each round is written to the shared folder, so a lost executor costs at most one round. edges is read several times.
+    """
+    for _ in range(rounds):
+        edges = save(_small_star(_large_star(edges)), "edges")
+    return edges
+
+
+def nearest_roots(edges: DataFrame) -> DataFrame:
+    """(node, root) for every u of edges (u, v): its least neighbour, which is of the same component but need not be its least node."""
+    return _least(edges).toDF("node", "root")
+
+
+def _is_done(e: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("v", F.lit(0), F.lit(1)))
+    of_node = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return of_node.where("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (u long, v long, u <> v): root is the smallest node reachable.
 
-    Each round is written to the shared folder, so a lost executor costs at most one round. Only three numbers a round come
-    to the driver. An empty edge table gives no rows.
+    Only one row a round comes to the driver. An empty edge table gives no rows.
     """
-    e = save(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    last = None
+    e = save(edges.select("u", "v").where("u <> v"), "edges")
     for _ in range(most_rounds):
-        e = save(_small_star(_large_star(e)), "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.min("u")).first()
-        if now == last:
+        e = contract(e, 1)
+        if _is_done(e):
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        last = now
     raise RuntimeError(f"no fixed point within {most_rounds} rounds")
 
 

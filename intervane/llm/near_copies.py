@@ -10,6 +10,8 @@ comparison of whole sets if the prefixes' overlap leaves room for 4/5.
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from intervane.llm.common import docs_of, save, slices
-from intervane.llm.components import components, first_rows
+from intervane.llm.components import components, contract, first_rows, nearest_roots
 from intervane.llm.simhash_dedup import BITS, links
 
 WORDS, SEED = 5, 42
@@ -25,8 +27,11 @@ WORDS, SEED = 5, 42
 SAMPLE, FREQUENT, MOST = 4000, 4, 200_000
 #: Rows of set ids that may be broadcast to thin out the texts to compare; beyond it they are joined.
 BROADCAST_ROWS = 400_000
-#: Rounds against leads end at so many, or once no more pairs than this many a row are left to list. All that are left are listed.
-ROUNDS, PAIRS_A_ROW = 3, 2
+#: Rounds against leads end once no more pairs than this many a row are left to list, or a round leaves more than this part of them.
+#: All that are left are listed.
+PAIRS_A_ROW, LITTLE_LESS = 2, 2 / 3
+#: Rounds of contraction between them. What they leave apart is only compared once more.
+CONTRACTIONS = 2
 #: Bits in which the fingerprints of candidates may differ.
 RADIUS = 3
 _PIECE = 50_000
@@ -275,15 +280,16 @@ def members(docs: DataFrame) -> DataFrame:
     of = save(sets_of(docs), "shingle-prefixes")
     shared = save(shared_prefixes(of), "shared-prefixes")
     rows = shared.count()
-    edges = save(confirmed(docs, of, save(by_fingerprint(of), "pairs-by-fingerprint")), "near-fingerprints")
-    rooted, joined = save(_with_roots(shared, components(edges)), "rooted"), rows
-    for turn in range(ROUNDS):
-        if not joined or _left(rooted) <= PAIRS_A_ROW * rows:
+    edges = contract(save(confirmed(docs, of, save(by_fingerprint(of), "pairs-by-fingerprint")), "near-fingerprints"), CONTRACTIONS)
+    rooted, before = save(_with_roots(shared, nearest_roots(edges)), "rooted"), None
+    for turn in count():
+        left = _left(rooted)
+        if left <= PAIRS_A_ROW * rows or (before is not None and left > LITTLE_LESS * before):
             break
+        before = left
         new = save(confirmed(docs, of, save(possible(against_leads(rooted, turn)), "pairs-with-leads")), "near-leads")
-        joined = new.count()
-        edges = edges.union(new)
-        rooted = save(_with_roots(shared, components(edges)), "rooted")
+        edges = contract(edges.union(new), CONTRACTIONS)
+        rooted = save(_with_roots(shared, nearest_roots(edges)), "rooted")
     new = confirmed(docs, of, save(possible(across(rooted)), "pairs-across"))
     return _with_roots(of.select("doc_id", "text_hash", "set_id"), components(edges.union(new))).drop("set_id")
 
