@@ -4,8 +4,9 @@ Candidates come from the bit-sliced comparison of 64-bit fingerprints, and an ex
 finds all pairs of that similarity, so the pairs beyond it are found exactly: sets of that similarity share a shingle among the
 first n - ceil(4n/5) + 1 of either in any one order of all shingles, so those prefixes are joined. The order puts shingles that
 are frequent in a bounded sample last; it decides the cost, not the result. Sets that share a shingle are first held against one
-of them, for as long as that joins many, and then only pairs of different components are listed. A pair goes on to the
-comparison of whole sets if the prefixes' overlap leaves room for 4/5.
+of them, for as long as that joins many, and then only pairs of different components are listed, each where it may first share
+a shingle: if what follows there leaves room for 4/5, if the shingles just before are not shared, and if parity bits of the whole
+sets differ in no more places than sets of that similarity can. None of these tests loses a pair, and whole sets are compared after.
 """
 
 from __future__ import annotations
@@ -35,8 +36,13 @@ CONTRACTIONS = 2
 #: Bits in which the fingerprints of candidates may differ.
 RADIUS = 3
 _PIECE = 50_000
+#: Columns of the parity bits of a set, 64 in each.
+_BITS = ("b0", "b1", "b2", "b3")
 
-_OF = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("set_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("prefix", pa.binary())])
+_OF = pa.schema(
+    [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("set_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("prefix", pa.binary())]
+    + [(b, pa.int64()) for b in _BITS]
+)
 
 
 def shingles(text: str, words: int = WORDS, seed: int = SEED) -> np.ndarray:
@@ -64,6 +70,12 @@ def fingerprint(s: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(s)).view(">i8")[0])
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """For each of 256 residues, one bit: whether an odd number of shingles has it. Two sets' bits differ in at most as many places as the sets."""
+    counts = np.bincount((s & np.uint64(64 * len(_BITS) - 1)).astype(np.int64), minlength=64 * len(_BITS))
+    return np.packbits(counts & 1).view(np.int64)
+
+
 def prefix(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The first n - ceil(4n/5) + 1 shingles of s: by hash, and after those the frequent ones by rank."""
     if not len(s):
@@ -101,7 +113,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, set_id, fp, n, prefix) for every row: of its shingle set the SimHash, the size, and the bytes of its first shingles."""
+    """(doc_id, text_hash, set_id, fp, n, prefix, b0 to b3) for every row: of its shingle set the SimHash, the size, the bytes of its first shingles, and parity bits."""
     frequent, rank = frequent_shingles(docs)
 
     def run(batches):
@@ -115,10 +127,11 @@ def sets_of(docs: DataFrame) -> DataFrame:
                     pa.array([fingerprint(s) for s in sets], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int32()),
                     pa.array([prefix(s, frequent, rank).tobytes() for s in sets], pa.binary()),
+                    *map(pa.array, np.array([parity(s) for s in sets], dtype=np.int64).reshape(-1, len(_BITS)).T),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, schema=_OF)
 
-    return _texts(docs).mapInArrow(run, "doc_id long, text_hash long, set_id long, fp long, n int, prefix binary")
+    return _texts(docs).mapInArrow(run, "doc_id long, text_hash long, set_id long, fp long, n int, prefix binary, " + ", ".join(f"{b} long" for b in _BITS))
 
 
 def by_fingerprint(of: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -148,31 +161,35 @@ def _groups(batches, names: tuple[str, ...]):
 
 
 def shared_prefixes(of: DataFrame) -> DataFrame:
-    """(h, n, set_id): sets by shingle h of their prefixes, for each h that two sets or more share."""
+    """(h, n, set_id, at, before): sets by shingle h of their prefixes, its place there and the shingle before it, for each h that two sets or more share."""
+    names = ("h", "n", "set_id", "at", "before")
+    schema = "h long, n int, set_id long, at int, before long"
 
     def each(batches):
         for batch in batches:
             for part in slices(batch):
                 prefixes = [np.frombuffer(x, dtype=np.int64) for x in part.column("prefix").to_pylist()]
-                times = [len(x) for x in prefixes]
+                times = np.array([len(x) for x in prefixes], dtype=np.int64)
                 h = np.concatenate(prefixes) if prefixes else np.empty(0, dtype=np.int64)
-                columns = [np.repeat(part.column(c).to_numpy(zero_copy_only=False), times) for c in ("n", "set_id")]
-                yield pa.RecordBatch.from_arrays([pa.array(h), *map(pa.array, columns)], names=["h", "n", "set_id"])
+                at = np.arange(len(h)) - np.repeat(np.cumsum(times) - times, times)
+                n, s = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), times) for c in ("n", "set_id"))
+                before = np.r_[0, h[:-1]][: len(h)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, n, s, at.astype(np.int32), before)], names=list(names))
 
     def run(batches):
-        for h, n, s in _groups(batches, ("h", "n", "set_id")):
+        for h, n, s, at, before in _groups(batches, names):
             new = np.ones(len(h), dtype=bool)
             new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
-            h, n, s = h[new], n[new], s[new]
+            h, n, s, at, before = (x[new] for x in (h, n, s, at, before))
             follows = np.zeros(len(h), dtype=bool)
             follows[1:] = h[1:] == h[:-1]
             many = follows.copy()
             many[:-1] |= follows[1:]
-            yield pa.RecordBatch.from_arrays([pa.array(h[many]), pa.array(n[many]), pa.array(s[many])], names=["h", "n", "set_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (h, n, s, at, before)], names=list(names))
 
-    rows = of.select("n", "set_id", "prefix").mapInArrow(each, "h long, n int, set_id long")
+    rows = of.select("n", "set_id", "prefix").mapInArrow(each, schema)
     rows = rows.repartition("h").sortWithinPartitions("h", "n", "set_id")
-    return rows.mapInArrow(run, "h long, n int, set_id long")
+    return rows.mapInArrow(run, schema)
 
 
 def _mixed(h: np.ndarray, root: np.ndarray):
@@ -203,18 +220,28 @@ def against_leads(rows: DataFrame, turn: int) -> DataFrame:
     return rows.select("h", "n", "set_id", "root").mapInArrow(run, "u long, v long, un int, vn int")
 
 
-def across(rows: DataFrame) -> DataFrame:
-    """(u, v, un, vn) for each h that sets u and v of different roots share, sizes permitting. rows: (h, n, set_id, root)."""
+def across(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """(u, v): sets of different roots that share an h and may be 4/5 alike, a pair of that similarity once at least. rows: (h, n, set_id, at, before, root).
+
+    Take the first shingle in order that two sets share, at places i and j. Those before it are not shared, so at most
+    min(un - i, vn - j) are, and 4/5 needs 4/9 of un + vn. Where that fails, or the two shingles before are one, h is not the
+    first or the pair is not alike; and alike sets differ in at most a ninth of un + vn, so their parity bits do.
+    """
+    names = ("h", "n", "set_id", "root", "at", "before", *_BITS)
 
     def run(batches):
-        for h, n, s, root in _groups(batches, ("h", "n", "set_id", "root")):
-            n = n.astype(np.int64)
+        for h, n, s, root, at, before, *bits in _groups(batches, names):
+            n, bits = n.astype(np.int64), np.stack(bits, axis=1).view(np.uint64)
+            rest = n - at
             out, held = [], 0
             for a, b in _mixed(h, root):
                 first = a + np.searchsorted(n[a:b], -(-4 * n[a:b] // 5))
                 for i in range(a + 1, b):
                     j = np.arange(first[i - a], i)
-                    j = j[root[j] != root[i]]
+                    both = n[j] + n[i]
+                    may_be_first = (before[j] != before[i]) | (at[j] == 0) | (at[i] == 0)
+                    j = j[(root[j] != root[i]) & (9 * np.minimum(rest[j], rest[i]) >= 4 * both) & may_be_first]
+                    j = j[9 * np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64) <= n[j] + n[i]]
                     if len(j):
                         out.append((j, np.full(len(j), i)))
                         held += len(j)
@@ -224,7 +251,8 @@ def across(rows: DataFrame) -> DataFrame:
             if out:
                 yield _pairs(out, s, n)
 
-    return rows.repartition("h").sortWithinPartitions("h", "n", "set_id").mapInArrow(run, "u long, v long, un int, vn int")
+    rows = rows.join(of.select("set_id", *_BITS).dropDuplicates(["set_id"]), "set_id").select(*names)
+    return rows.repartition("h").sortWithinPartitions("h", "n", "set_id").mapInArrow(run, "u long, v long, un int, vn int").select("u", "v").distinct()
 
 
 def _pairs(at: list[tuple[np.ndarray, np.ndarray]], s: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -290,7 +318,7 @@ def members(docs: DataFrame) -> DataFrame:
         new = save(confirmed(docs, of, save(possible(against_leads(rooted, turn)), "pairs-with-leads")), "near-leads")
         edges = contract(edges.union(new), CONTRACTIONS)
         rooted = save(_with_roots(shared, nearest_roots(edges)), "rooted")
-    new = confirmed(docs, of, save(possible(across(rooted)), "pairs-across"))
+    new = confirmed(docs, of, save(across(rooted, of), "pairs-across"))
     return _with_roots(of.select("doc_id", "text_hash", "set_id"), components(edges.union(new))).drop("set_id")
 
 

@@ -529,6 +529,18 @@ def test_near_copies_equal_brute_force(spark, monkeypatch, pairs_a_row):
     assert len(set(zip(of, (root[k] for k in range(len(values)))))) == len(set(of)) == len(set(root.values()))
 
 
+def test_pairs_across_lose_no_near_pair(spark):
+    values = edited_texts(5)
+    of = near_copies.sets_of(docs(spark, values)).cache()
+    rows = near_copies.shared_prefixes(of).withColumn("root", F.col("set_id"))
+    listed = {(r.u, r.v) for r in near_copies.across(rows, of).collect()}
+    sets = {near_copies.set_id(x): set(x.tolist()) for x in (near_copies.shingles(t or "") for t in values)}
+    near = {(u, v) for u, a in sets.items() for v, b in sets.items() if u < v and a and 5 * len(a & b) >= 4 * len(a | b)}
+    far = sum(bool(a & b) for u, a in sets.items() for v, b in sets.items() if u < v) - len(near)
+    either = {tuple(sorted(p)) for p in listed}
+    assert len(near) > 30 and near <= either and len(either) == len(listed) and len(either - near) < far / 20
+
+
 def test_near_copies_keep_one_row_each(spark, empty):
     same = " ".join(f"w{k}" for k in range(60))
     rows = [(None, same, "en"), (4, same + " tail", "de"), (3, same, "fr"), (3, same, "fr"), (3, "another text", None), (None, "alone", "x"), (None, "alone", "y"), (9, None, "z")]
