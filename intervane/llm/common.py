@@ -6,7 +6,9 @@ import ctypes
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,17 @@ def slices(batch: pa.RecordBatch, rows: int = 256):
         yield batch.slice(at, rows)
 
 
+def portions(batch: pa.RecordBatch, column: str, n_bytes: int = 4_000_000):
+    """Zero-copy parts of an Arrow batch with about n_bytes of a text column each, or one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + n_bytes, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def release() -> None:
     """Give free memory back to the system: a Python worker lives on from task to task."""
     pa.default_memory_pool().release_unused()

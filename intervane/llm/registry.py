@@ -6,7 +6,8 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intervane.llm import bestfit_packing, compression_quality, exact_fingerprint, lm_scoring, media_features, secret_scan, simhash_dedup, source_mixing, suffix_dedup, toxicity
+from intervane.llm import bestfit_packing, compression_quality, exact_fingerprint, hard_negatives, lm_scoring, media_features, secret_scan
+from intervane.llm import simhash_dedup, source_divergence, source_mixing, suffix_dedup, token_files, toxicity
 from intervane.llm.common import tables
 
 
@@ -62,6 +63,19 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", "predicted", "good_bytes", "bad_bytes", "difference")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = tables(spark, sf_dir, "embeddings")
+    return hard_negatives.mine(vectors.withColumn("label", hard_negatives.relabelled(F.col("label").cast("long"), F.col("vec_id"))))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read(token_files.write(tables(spark, sf_dir, "documents")))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.compare(tables(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_secret_scan": op2_secret_scan,
@@ -73,10 +87,15 @@ QUERIES = {
     "op8_media_features": op8_media_features,
     "op9_exact_fingerprint": op9_exact_fingerprint,
     "op10_compression_quality": op10_compression_quality,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_token_files": op12_token_files,
+    "op13_source_divergence": op13_source_divergence,
 }
 QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES: dict[str, str] = {
     "op1_lm_scoring": f"WITH {lm_scoring.sql()} SELECT doc_id, n_tokens, round(log10_score, 4) AS log10_score, CASE WHEN n_tokens > 0 THEN round(log10_score / n_tokens, 6) END AS mean_log10, n3, n2, n1, n0 FROM lm_scores",
     "op3_source_mixing": f"WITH {source_mixing.sql()} SELECT doc_id, c_source AS source_cell, c_lang AS lang_cell, c_topic AS topic_cell, c_tokens AS n_tokens, round(probability, 9) AS probability, kept FROM mixed",
+    "op11_hard_negatives": hard_negatives.sql(),
+    "op13_source_divergence": source_divergence.sql(),
 }
