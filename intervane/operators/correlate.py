@@ -35,24 +35,29 @@ def impulses(ref: DataFrame, probe: DataFrame, keys: list[str], limit: int) -> D
     four = F.array(*[F.struct((F.col(x) - F.col(y)).alias("l"), F.lit(w).alias("w")) for x, y, w in (("a0", "b1", 1), ("a0", "b0", -1), ("a1", "b1", -1), ("a1", "b0", 1))])
     at = met.select(*keys, F.explode(four).alias("i")).select(*keys, "i.l", "i.w").where(F.col("l") <= limit)
     lag = F.greatest(F.col("l"), F.lit(-limit))
-    return at.groupBy(*keys, lag.alias("lag")).agg(F.sum("w").cast("long").alias("imp"), F.sum(F.col("w") * (lag - F.col("l"))).cast("long").alias("carry"))
+    # Nearly all lags of a key differ, so nothing is lost by dealing them out by key first, and what follows needs no other exchange.
+    dealt = at.select(*keys, lag.alias("lag"), "w", (F.col("w") * (lag - F.col("l"))).alias("c")).repartition(*keys)
+    return dealt.groupBy(*keys, "lag").agg(F.sum("w").cast("long").alias("imp"), F.sum("c").cast("long").alias("carry"))
 
 
 def breakpoints(imp: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """(keys, lag, ov, slope, until): overlap at each lag where its slope changes, and the next such lag."""
-    ends = imp.select(*keys).distinct().withColumn("lag", F.explode(F.array(F.lit(-limit).cast("long"), F.lit(limit).cast("long"))))
-    rows = imp.unionByName(ends.withColumn("imp", F.lit(0).cast("long")).withColumn("carry", F.lit(0).cast("long"))).groupBy(*keys, "lag").agg(F.sum("imp").alias("imp"), F.sum("carry").alias("carry"))
+    """(keys, lag, ov, slope, until): overlap at each lag where its slope changes and at the limit, and the next such lag."""
     w = Window.partitionBy(*keys).orderBy("lag")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("slope", F.sum("imp").over(upto)).withColumn("_before", F.lag("lag").over(w)).withColumn("until", F.lead("lag").over(w))
+    rows = imp.withColumn("slope", F.sum("imp").over(upto)).withColumn("_before", F.lag("lag").over(w)).withColumn("until", F.lead("lag").over(w))
     rise = F.coalesce(F.lag("slope").over(w) * (F.col("lag") - F.col("_before")), F.lit(0)) + F.col("carry")
-    return rows.withColumn("_rise", rise).withColumn("ov", F.sum("_rise").over(upto)).select(*keys, "lag", "ov", "slope", "until")
+    rows = rows.withColumn("_rise", rise).withColumn("ov", F.sum("_rise").over(upto))
+    here = F.struct("lag", "ov", "slope", "until")
+    end, last = F.lit(limit).cast("long"), F.col("until").isNull() & (F.col("lag") < limit)
+    upto_end = F.struct("lag", "ov", "slope", end.alias("until"))
+    at_end = F.struct(end.alias("lag"), (F.col("ov") + F.col("slope") * (end - F.col("lag"))).alias("ov"), "slope", F.lit(None).cast("long").alias("until"))
+    return rows.select(*keys, F.explode(F.when(last, F.array(upto_end, at_end)).otherwise(F.array(here))).alias("p")).select(*keys, "p.*")
 
 
 def peaks(points: DataFrame, keys: list[str], limit: int, guard: int) -> DataFrame:
     """(keys, lag, overlap, second): best lag (ties: the lowest) and the best overlap more than guard away from it."""
-    best = points.groupBy(*keys).agg(F.max_by(F.struct("lag", "ov"), F.struct("ov", -F.col("lag"))).alias("b")).select(*keys, F.col("b.lag").alias("_lag"), F.col("b.ov").alias("_ov"))
-    p = points.join(best, keys)
+    best = F.max_by(F.struct("lag", "ov"), F.struct("ov", -F.col("lag"))).over(Window.partitionBy(*keys))
+    p = points.withColumn("_best", best).withColumn("_lag", F.col("_best.lag")).withColumn("_ov", F.col("_best.ov"))
 
     def value_at(place: Column) -> Column:
         here = (F.col("lag") <= place) & ((F.col("until") > place) | F.col("until").isNull()) & (F.abs(place) <= limit)
