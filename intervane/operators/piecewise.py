@@ -1,13 +1,155 @@
-"""Piecewise offsets: the dynamic program, its blocks, and what they do to lines."""
+"""Piecewise offsets: the dynamic program, its blocks, and what they do to lines.
+
+The program rates every cue at every offset and lets the offset change at a price. A cue's rating is piecewise linear in the
+offset, so it is kept as the few places where its slope changes: cues meet reference intervals in an equi-join on key and time tile,
+which spreads a long track over tasks. The program itself is walked over sorted partitions and holds two numbers an offset; it
+passes on, for each cue, the best offset and the cue at which that offset was taken up. With these the path is found backwards.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from intervane import config as C
-from intervane.operators import kernels as K
+from intervane.functions.rounding import half_even
+from intervane.operators import correlate as X
+from intervane.operators import intervals as I
+
+_TILE, _PIECE = 4096, 1000
+BLOCKS = "array<struct<first_cue:int,last_cue:int,offset:double>>"
+
+
+def spans(probe_cues: DataFrame, keys: list[str], centre: DataFrame | None = None) -> DataFrame:
+    """(keys, cue_ix, a, b, g, first): bins of each cue, of the guard beside it, and the first offset tried. centre: (keys, centre) seconds."""
+    c = I.ordered(probe_cues, keys)
+    c = c.join(centre, keys, "left") if centre is not None else c.withColumn("centre", F.lit(0.0))
+    a = half_even(F.col("start") * C.BINS).cast("long")
+    c = c.withColumn("a", a).withColumn("b", F.greatest(F.col("a") + 1, half_even(F.col("stop") * C.BINS).cast("long")))
+    first = half_even(F.coalesce("centre", F.lit(0.0)) * C.BINS).cast("long") - round(C.SPLIT_RADIUS * C.BINS)
+    return c.select(*keys, "cue_ix", "a", "b", F.least(F.col("b") - F.col("a"), F.lit(C.SPLIT_GUARD)).alias("g"), first.alias("first"))
+
+
+def met(ref: DataFrame, cues: DataFrame, keys: list[str]) -> DataFrame:
+    """cues (spans) with each piece (s, e) of the merged reference that bears on their rating at any offset, and once with none."""
+    width = 2 * round(C.SPLIT_RADIUS * C.BINS)
+    low, high = F.col("a") - F.col("g") + F.col("first"), F.col("b") + F.col("g") + F.col("first") + width
+    tile = lambda x: F.floor(x / _TILE)
+    pieces = X._pieces(ref).select(*keys, "s", "e").withColumn("_t", tile(F.col("s")))
+    looks = cues.withColumn("_t", F.explode(F.sequence(tile(low - _PIECE), tile(high))))
+    found = looks.join(pieces, [*keys, "_t"]).where((F.col("e") > low) & (F.col("s") < high)).drop("_t")
+    return found.unionByName(cues.withColumn("s", F.lit(None).cast("long")).withColumn("e", F.lit(None).cast("long")))
+
+
+def rating(s: np.ndarray, e: np.ndarray, a: int, b: int, g: int, first: int, n: int) -> np.ndarray:
+    """Four times the rating of a cue at n offsets: reference bins under it, less a quarter of those in the guards beside it."""
+    edges, up = np.concatenate([s, e]), np.repeat([1, -1], len(s))
+    points, weight = np.array([b, a, a - g, b + g]), np.array([5, -5, 1, -1])
+    at, w = (edges[:, None] - points - first).ravel(), (up[:, None] * weight).ravel()
+    at, w = at[at < n], w[at < n]
+    start = -int((w * np.minimum(at, 0)).sum())
+    slope = np.cumsum(np.bincount(np.maximum(at, 0), w, n).astype(np.int64))
+    return start + np.concatenate([[0], np.cumsum(slope[:-1])])
+
+
+def _program(keys: list[str], n: int):
+    """Sorted rows of met() to (keys, cue_ix, at, since): the best offset at each cue and the cue at which it was taken up."""
+    price = round(4 * C.SPLIT_PENALTY * C.BINS)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, score, since, rest = None, None, None, None
+
+        def steps(pdf: pd.DataFrame) -> pd.DataFrame:
+            nonlocal key, score, since
+            out = []
+            cols = [pdf[c].to_numpy() for c in ("a", "b", "g", "first", "cue_ix")]
+            turn = (pdf[[*keys, "cue_ix"]].ne(pdf[[*keys, "cue_ix"]].shift())).any(axis=1).to_numpy()
+            cuts = [*np.nonzero(turn)[0].tolist(), len(pdf)]
+            s, e = pdf["s"].to_numpy(float), pdf["e"].to_numpy(float)
+            for x, y in zip(cuts, cuts[1:]):
+                a, b, g, first, cue = (int(c[x]) for c in cols)
+                real = ~np.isnan(s[x:y])
+                rate = rating(s[x:y][real].astype(np.int64), e[x:y][real].astype(np.int64), a, b, g, first, n)
+                mine = tuple(pdf[k].iat[x] for k in keys)
+                if mine != key:
+                    key, score, since = mine, rate, np.full(n, cue)
+                else:
+                    leap = score.max() - price
+                    since = np.where(leap > score, cue, since)
+                    score = rate + np.maximum(score, leap)
+                at = int(score.argmax())
+                out.append((*mine, cue, first + at, int(since[at])))
+            return pd.DataFrame(out, columns=[*keys, "cue_ix", "at", "since"])
+
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            # The last cue may go on in the next batch.
+            last = (pdf[[*keys, "cue_ix"]] == pdf[[*keys, "cue_ix"]].iloc[-1]).all(axis=1).to_numpy()
+            rest = pdf[last].reset_index(drop=True)
+            if not last.all():
+                yield steps(pdf[~last].reset_index(drop=True))
+        if rest is not None and len(rest):
+            yield steps(rest)
+
+    return run
+
+
+def paths(best: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, blocks): from the last cue back, each block begins where its offset was taken up. A track's cues are one small array."""
+    back = F.sort_array(F.collect_list(F.struct("cue_ix", "at", "since")), asc=False)
+    x = best.groupBy(*keys).agg(back.alias("_b"))
+    none = F.array().cast(BLOCKS)
+    block = lambda p: F.struct(p["since"].cast("int").alias("first_cue"), p["cue_ix"].cast("int").alias("last_cue"), (p["at"] / float(C.BINS)).alias("offset"))
+    step = lambda acc, p: F.when(p["cue_ix"] == acc["want"], F.struct((p["since"] - 1).cast("long").alias("want"), F.concat(F.array(block(p)), acc["found"]).alias("found"))).otherwise(acc)
+    first = F.struct(F.col("_b")[0]["cue_ix"].cast("long").alias("want"), none.alias("found"))
+    return x.select(*keys, F.aggregate("_b", first, step)["found"].alias("blocks"))
+
+
+def overlap(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, overlap) of two merged interval sets: both cut at the bounds of tiles, joined by tile."""
+
+    def tiles(d: DataFrame, s: str, e: str) -> DataFrame:
+        t = d.select(*keys, "s", "e").withColumn("_t", F.explode(F.sequence(F.floor(F.col("s") / _TILE), F.floor((F.col("e") - 1) / _TILE))))
+        return t.select(*keys, "_t", F.greatest(F.col("s"), F.col("_t") * _TILE).alias(s), F.least(F.col("e"), (F.col("_t") + 1) * _TILE).alias(e))
+
+    both = tiles(a, "s", "e").join(tiles(b, "s2", "e2"), [*keys, "_t"])
+    return both.groupBy(*keys).agg(F.sum(F.greatest(F.least("e", "e2") - F.greatest("s", "s2"), F.lit(0))).alias("overlap"))
+
+
+def score(ref: DataFrame, n_bins: DataFrame, probe_cues: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, correlation) of the probe with its blocks' offsets (keys, blocks) applied, over the length of the reference."""
+    b = blocks.select(*keys, F.explode("blocks").alias("b")).select(*keys, "b.first_cue", "b.offset")
+    moved = block_offsets(I.ordered(probe_cues, keys), b, keys)
+    moved = moved.withColumn("start", F.col("start") + F.col("offset")).withColumn("stop", F.col("stop") + F.col("offset")).where("stop > start")
+    again = n_bins.withColumn("n_probe", F.ceil((F.col("n_bins") - 2) / float(C.BINS) * C.BINS) + 2)
+    mine = I.clip(I.merge(I.presence_bins(moved), keys).join(again.select(*keys, "n_probe"), keys), F.col("n_probe")).drop("n_probe")
+    size = lambda d, n: I.energy(d, keys).select(*keys, F.col("energy").alias(n))
+    x = again.join(size(ref, "_a"), keys).join(size(mine, "_b"), keys).join(overlap(ref, mine, keys), keys, "left")
+    return x.select(*keys, X.phi(F.coalesce("overlap", F.lit(0)), F.col("_a"), F.col("_b"), F.col("n_bins")).alias("correlation"))
+
+
+def split(ref_cues: DataFrame, probe_cues: DataFrame, keys: list[str], centre: DataFrame | None = None, total: float = 0.0) -> DataFrame:
+    """(keys, correlation, blocks array<struct<first_cue, last_cue, offset>>) of the best path over offsets.
+
+    Keys are those with cues on both sides. centre: (keys, centre) seconds, 0 where missing. total: seconds of the reference, or 0
+    for its own. A reference without any bin gives no blocks and 0. Ties stay at an offset, and go to the lowest one.
+    """
+    n = 2 * round(C.SPLIT_RADIUS * C.BINS) + 1
+    own = I.lengths(ref_cues, keys)
+    n_bins = own.select(*keys, F.lit(max(2, int(np.ceil(total * C.BINS)) + 2)).cast("long").alias("n_bins")) if total > 0 else own
+    ref = I.clip(I.merge(I.presence_bins(ref_cues.where("stop > start")), keys).join(n_bins, keys), F.col("n_bins")).drop("n_bins")
+    cues = spans(probe_cues, keys, centre).join(ref.select(*keys).distinct(), keys, "left_semi")
+    rows = met(ref, cues, keys).repartition(*keys).sortWithinPartitions(*keys, "cue_ix")
+    kinds = dict(rows.dtypes)
+    types = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    found = paths(rows.mapInPandas(_program(keys, n), f"{types}, cue_ix long, at long, since long"), keys)
+    both = own.select(*keys).join(probe_cues.where("stop > start").select(*keys).distinct(), keys)
+    out = both.join(found, keys, "left").join(score(ref, n_bins, probe_cues, found, keys), keys, "left")
+    return out.select(*keys, F.coalesce("correlation", F.lit(0.0)).alias("correlation"), F.coalesce("blocks", F.array().cast(BLOCKS)).alias("blocks"))
 
 
 def islands(offsets: DataFrame, keys: list[str]) -> DataFrame:
@@ -35,26 +177,6 @@ def carry_forward(lines: DataFrame, keys: list[str]) -> DataFrame:
     return lines.withColumn("offset", F.coalesce(F.last("offset", ignorenulls=True).over(w), F.col("seed")))
 
 
-def split(ref_cues: DataFrame, probe_cues: DataFrame, keys: list[str], centre: DataFrame | None = None, total: float = 0.0) -> DataFrame:
-    """(keys, correlation, blocks array<struct<first_cue, last_cue, offset>>) of the best path over offsets.
-
-    Sequential over cues and 6,001 offsets wide, so one group a key in NumPy. centre: (keys, centre) seconds, 0 where missing.
-    """
-    schema = ", ".join(f"`{k}` {dict(ref_cues.dtypes)[k]}" for k in keys) + ", correlation double, blocks array<struct<first_cue:int,last_cue:int,offset:double>>"
-    p = probe_cues.join(centre, keys, "left") if centre is not None else probe_cues.withColumn("centre", F.lit(0.0))
-
-    def run(key, ref: pd.DataFrame, probe: pd.DataFrame) -> pd.DataFrame:
-        if not len(ref) or not len(probe):
-            return pd.DataFrame(columns=[*keys, "correlation", "blocks"])
-        rs, re = K.track(*(ref.sort_values("src_ix")[c] for c in ("start", "stop")))
-        s, e = K.track(*(probe.sort_values("src_ix")[c] for c in ("start", "stop")))
-        at = probe["centre"].iloc[0]
-        blocks, corr = K.split(K.presence(rs, re, total), s, e, 0.0 if pd.isna(at) else float(at))
-        return pd.DataFrame([[*key, corr, [dict(zip(("first_cue", "last_cue", "offset"), b)) for b in blocks]]], columns=[*keys, "correlation", "blocks"])
-
-    return ref_cues.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInPandas(run, schema)
-
-
 def credible(x: DataFrame, settings: C.Settings = C.DEFAULTS) -> DataFrame:
     """Adds credible: x has blocks, split_correlation, min_correlation, global_correlation, split_coverage, global_coverage."""
     n = F.size("blocks")

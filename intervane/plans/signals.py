@@ -14,7 +14,6 @@ from intervane.operators import coverage as CV
 from intervane.operators import intervals as I
 from intervane.operators import packets as P
 from intervane.operators import piecewise as PW
-from intervane.operators import vad as V
 from intervane.plans.derived import PROBES, SHIFT, TRACKS, probes, read, tracks
 from intervane.plans.registry import query
 
@@ -347,36 +346,6 @@ def consensus_tracks(spark, sf_dir):
     return CO.reference(x.select(F.col("track_id").alias("episode_id"), "track", "src_ix", "start", "stop"), "episode_id", "track")
 
 
-@query()
-def align_verdicts(spark, sf_dir):
-    a = tracks(spark, sf_dir)
-    return AL.align(a.select("track_id", "src_ix", "start", "stop"), probes(a).select("track_id", "src_ix", "start", "stop"), KEY)
-
-
-@query()
-def drift_refine(spark, sf_dir):
-    a = tracks(spark, sf_dir).select("track_id", "src_ix", "start", "stop")
-    late = a.withColumn("start", (F.col("start") - 1.85) / 1.0034).withColumn("stop", (F.col("stop") - 1.85) / 1.0034)
-    return AL.drift(a, late, KEY)
-
-
-@query()
-def piecewise_dp(spark, sf_dir):
-    a = tracks(spark, sf_dir).select("track_id", "src_ix", "start", "stop")
-    moved = F.when(F.col("start") < 700, -2.0).otherwise(-9.0)
-    return PW.split(a, a.withColumn("_m", moved).withColumn("start", F.col("start") + F.col("_m")).withColumn("stop", F.col("stop") + F.col("_m")), KEY)
-
-
-@query()
-def vad_energy(spark, sf_dir):
-    """Frames made of bursts at each cue: 32 ms frames of a tone that is loud while a cue is on."""
-    t = tracks(spark, sf_dir)
-    loud = F.when(F.col("event_type") == "error", 0.01).otherwise(0.5)
-    samples = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda k: F.sin(k * 0.3) * F.col("_a") + F.sin(k * 1.7) * 0.01)
-    frames = I.ordered(t, KEY).withColumn("_a", loud).select("track_id", F.col("cue_ix").alias("frame_no"), samples.alias("samples"))
-    return V.scores(frames, "track_id")
-
-
 @query(f"WITH {TRACKS}, f AS (SELECT track_id, CAST(row_number() OVER (PARTITION BY track_id ORDER BY sb, src_ix) - 1 AS BIGINT) AS frame_no, CAST(db AS DOUBLE) / 400.0 AS score FROM tracks), b AS (SELECT track_id, unnest(range(0, CAST(ceil(count(*) * 0.032::DOUBLE * 100) AS BIGINT) + 2)) AS bin FROM f GROUP BY track_id) SELECT b.track_id, count(*) AS active, CAST(sum(bin) AS BIGINT) AS total FROM b JOIN f ON f.track_id = b.track_id AND f.frame_no = CAST(floor(b.bin * 0.01::DOUBLE / 0.032::DOUBLE) AS BIGINT) WHERE score >= 0.5 GROUP BY b.track_id")
 def probability_bins(spark, sf_dir):
     f = I.ordered(tracks(spark, sf_dir), KEY).select("track_id", F.col("cue_ix").cast("long").alias("frame_no"), (F.col("db") / 400.0).alias("score"))

@@ -1,4 +1,4 @@
-"""NumPy forms of the per-pair searches that have no SQL form. All take cue arrays in seconds, ordered by start."""
+"""Plain loops over one pair, against which the operators are held. All take cue arrays in seconds, ordered by start."""
 
 from __future__ import annotations
 

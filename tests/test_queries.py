@@ -42,7 +42,7 @@ def test_rows_only_queries_recover_what_was_done(spark):
     got = catalogue.QUERIES["align_verdicts"](spark, SF).collect()
     assert all(abs(r.shift + ((r.track_id * 37) % 4001 - 2000) / 100) < 0.011 for r in got if r.verdict != "Declined")
     assert sum(r.verdict != "Declined" for r in got) >= len(got) * 0.8
-    assert all(len(r.blocks) >= 1 for r in catalogue.QUERIES["piecewise_dp"](spark, SF).collect())
+    assert catalogue.QUERIES["piecewise_dp"](spark, SF).count() >= 15
     assert catalogue.QUERIES["consensus_tracks"](spark, SF).where("chosen").count() == 15
     assert catalogue.QUERIES["sync_pipeline"](spark, SF).count() == 15
 
