@@ -66,7 +66,7 @@ def refine(ref: DataFrame, ref_bins: DataFrame, probe_cues: DataFrame, coarse: D
             break
     for d in done:
         live = live.unionByName(d)
-    return live
+    return save(live, "refined")
 
 
 def coarse_fit(ref: DataFrame, ref_bins: DataFrame, probe_cues: DataFrame, keys: list[str], settings: C.Settings = C.DEFAULTS) -> DataFrame:
@@ -108,19 +108,12 @@ def hypotheses(ref: DataFrame, ref_bins: DataFrame, probe_cues: DataFrame, keys:
     return X.choose_hypothesis(fits, keys, settings)
 
 
-def with_blocks(probe_cues: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """Probe cues moved by the offset of the block that each is in."""
-    b = blocks.select(*keys, F.explode("blocks").alias("b")).select(*keys, "b.first_cue", "b.offset")
-    cues = PW.block_offsets(I.ordered(probe_cues, keys).join(blocks.select(*keys), keys, "left_semi"), b, keys)
-    return cues.select(*keys, "src_ix", (F.col("start") + F.col("offset")).alias("start"), (F.col("stop") + F.col("offset")).alias("stop"))
-
-
 def _pieces(ref_cues: DataFrame, probe_cues: DataFrame, x: DataFrame, total: DataFrame, keys: list[str], settings: C.Settings) -> DataFrame:
     """(keys, found, split_correlation, split_coverage, split_screen) of the pairs in x (keys, shift) that a piecewise fit of several blocks exists for."""
     own = lambda d: d.join(x.select(*keys), keys, "left_semi")
     found = PW.split(own(ref_cues), own(probe_cues), keys, x.select(*keys, F.col("shift").alias("centre")))
     found = save(found.where(F.size("blocks") > 1).withColumnRenamed("blocks", "found").withColumnRenamed("correlation", "split_correlation"), "pieces")
-    shifted = with_blocks(probe_cues, found.select(*keys, F.col("found").alias("blocks")), keys)
+    shifted = PW.with_blocks(probe_cues, found.select(*keys, F.col("found").alias("blocks")), keys)
     cover = CV.measure(ref_cues.join(found.select(*keys), keys, "left_semi"), shifted, keys, total)
     return found.join(cover.select(*keys, F.col("reference_covered").alias("split_coverage"), F.col("on_screen").alias("split_screen")), keys)
 

@@ -35,14 +35,16 @@ def spans(probe_cues: DataFrame, keys: list[str], centre: DataFrame | None = Non
 
 
 def met(ref: DataFrame, cues: DataFrame, keys: list[str]) -> DataFrame:
-    """cues (spans) with each piece (s, e) of the merged reference that bears on their rating at any offset, and once with none."""
+    """cues (spans) with each piece (s, e) of the merged reference that bears on their rating at any offset; a tile without any gives nulls."""
     width = 2 * round(C.SPLIT_RADIUS * C.BINS)
     low, high = F.col("a") - F.col("g") + F.col("first"), F.col("b") + F.col("g") + F.col("first") + width
     tile = lambda x: F.floor(x / _TILE)
-    pieces = X._pieces(ref).select(*keys, "s", "e").withColumn("_t", tile(F.col("s")))
+    pieces = X._pieces(ref).select(*[F.col(k).alias(f"_{k}") for k in keys], "s", "e", tile(F.col("s")).alias("_p"))
     looks = cues.withColumn("_t", F.explode(F.sequence(tile(low - _PIECE), tile(high))))
-    found = looks.join(pieces, [*keys, "_t"]).where((F.col("e") > low) & (F.col("s") < high)).drop("_t")
-    return found.unionByName(cues.withColumn("s", F.lit(None).cast("long")).withColumn("e", F.lit(None).cast("long")))
+    on = (F.col("_t") == F.col("_p")) & (F.col("e") > low) & (F.col("s") < high)
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"_{k}"))
+    return looks.join(pieces, on, "left").select(*cues.columns, "s", "e")
 
 
 def rating(s: np.ndarray, e: np.ndarray, a: int, b: int, g: int, first: int, n: int) -> np.ndarray:
@@ -120,11 +122,16 @@ def overlap(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return both.groupBy(*keys).agg(F.sum(F.greatest(F.least("e", "e2") - F.greatest("s", "s2"), F.lit(0))).alias("overlap"))
 
 
+def with_blocks(probe_cues: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """Probe cues (keys, src_ix, start, stop) of the keys of blocks (keys, blocks), moved by the offset of the block that each is in."""
+    cues = I.ordered(probe_cues, keys).join(blocks.select(*keys, "blocks"), keys)
+    offset = F.element_at(F.filter("blocks", lambda b: b["first_cue"] <= F.col("cue_ix")), -1)["offset"]
+    return cues.withColumn("_o", offset).select(*keys, "src_ix", (F.col("start") + F.col("_o")).alias("start"), (F.col("stop") + F.col("_o")).alias("stop"))
+
+
 def score(ref: DataFrame, n_bins: DataFrame, probe_cues: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, correlation) of the probe with its blocks' offsets (keys, blocks) applied, over the length of the reference."""
-    b = blocks.select(*keys, F.explode("blocks").alias("b")).select(*keys, "b.first_cue", "b.offset")
-    moved = block_offsets(I.ordered(probe_cues, keys), b, keys)
-    moved = moved.withColumn("start", F.col("start") + F.col("offset")).withColumn("stop", F.col("stop") + F.col("offset")).where("stop > start")
+    moved = with_blocks(probe_cues, blocks, keys).where("stop > start")
     again = n_bins.withColumn("n_probe", F.ceil((F.col("n_bins") - 2) / float(C.BINS) * C.BINS) + 2)
     mine = I.clip(I.merge(I.presence_bins(moved), keys).join(again.select(*keys, "n_probe"), keys), F.col("n_probe")).drop("n_probe")
     size = lambda d, n: I.energy(d, keys).select(*keys, F.col("energy").alias(n))

@@ -10,7 +10,7 @@ from intervane.operators import floor as FL
 from intervane.operators import intervals as I
 from intervane.operators import piecewise as PW
 from intervane.operators import vad as V
-from intervane.plans.derived import TRACKS, probes, read, tracks
+from intervane.plans.derived import PROBES, TRACKS, probes, read, tracks
 from intervane.plans.registry import query
 from intervane.plans.signals import KEY, bins_sql, clip_sql, correlate_sql, length_sql, merge_sql
 
@@ -112,10 +112,77 @@ def drift_refine(spark, sf_dir):
     return x.select("track_id", F.round("scale", 6).alias("scale"), F.round("shift", 4).alias("shift"), F.round("correlation", 6).alias("correlation"), "refined")
 
 
-@query()
+def grid_sql(kind: str, ref: str, probe: str) -> str:
+    """A whole query: the chosen ratio of each pair (track_id, scale, lag, correlation, peak_ratio), of presence or onset signals."""
+    keys = "track_id, scale_ix"
+    grid = ", ".join(f"({k}, CAST({v!r} AS DOUBLE))" for k, v in enumerate(C.SCALES))
+    return f"""WITH grid(scale_ix, scale) AS (VALUES {grid}), scaled AS (SELECT p.*, scale_ix, scale FROM {probe} p CROSS JOIN grid),
+na AS (SELECT track_id, scale_ix, n_bins FROM {ref}_n CROSS JOIN grid), nb AS ({length_sql('scaled', 'scale', keys)}), ra AS (SELECT track_id, scale_ix, s, e FROM {ref} CROSS JOIN grid),
+pb AS ({clip_sql(merge_sql(bins_sql('scaled', kind, 'scale', ', scale_ix'), keys), 'SELECT * FROM nb', keys)}), {correlate_sql(keys)},
+top AS (SELECT track_id, arg_max(scale_ix, {{'c': correlation, 'n': -scale_ix}}) AS tix, max(correlation) AS tcorr, max(CASE WHEN scale_ix = 0 THEN correlation END) AS pcorr FROM fits GROUP BY track_id)
+SELECT f.track_id, scale, lag, correlation, peak_ratio FROM fits f JOIN grid USING (scale_ix) JOIN top t ON f.track_id = t.track_id AND f.scale_ix = CASE WHEN tcorr - pcorr < 0.02 THEN 0 ELSE tix END"""
+
+
+def cover_sql(probe: str) -> str:
+    """A whole query: (track_id, covered, shown) of a probe already moved, against tracks: shares of reference starts near one of its own, and of time."""
+    return f"""SELECT n.track_id, CAST(coalesce(c, 0) AS DOUBLE) / n AS covered, shown FROM (SELECT track_id, count(*) AS n FROM tracks GROUP BY track_id) n
+ JOIN (SELECT track_id, least(sum(stop_s - start_s) / (CAST(max(n_bins) AS DOUBLE) / 100.0), 1.0) AS shown FROM {probe} JOIN over_n USING (track_id) GROUP BY track_id) USING (track_id)
+ LEFT JOIN (SELECT track_id, count(*) AS c FROM tracks t WHERE EXISTS (SELECT 1 FROM {probe} p WHERE p.track_id = t.track_id AND abs(p.start_s - t.start_s) <= 0.5) GROUP BY track_id) USING (track_id)"""
+
+
+def verdict_sql(probe: str) -> str:
+    """WITH clauses (of WITH RECURSIVE) from tracks and a probe table (track_id, src_ix, start_s, stop_s, stop_s > start_s) to verdicts: all steps for all pairs, by the default settings."""
+    fit = "track_id, lag / 100.0::DOUBLE AS shift, scale, correlation, peak_ratio"
+    return f"""over_n AS MATERIALIZED ({length_sql('tracks')}), over AS MATERIALIZED ({clip_sql(merge_sql(bins_sql('tracks')), 'SELECT * FROM over_n')}),
+onset_n AS MATERIALIZED (SELECT track_id, CAST(ceil(CAST(n_bins AS DOUBLE) / 100.0 * 100.0) AS BIGINT) + 2 AS n_bins FROM over_n), onset_s AS MATERIALIZED ({clip_sql(merge_sql(bins_sql('tracks', 'onset')), 'SELECT * FROM onset_n')}),
+enough AS MATERIALIZED (SELECT * FROM {probe} SEMI JOIN (SELECT track_id FROM {probe} GROUP BY track_id HAVING count(*) >= {C.MIN_CUES_TO_ALIGN}) USING (track_id)),
+onset_s_n AS (SELECT * FROM onset_n), both_fits AS MATERIALIZED (SELECT FALSE AS onset, CAST(0.5 AS DOUBLE) AS lo, {fit} FROM ({grid_sql('presence', 'over', 'enough')}) UNION ALL SELECT TRUE, CAST(0.25 AS DOUBLE), {fit} FROM ({grid_sql('onset', 'onset_s', 'enough')})),
+best_rep AS MATERIALIZED (SELECT * FROM both_fits QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY correlation >= lo AND peak_ratio >= 1.2 DESC, least(correlation / lo, peak_ratio / 1.2) DESC, onset) = 1),
+own_ref AS MATERIALIZED (SELECT track_id, s, e FROM over SEMI JOIN (FROM best_rep WHERE NOT onset) USING (track_id) UNION ALL SELECT track_id, s, e FROM onset_s SEMI JOIN (FROM best_rep WHERE onset) USING (track_id)),
+own_ref_n AS MATERIALIZED (SELECT track_id, n_bins FROM over_n SEMI JOIN (FROM best_rep WHERE NOT onset) USING (track_id) UNION ALL SELECT track_id, n_bins FROM onset_n SEMI JOIN (FROM best_rep WHERE onset) USING (track_id)),
+coarse AS (SELECT track_id, onset, scale, shift, correlation, peak_ratio FROM best_rep), {refine_sql('own_ref', 'enough', 'coarse')},
+placed_probe AS MATERIALIZED (SELECT track_id, src_ix, scale * start_s + shift AS start_s, scale * stop_s + shift AS stop_s FROM enough JOIN refined USING (track_id)),
+fitted AS MATERIALIZED (SELECT r.track_id, r.onset, lo, r.scale, r.shift, r.correlation, r.peak_ratio, covered, shown, r.correlation >= lo AND r.peak_ratio >= 1.2 AS good FROM refined r JOIN best_rep b USING (track_id) LEFT JOIN ({cover_sql('placed_probe')}) USING (track_id)),
+routed AS MATERIALIZED (SELECT e.*, CAST(round_even(shift * 100, 0) AS BIGINT) AS centre FROM enough e JOIN fitted USING (track_id) WHERE NOT good), na AS (SELECT * FROM over_n), ra AS (SELECT * FROM over),
+{piecewise_sql('routed', 'centre')}, several AS (SELECT track_id, count(*) AS n_blocks, min(last_cue - first_cue + 1) AS least_cues FROM split_blocks GROUP BY track_id HAVING count(*) > 1),
+cuts AS (SELECT track_id, n_blocks, split_correlation, c.covered AS c2, c.shown AS o2 FROM several JOIN split_fits USING (track_id) JOIN ({cover_sql('shifted')}) c USING (track_id) JOIN fitted f USING (track_id)
+ WHERE n_blocks <= 4 AND least_cues >= 10 AND split_correlation >= lo AND split_correlation > f.correlation + 0.05 AND c.covered >= 0.65 AND c.covered > f.covered + 0.10),
+verdicts AS (SELECT track_id, CASE WHEN f.track_id IS NULL THEN 'Declined' WHEN c.n_blocks IS NOT NULL THEN 'PiecewiseCut' WHEN NOT good THEN 'Declined' WHEN abs(scale - 1) > 1e-9 THEN (CASE WHEN abs(scale - 1) > 0.1 THEN 'Declined' ELSE 'FramerateDrift' END)
+ WHEN abs(shift) > 30 THEN 'Declined' WHEN abs(shift) < 0.15 THEN 'Exact' ELSE 'ConstantOffset' END AS verdict, f.scale, f.shift, f.correlation, peak_ratio, covered, shown, CASE WHEN f.track_id IS NOT NULL THEN CASE WHEN onset THEN 'onsets' ELSE 'overlap' END END AS matched_on,
+ n_blocks, split_correlation, c2, o2 FROM (SELECT DISTINCT track_id FROM {probe}) LEFT JOIN fitted f USING (track_id) LEFT JOIN cuts c USING (track_id))"""
+
+
+_SAID = """SELECT track_id, verdict, round(CASE WHEN matched_on IS NULL OR verdict = 'Exact' THEN 1.0 ELSE scale END, 6) AS scale, round(CASE WHEN matched_on IS NULL OR verdict = 'Exact' THEN 0.0 ELSE shift END, 4) AS shift,
+ round(coalesce(split_correlation, correlation, 0.0), 6) AS correlation, round(coalesce(peak_ratio, 0.0), 6) AS ratio, round(coalesce(c2, covered), 6) AS coverage, round(coalesce(o2, shown), 6) AS on_screen, matched_on, CAST(coalesce(n_blocks, 0) AS INT) AS n_blocks FROM verdicts"""
+
+
+def _said(x):
+    places = {"scale": 6, "shift": 4, "correlation": 6, "ratio": 6, "coverage": 6, "on_screen": 6}
+    return x.select("track_id", "verdict", *[F.round(c, n).alias(c) for c, n in places.items()], "matched_on", "n_blocks")
+
+
+@query(f"WITH RECURSIVE {TRACKS}, {PROBES}, {verdict_sql('probes')} {_SAID}")
 def align_verdicts(spark, sf_dir):
     a = tracks(spark, sf_dir)
-    return AL.align(a.select("track_id", "src_ix", "start", "stop"), probes(a).select("track_id", "src_ix", "start", "stop"), KEY)
+    return _said(AL.align(a.select("track_id", "src_ix", "start", "stop"), probes(a).select("track_id", "src_ix", "start", "stop"), KEY))
+
+
+#: Seven kinds of probe: in time, late, another rate, cut, another track's, few cues, slowly drifting.
+_KINDS = """kinds AS (SELECT track_id, src_ix, CASE track_id % 7 WHEN 0 THEN start_s + 0.04::DOUBLE WHEN 1 THEN start_s + 4.2::DOUBLE WHEN 2 THEN start_s * 0.96::DOUBLE WHEN 3 THEN start_s + CASE WHEN start_s < 700 THEN 2.0::DOUBLE ELSE 9.0::DOUBLE END WHEN 6 THEN (start_s - 1.85::DOUBLE) / 1.0034::DOUBLE ELSE start_s END AS start_s,
+ CASE track_id % 7 WHEN 0 THEN stop_s + 0.04::DOUBLE WHEN 1 THEN stop_s + 4.2::DOUBLE WHEN 2 THEN stop_s * 0.96::DOUBLE WHEN 3 THEN stop_s + CASE WHEN start_s < 700 THEN 2.0::DOUBLE ELSE 9.0::DOUBLE END WHEN 6 THEN (stop_s - 1.85::DOUBLE) / 1.0034::DOUBLE ELSE stop_s END AS stop_s FROM tracks WHERE track_id % 7 <> 4 AND (track_id % 7 <> 5 OR src_ix % 25 = 0)
+ UNION ALL SELECT track_id - 1, src_ix, start_s, stop_s FROM tracks WHERE (track_id - 1) % 7 = 4)"""
+
+
+@query(f"WITH RECURSIVE {TRACKS}, {_KINDS}, {verdict_sql('kinds')} {_SAID}")
+def verdict_kinds(spark, sf_dir):
+    """Tracks against probes of every kind that a verdict tells apart."""
+    t = tracks(spark, sf_dir).select("track_id", "src_ix", "start", "stop")
+    k = F.col("track_id") % 7
+    cut = F.when(F.col("start") < 700, 2.0).otherwise(9.0)
+    at = lambda c: F.when(k == 0, F.col(c) + 0.04).when(k == 1, F.col(c) + 4.2).when(k == 2, F.col(c) * 0.96).when(k == 3, F.col(c) + cut).when(k == 6, (F.col(c) - 1.85) / 1.0034).otherwise(F.col(c))
+    own = t.where((k != 4) & ((k != 5) | (F.col("src_ix") % 25 == 0))).select("track_id", "src_ix", at("start").alias("start"), at("stop").alias("stop"))
+    other = t.where((F.col("track_id") - 1) % 7 == 4).select((F.col("track_id") - 1).alias("track_id"), "src_ix", "start", "stop")
+    return _said(AL.align(t, own.unionByName(other), KEY))
 
 
 def floor_sql(frames: str, key: str) -> str:
