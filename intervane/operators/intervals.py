@@ -137,3 +137,35 @@ def prefix_sums(bins: DataFrame, keys: list[str], value: str = "w") -> DataFrame
     """Running sum of value up to and with each bin: (.., upto)."""
     w = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     return bins.withColumn("upto", F.sum(value).over(w))
+
+
+_TILE = 4096
+
+
+def prefix_index(merged: DataFrame, n_bins: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, tile, before, parts): bins covered before each tile of [0, n_bins), also empty ones, and the intervals within it, in order."""
+    tile = lambda x: F.floor(x / _TILE)
+    cut = merged.select(*keys, "s", "e", F.explode(F.sequence(tile(F.col("s")), tile(F.col("e") - 1))).alias("tile"))
+    cut = cut.select(*keys, "tile", F.struct(F.greatest(F.col("s"), F.col("tile") * _TILE).alias("s"), F.least(F.col("e"), (F.col("tile") + 1) * _TILE).alias("e")).alias("p"))
+    within = cut.groupBy(*keys, "tile").agg(F.sort_array(F.collect_list("p")).alias("parts"), F.sum(F.col("p.e") - F.col("p.s")).alias("_n"))  # at most a tile's bins
+    every = n_bins.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), tile(F.greatest(F.col("n_bins"), F.lit(0))))).alias("tile"))
+    w = Window.partitionBy(*keys).orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)
+    x = every.join(within, [*keys, "tile"], "left")
+    return x.select(*keys, "tile", F.coalesce(F.sum("_n").over(w), F.lit(0)).cast("long").alias("before"), "parts")
+
+
+def range_sums(merged: DataFrame, n_bins: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """ranges (keys, lo, hi, and others) with covered: bins of [lo, hi) that merged covers, the range held to [0, n_bins) first.
+
+    Two lookups in a prefix index by tile, however long a range is. merged: clipped to [0, n_bins). Keys without bins have none
+    covered; an empty or turned range covers none; equal rows come back once.
+    """
+    own = [c for c in ranges.columns if c not in keys]
+    held = ranges.join(n_bins, keys, "left")
+    clamp = lambda c: F.greatest(F.lit(0).cast("long"), F.least(F.col(c).cast("long"), F.coalesce("n_bins", F.lit(0))))
+    ends = F.array(F.struct(F.lit(-1).alias("sign"), clamp("lo").alias("z")), F.struct(F.lit(1).alias("sign"), F.greatest(clamp("lo"), clamp("hi")).alias("z")))
+    looks = held.select(*keys, F.struct(*own).alias("_r"), F.explode(ends).alias("_x")).select(*keys, "_r", "_x.sign", "_x.z", F.floor(F.col("_x.z") / _TILE).alias("tile"))
+    found = looks.join(prefix_index(merged, n_bins, keys), [*keys, "tile"], "left")
+    inside = F.aggregate(F.coalesce("parts", F.array().cast("array<struct<s:bigint,e:bigint>>")), F.lit(0).cast("long"), lambda acc, p: acc + F.greatest(F.lit(0).cast("long"), F.least(p["e"], F.col("z")) - p["s"]))
+    value = F.col("sign") * (F.coalesce("before", F.lit(0)) + inside)
+    return found.groupBy(*keys, "_r").agg((F.sum(value) / F.count("*") * 2).cast("long").alias("covered")).select(*keys, "_r.*", "covered")

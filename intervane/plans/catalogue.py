@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from intervane.plans import alignment, matching, past, registry, signals, sync  # noqa: F401  registers their queries
+from intervane.plans import alignment, matching, past, registry, resolving, signals, sync  # noqa: F401  registers their queries
 
 QUERIES, ORACLES = registry.QUERIES, registry.ORACLES

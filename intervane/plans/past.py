@@ -60,7 +60,7 @@ def sweep_counters(spark, sf_dir):
     return H.counters(x, ["run"]).withColumn("fraction", F.round("fraction", 9))
 
 
-_FOLD = """num AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY seq) AS n FROM log),
+FOLD = """num AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY seq) AS n FROM log),
 fold AS (SELECT episode_id, CAST(0 AS BIGINT) AS n, '' AS g, CAST(0 AS BIGINT) AS e, 0 AS v FROM (SELECT DISTINCT episode_id FROM log)
 UNION ALL SELECT f.episode_id, x.n, CASE WHEN x.outcome = 'success' AND x.grp <> f.g AND f.v <= 1 THEN x.grp WHEN x.outcome = 'reject' AND x.grp = f.g AND f.v <= 1 THEN '' ELSE f.g END,
  CASE WHEN x.outcome = 'success' AND (x.grp = f.g OR f.v <= 1) THEN x.entry_id WHEN x.outcome = 'reject' AND x.grp = f.g AND f.v <= 1 THEN 0 ELSE f.e END,
@@ -68,7 +68,7 @@ UNION ALL SELECT f.episode_id, x.n, CASE WHEN x.outcome = 'success' AND x.grp <>
  FROM fold f JOIN num x ON x.episode_id = f.episode_id AND x.n = f.n + 1)"""
 
 
-@query(f"WITH RECURSIVE {LOG}, {_FOLD} SELECT episode_id, arg_max(g, n) AS p_group, arg_max(e, n) AS p_entry, arg_max(v, n) AS votes FROM fold GROUP BY episode_id")
+@query(f"WITH RECURSIVE {LOG}, {FOLD} SELECT episode_id, arg_max(g, n) AS p_group, arg_max(e, n) AS p_entry, arg_max(v, n) AS votes FROM fold GROUP BY episode_id")
 def vote_fold(spark, sf_dir):
     return H.vote(log(spark, sf_dir), "episode_id")
 

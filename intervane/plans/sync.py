@@ -45,7 +45,8 @@ def sync(episodes: DataFrame, reference: DataFrame, files: DataFrame, documents:
     probe = cues.join(pairs, "file_id").select("episode_id", "file_id", "src_ix", "start", "stop", "different_cut", "karaoke")
     ref = reference.join(pairs.select("episode_id", "file_id"), "episode_id").select("episode_id", "file_id", "src_ix", "start", "stop")
     verdicts = AL.align(ref, probe, ["episode_id", "file_id"], settings)
-    x = tried.join(verdicts, ["episode_id", "file_id"], "left").withColumns({"has_reference": F.col("matched_on").isNotNull(), "manual_offset": F.lit(None).cast("double"), "force": F.lit(False), "use_measured": F.lit(False), "verdict": F.coalesce("verdict", F.lit("Declined")), "scale": F.coalesce("scale", F.lit(1.0)), "shift": F.coalesce("shift", F.lit(0.0))})
+    heard = reference.where("stop > start").select("episode_id").distinct().withColumn("_heard", F.lit(True))
+    x = tried.join(verdicts, ["episode_id", "file_id"], "left").join(heard, "episode_id", "left").withColumns({"has_reference": F.coalesce("_heard", F.lit(False)), "manual_offset": F.lit(None).cast("double"), "force": F.lit(False), "use_measured": F.lit(False), "verdict": F.coalesce("verdict", F.lit("Declined")), "scale": F.coalesce("scale", F.lit(1.0)), "shift": F.coalesce("shift", F.lit(0.0))})
     x = AL.precedence(x).withColumn("verdict", F.col("final_verdict")).withColumn("scale", F.col("final_scale")).withColumn("shift", F.col("final_shift"))
     x = B.correct(x, ["episode_id"], settings).withColumn("quality", R.quality(F.col("coverage"), F.coalesce("correlation", F.lit(0.0)), F.coalesce("ratio", F.lit(0.0)), F.col("shift"), settings))
     x = save(x, "measured")

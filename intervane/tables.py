@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df below spark.checkpoint.dir (or a temporary folder where that is unset, as in tests) and read it back."""
+    """Cut lineage: write df below spark.checkpoint.dir (or a temporary folder where that is unset on a local master, as in tests) and read it back."""
     spark = df.sparkSession
     sc = spark.sparkContext
     top = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not top:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="intervane-"))
         top = sc.getCheckpointDir()
     path = f"{top.rstrip('/')}/intervane/{name}-{uuid.uuid4().hex}"
