@@ -119,8 +119,9 @@ def applied_paths(log: DataFrame, key: str) -> DataFrame:
 
 def targets(sessions: DataFrame, interactive: Column) -> DataFrame:
     """Sessions to notify: those playing; if none is and the request is interactive, those active lately."""
-    anyone = bool(sessions.agg(F.bool_or("playing")).first()[0])  # one number to the driver, no global window
-    return sessions.where(F.col("playing")) if anyone else sessions.where(interactive & F.col("recent"))
+    anyone = sessions.agg(F.coalesce(F.bool_or("playing"), F.lit(False)).alias("_anyone")).withColumn("_one", F.lit(1))
+    x = sessions.withColumn("_one", F.lit(1)).join(F.broadcast(anyone), "_one")  # a table of one row
+    return x.where(F.when(F.col("_anyone"), F.col("playing")).otherwise(interactive & F.col("recent"))).select(*sessions.columns)
 
 
 def learns(x: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from intervane.functions import ass as A
@@ -14,6 +12,7 @@ from intervane.plans.registry import query
 from intervane.sources import stores
 from intervane.sources import subtitles as SU
 from intervane.streaming import state as ST
+from intervane.tables import new_folder
 
 _STATUS = "stat AS (SELECT *, CASE WHEN status = 'Applied' AND max(CASE WHEN status = 'Applied' THEN seq END) OVER (PARTITION BY episode_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) IS NOT NULL THEN 'Superseded' ELSE status END AS kept, row_number() OVER (PARTITION BY episode_id ORDER BY seq DESC) AS r FROM log)"
 
@@ -73,31 +72,34 @@ def vote_fold(spark, sf_dir):
     return H.vote(log(spark, sf_dir), "episode_id")
 
 
-@query("""WITH RECURSIVE r AS (SELECT user_id % 8 AS k, event_id AS seq, CAST(event_id * 300 AS BIGINT) AS at_ms, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS n FROM events),
+_ADMITTED = """WITH RECURSIVE r AS (SELECT user_id % 8 AS k, event_id AS seq, CAST(event_id * 300 AS BIGINT) AS at_ms, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS n FROM events),
 f AS (SELECT k, seq, at_ms, n, at_ms AS t, [at_ms] AS last FROM r WHERE n = 1
 UNION ALL SELECT x.k, x.seq, x.at_ms, x.n, x.t, list_append(CASE WHEN len(x.last) >= 5 THEN x.last[2:] ELSE x.last END, x.t) FROM (SELECT r.k, r.seq, r.at_ms, r.n, f.last, CASE WHEN len(f.last) >= 5 AND f.last[1] + 10000 > greatest(r.at_ms, f.t) THEN f.last[1] + 10050 ELSE greatest(r.at_ms, f.t) END AS t FROM f JOIN r ON r.k = f.k AND r.n = f.n + 1) x)
-SELECT k, seq, at_ms, t AS admitted_ms FROM f""")
+SELECT k, seq, at_ms, t AS admitted_ms FROM f"""
+
+
+@query(_ADMITTED)
 def rate_limiter(spark, sf_dir):
     x = read(spark, sf_dir, "events").select((F.col("user_id") % 8).alias("k"), F.col("event_id").alias("seq"), (F.col("event_id") * 300).alias("at_ms"))
     return H.admit(x, "k", 5, 10_000)
 
 
-def streamed(spark, sf_dir, make, view: str, mode: str):
-    """Rows that a stateful query over the events table, read as a stream of its file, gives by the time it has seen all of it."""
+def streamed(spark, sf_dir, make, name: str):
+    """Rows that a stateful query over the events table, read as a stream of its file, has written to the shared folder by the time it has seen all of it."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*").option("recursiveFileLookup", "true").parquet(sf_dir)
-    name = f"{view}_{uuid.uuid4().hex[:8]}"
-    q = make(stream).writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    out = make(stream)
+    path, checkpoint = new_folder(spark, name), new_folder(spark, f"{name}-checkpoint")
+    out.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(path)
 
 
-@query()
+@query(_ADMITTED)
 def rate_limiter_stream(spark, sf_dir):
     def make(s):
         return ST.admit(s.select((F.col("user_id") % 8).alias("k"), F.col("event_id").alias("seq"), (F.col("event_id") * 300).alias("at_ms")), "k", 5, 10_000)
 
-    return streamed(spark, sf_dir, make, "admitted", "append")
+    return streamed(spark, sf_dir, make, "admitted")
 
 
 @query(f"WITH {TRACKS} SELECT track_id, src_ix, CAST(floor(c * 25.0::DOUBLE / 24.0::DOUBLE + 0.5) AS BIGINT) - CAST(floor((c - db) * 25.0::DOUBLE / 24.0::DOUBLE + 0.5) AS BIGINT) AS scaled FROM (SELECT *, CAST(sum(db) OVER (PARTITION BY track_id ORDER BY src_ix ROWS UNBOUNDED PRECEDING) AS BIGINT) AS c FROM tracks)")

@@ -15,6 +15,8 @@ from intervane.plans.derived import FILES, LOG, MEASURED, PROBES, TRACKS, log, m
 from intervane.plans.past import FOLD
 from intervane.plans.registry import query
 from intervane.plans.signals import KEY, bins_sql, clip_sql, length_sql, merge_sql
+from intervane.sources.keyed import KeyedStore
+from intervane.tables import new_folder
 
 _LOOKUPS = "r AS (SELECT user_id % 5 AS cache, event_id AS seq, CAST(floor(value) AS BIGINT) % 23 AS item, concat('/m/', CAST(CAST(floor(value) AS BIGINT) % 23 AS VARCHAR)) AS path, event_id // 300 AS stamp, row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id) AS n FROM events)"
 _KEPT = "STRUCT(item BIGINT, path VARCHAR, stamp BIGINT)[]"
@@ -93,3 +95,19 @@ def strip_override_blocks(spark, sf_dir):
     p.createOrReplaceTempView("intervane_part")
     x = spark.sql(f"SELECT p_partkey AS k, {_BLOCKED.replace('VARCHAR', 'STRING')} AS text FROM intervane_part")
     return x.select("k", A.strip_blocks(F.col("text")).alias("plain"))
+
+
+@query(f"""WITH {LOG}, l AS (SELECT episode_id, seq % 3 AS part, max(seq) AS seq, arg_max(status, seq) AS status FROM log GROUP BY ALL)
+SELECT episode_id, status, seq FROM l WHERE CASE WHEN episode_id % 5 = 0 AND part = 2 THEN 3 WHEN episode_id % 7 = 0 OR part = 2 THEN 0 WHEN part = 1 THEN 2 ELSE 1 END > 0
+QUALIFY row_number() OVER (PARTITION BY episode_id ORDER BY CASE WHEN part = 2 THEN 3 WHEN part = 1 THEN 2 ELSE 1 END DESC) = 1""")
+def keyed_store(spark, sf_dir):
+    """The newest attempts of thirds of the log, put one after the other, with every seventh user cleared and the store compacted before the last."""
+    of = log(spark, sf_dir)
+    part = lambda k: H.latest(of.where(F.col("seq") % 3 == k), "episode_id")
+    store = KeyedStore(spark, new_folder(spark, "store"), "episode_id long, status string, seq long", ("episode_id",), 8)
+    store.put(part(0))
+    store.put(part(1))
+    store.clear(of.where("episode_id % 7 = 0"))
+    store.compact()
+    store.put(part(2).where("episode_id % 5 = 0"))
+    return store.get()

@@ -86,29 +86,11 @@ def free_names(wanted: DataFrame, existing: DataFrame) -> DataFrame:
     return wanted.join(best, ["base", "tag", "ext"], "left").withColumn("path", F.coalesce("path", plain))
 
 
-def write_sidecars(docs: DataFrame, path: str) -> None:
-    """One UTF-8 file without byte-order mark for each row (name, content), in a folder of its name: the text sink partitioned by name."""
-    docs.select("name", F.col("content").alias("value")).write.mode("overwrite").option("lineSep", "").partitionBy("name").text(path)
-
-
 def owned(recorded: DataFrame, stamped: DataFrame) -> DataFrame:
     """Paths that are ours: recorded ones and those that carry a stamp, each once."""
     return recorded.select("path").union(stamped.select("path")).distinct()
 
 
-def put(state: DataFrame, path: str, keys: list[str]) -> None:
-    """Keyed store: each write replaces the partitions of the keys that it has."""
-    state.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).json(path)
-
-
-def get(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path)
-
-
-def append_log(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
-
-
 def log_rows(results: DataFrame) -> DataFrame:
     """Activity rows (item_id, at, severity, message) of results (item_id, at, verdict, file_name, reason)."""
     good = F.col("verdict") != "Declined"

@@ -5,12 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df below spark.checkpoint.dir (or a temporary folder where that is unset on a local master, as in tests) and read it back."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own below spark.checkpoint.dir (or a temporary folder where that is unset on a local master, as in tests)."""
     sc = spark.sparkContext
     top = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not top:
@@ -18,6 +17,11 @@ def save(df: DataFrame, name: str) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="intervane-"))
         top = sc.getCheckpointDir()
-    path = f"{top.rstrip('/')}/intervane/{name}-{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/intervane/{name}-{uuid.uuid4().hex}"
+
+
+def save(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage: write df to the shared folder and read it back."""
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

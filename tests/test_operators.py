@@ -232,7 +232,7 @@ def test_stamp_replaces_and_is_read(spark):
     assert got[1].note == "new | entry 3" and got[1].content.count("; intervane:") == 1 and got[2].content == PLAIN
 
 
-def test_stores(spark, tmp_path):
+def test_stores(spark):
     import io
     import zipfile
 
@@ -253,10 +253,6 @@ def test_stores(spark, tmp_path):
     m = stores.archive_members(spark.createDataFrame([("p", raw)], "path string, content binary"))
     assert sorted(r.member for r in m.collect()) == ["Show - 02 a.srt", "Show - 02 z.srt"]
     assert bytes(stores.choose_member(m, F.lit(2)).first().content) == b"first"
-    path = str(tmp_path / "kv")
-    stores.put(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), path, ["k"])
-    stores.put(spark.createDataFrame([(2, "c")], "k int, v string"), path, ["k"])
-    assert {(r.k, r.v) for r in stores.get(spark, path, "k int, v string").collect()} == {(1, "a"), (2, "c")}
     maps = stores.id_mappings(spark.createDataFrame([('{"5":{"tvdb_id":12,"tvdb_season":"2","anilist_id":"7,8"},"x":{}}',)], "value string")).collect()
     assert [(r.anidb_id, r.tvdb_id, r.tvdb_season, r.tvdb_offset, r.anilist_id) for r in maps] == [(5, 12, 2, 0, 7)]
 
