@@ -46,7 +46,7 @@ def test_query_equals_sql(spark, name):
     assert sorted(tuple(flat(x[k]) for k in columns) for x in df.collect()) == sorted(tuple(flat(x[i]) for i in at) for x in r.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(n for n in registry.QUERIES if n.startswith("op")))
+@pytest.mark.parametrize("name", sorted(n for n in registry.QUERIES if n.startswith("op") and n not in ("op11_hard_negatives", "op13_source_divergence")))
 def test_one_row_a_document_at_least(spark, name):
     docs = tables(spark, SF, "documents")
     out = registry.QUERIES[name](spark, SF)
