@@ -46,8 +46,7 @@ def refine(ref: DataFrame, ref_bins: DataFrame, probe_cues: DataFrame, coarse: D
         front, back = F.col("cue_ix") < F.col("part_n"), F.col("cue_ix") >= F.col("n") - F.col("part_n")
         parts = now.withColumn("part", F.explode(F.filter(F.array(F.when(front, 0), F.when(back, 1)), lambda p: p.isNotNull())))
         part_bins = I.lengths(parts, both)
-        spread = lambda d: d.withColumn("part", F.explode(F.array(F.lit(0), F.lit(1))))
-        lags = X.correlate(spread(ref.join(live.select(*keys), keys, "left_semi")), signal(parts, both, F.col("onset"), part_bins), spread(ref_bins), part_bins, both, settings.max_search, settings.peak_guard)
+        lags = X.correlate(ref.join(live.select(*keys), keys, "left_semi"), signal(parts, both, F.col("onset"), part_bins), ref_bins, part_bins, both, settings.max_search, settings.peak_guard)
         means = parts.groupBy(*both).agg(F.avg("start").alias("t"))
         ends = lags.join(means, both).groupBy(*keys).agg(*[F.max(F.when(F.col("part") == p, v)).alias(f"{c}{p}") for p in (0, 1) for c, v in (("r", F.col("lag") / float(C.BINS)), ("t", F.col("t")))])
         bend, span = F.col("r1") - F.col("r0"), F.col("t1") - F.col("t0")
@@ -100,7 +99,7 @@ def hypotheses(ref: DataFrame, ref_bins: DataFrame, probe_cues: DataFrame, keys:
     p = per_scale(probe_cues.withColumn("rep_ix", F.explode(F.array(F.lit(0), F.lit(1)))))
     p = p.withColumn("start", F.col("start") * of(F.col("scale_ix"))).withColumn("stop", F.col("stop") * of(F.col("scale_ix")))
     p_bins = I.lengths(p, each)
-    out = X.correlate(per_scale(ref), signal(p, each, F.col("rep_ix") == 1, p_bins), per_scale(ref_bins), p_bins, each, settings.max_search, settings.peak_guard)
+    out = X.correlate(ref, signal(p, each, F.col("rep_ix") == 1, p_bins), ref_bins, p_bins, each, settings.max_search, settings.peak_guard)
     best = X.best_fit(out.withColumn("scale", of(F.col("scale_ix"))), pair, settings.scale_margin)
     least = F.when(F.col("rep_ix") == 0, settings.min_correlation).otherwise(settings.min_onset_correlation)
     named = F.when(F.col("rep_ix") == 0, _OVERLAP).otherwise(_ONSETS)

@@ -1,18 +1,27 @@
-"""Cross-correlation of interval signals over all lags, as joins and running sums.
+"""Cross-correlation of interval signals over all lags, as an exchange of intervals and sums over each pair's lags.
 
 The overlap of two signals as a function of the lag is piecewise linear: each pair of intervals adds four impulses to its
-second difference. So no grid of lags and no transform is needed, and all numbers are exact integers.
+second difference. Impulses are many times the intervals, so they are never rows: both tracks of a pair are dealt out by key, sorted
+partitions are walked, and the impulses of a few pairs at a time are summed where they arise. All numbers are exact integers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from intervane import config as C
 from intervane.operators import intervals as I
 
 _PIECE = 1000
+#: Rows walked at a time, pairs whose lags are summed together, and pairs of intervals met at a time.
+_ROWS, _BLOCK, _MET = 100_000, 32, 500_000
+_REF, _REF_BINS, _PROBE, _PROBE_BINS = range(4)
 
 
 def _pieces(merged: DataFrame) -> DataFrame:
@@ -21,53 +30,124 @@ def _pieces(merged: DataFrame) -> DataFrame:
     return merged.withColumn("_p", at).withColumn("e", F.least(F.col("e"), F.col("_p") + _PIECE)).withColumn("s", F.col("_p")).drop("_p")
 
 
-def impulses(ref: DataFrame, probe: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """(keys, lag, imp, carry) of the second difference of the overlap, lag in [-limit, limit].
-
-    Only interval pieces that can meet within the limit are joined: by key and a time bucket as wide as their reach. What lies
-    below -limit is folded into it: imp is its slope there and carry its overlap.
+def summed(g: np.ndarray, b0: np.ndarray, b1: np.ndarray, lo: np.ndarray, hi: np.ndarray, a0: np.ndarray, a1: np.ndarray, n: int, limit: int) -> np.ndarray:
+    """Overlap of n pairs at each lag from -limit to limit. Interval (b0, b1) of pair g meets the reference intervals lo to hi."""
+    wide, many = 2 * limit + 2, hi - lo
+    bends, carry = np.zeros(n * wide, np.int64), np.zeros(n)
+    ends = np.cumsum(many)
+    at = 0
+    while at < len(g):  # one interval meets no more than lie within the limit
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _MET, "right")))
+        m = many[at:to]
+        row = np.repeat(np.arange(at, to), m)
+        a = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m) + lo[row]
+        x0, x1, y0, y1, of = a0[a], a1[a], b0[row], b1[row], g[row]
+        for sign, lags in ((1, (x0 - y1, x1 - y0)), (-1, (x0 - y0, x1 - y1))):
+            for lag in lags:  # what bends below -limit is folded into it, what bends beyond the limit goes to a place that is dropped
+                bends += sign * np.bincount(of * wide + np.clip(lag, -limit, limit + 1) + limit, minlength=n * wide)
+                carry += sign * np.bincount(of, np.maximum(-limit - lag, 0), n)
+        at = to
+    slope = np.cumsum(bends.reshape(n, wide)[:, :-1], axis=1)
+    rise = np.concatenate([np.rint(carry).astype(np.int64)[:, None], slope[:, :-1]], axis=1)
+    return np.cumsum(rise, axis=1)
+
+
+def _turns(table: pa.Table, names: list[str]) -> np.ndarray:
+    """Whether each row differs from the one before it in any of the columns."""
+    out = np.zeros(len(table), bool)
+    out[:1] = True
+    for k in names:
+        c = table.column(k).combine_chunks()
+        out[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+    return out
+
+
+def _fits(table: pa.Table, shared: list[str], own: list[str], limit: int, guard: int) -> pa.Table:
+    """Rows of whole keys, sorted, to one row a pair; see overlaps()."""
+    ref_ix = np.cumsum(_turns(table, shared)) - 1
+    side, s, e = (table.column(c).to_numpy() for c in ("_side", "s", "e"))
+    n_refs = int(ref_ix[-1]) + 1
+    is_ref = side == _REF
+    a0, a1, a_ref = s[is_ref], e[is_ref], ref_ix[is_ref]
+    n_a, n_ref = np.full(n_refs, -1), np.zeros(n_refs, np.int64)
+    n_a[ref_ix[side == _REF_BINS]] = s[side == _REF_BINS]
+    np.add.at(n_ref, a_ref, a1 - a0)
+
+    probes = np.nonzero(side >= _PROBE)[0]
+    p = table.take(probes)
+    turn = _turns(p, own) if own else np.zeros(len(probes), bool)
+    turn[1:] |= ref_ix[probes][1:] != ref_ix[probes][:-1]
+    turn[:1] = True
+    pair, first = np.cumsum(turn) - 1, np.nonzero(turn)[0]
+    n_pairs, of_ref = len(first), ref_ix[probes][first]
+    n_b, n_probe = np.full(n_pairs, -1), np.zeros(n_pairs, np.int64)
+    is_bins = side[probes] == _PROBE_BINS
+    n_b[pair[is_bins]] = s[probes][is_bins]
+    b0, b1, b_pair = s[probes][~is_bins], e[probes][~is_bins], pair[~is_bins]
+    np.add.at(n_probe, b_pair, b1 - b0)
+
+    low = min(a0.min(initial=0), b0.min(initial=0))
+    wide = int(max(a1.max(initial=0), b1.max(initial=0)) - low + 2 * limit + 4)
+    base = of_ref[b_pair] * wide - low
+    lo = np.searchsorted(a1 + a_ref * wide - low, b0 - limit + base, "left")
+    hi = np.searchsorted(a0 + a_ref * wide - low, b1 + limit + base, "right")
+    lag, top, second, least = (np.zeros(n_pairs, np.int64) for _ in range(4))
+    cuts = np.searchsorted(b_pair, np.arange(0, n_pairs + _BLOCK, _BLOCK))
+    for k, (x, y) in enumerate(zip(cuts, cuts[1:])):
+        at = slice(k * _BLOCK, min(n_pairs, (k + 1) * _BLOCK))
+        n = at.stop - at.start
+        ov = summed(b_pair[x:y] - at.start, b0[x:y], b1[x:y], lo[x:y], hi[x:y], a0, a1, n, limit)
+        best = ov.argmax(axis=1)
+        lag[at], top[at], least[at] = best - limit, ov[np.arange(n), best], ov.min(axis=1)
+        for i, b in enumerate(best):
+            ov[i, max(0, b - guard) : b + guard + 1] = 0
+        second[at] = ov.max(axis=1)
+    lag[top <= 0], second[top <= 0] = 0, 0
+    out = p.select([*shared, *own]).take(first)
+    for name, c in (("lag", lag), ("overlap", top), ("second", second), ("least", least), ("energy_a", n_ref[of_ref]), ("energy_b", n_probe), ("_na", n_a[of_ref]), ("_nb", n_b)):
+        out = out.append_column(name, pa.array(c, pa.int64()))
+    return out.filter(pa.array((n_ref[of_ref] > 0) & (n_probe > 0) & (n_a[of_ref] >= 0) & (n_b >= 0)))
+
+
+def overlaps(ref: DataFrame, probe: DataFrame, ref_bins: DataFrame, probe_bins: DataFrame, keys: list[str], limit: int, guard: int) -> DataFrame:
+    """(keys, lag, overlap, second, least, energy_a, energy_b, _na, _nb): best lag (ties: the lowest), the best overlap more than guard away from it, and the least.
+
+    Of pairs with intervals and bins on both sides. ref and ref_bins may lack some of the keys: each of their tracks then serves
+    all pairs of the keys it has, and is sent and kept once. One exchange, of intervals; a task holds one track and a few pairs.
     """
-    width = limit + 2 * _PIECE
-    a = _pieces(ref).select(*keys, F.col("s").alias("a0"), F.col("e").alias("a1")).withColumn("_b", F.floor(F.col("a0") / width))
-    b = _pieces(probe).select(*keys, F.col("s").alias("b0"), F.col("e").alias("b1"))
-    b = b.withColumn("_b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("b0") / width) + k)))
-    met = a.join(b, [*keys, "_b"]).where((F.col("a1") - F.col("b0") >= -limit) & (F.col("a0") - F.col("b1") <= limit))
-    four = F.array(*[F.struct((F.col(x) - F.col(y)).alias("l"), F.lit(w).alias("w")) for x, y, w in (("a0", "b1", 1), ("a0", "b0", -1), ("a1", "b1", -1), ("a1", "b0", 1))])
-    at = met.select(*keys, F.explode(four).alias("i")).select(*keys, "i.l", "i.w").where(F.col("l") <= limit)
-    lag = F.greatest(F.col("l"), F.lit(-limit))
-    # Nearly all lags of a key differ, so nothing is lost by dealing them out by key first, and what follows needs no other exchange.
-    dealt = at.select(*keys, lag.alias("lag"), "w", (F.col("w") * (lag - F.col("l"))).alias("c")).repartition(*keys)
-    return dealt.groupBy(*keys, "lag").agg(F.sum("w").cast("long").alias("imp"), F.sum("c").cast("long").alias("carry"))
-
-
-def breakpoints(imp: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """(keys, lag, ov, slope, until): overlap at each lag where its slope changes and at the limit, and the next such lag."""
-    w = Window.partitionBy(*keys).orderBy("lag")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = imp.withColumn("slope", F.sum("imp").over(upto)).withColumn("_before", F.lag("lag").over(w)).withColumn("until", F.lead("lag").over(w))
-    rise = F.coalesce(F.lag("slope").over(w) * (F.col("lag") - F.col("_before")), F.lit(0)) + F.col("carry")
-    rows = rows.withColumn("_rise", rise).withColumn("ov", F.sum("_rise").over(upto))
-    here = F.struct("lag", "ov", "slope", "until")
-    end, last = F.lit(limit).cast("long"), F.col("until").isNull() & (F.col("lag") < limit)
-    upto_end = F.struct("lag", "ov", "slope", end.alias("until"))
-    at_end = F.struct(end.alias("lag"), (F.col("ov") + F.col("slope") * (end - F.col("lag"))).alias("ov"), "slope", F.lit(None).cast("long").alias("until"))
-    return rows.select(*keys, F.explode(F.when(last, F.array(upto_end, at_end)).otherwise(F.array(here))).alias("p")).select(*keys, "p.*")
-
-
-def peaks(points: DataFrame, keys: list[str], limit: int, guard: int) -> DataFrame:
-    """(keys, lag, overlap, second): best lag (ties: the lowest) and the best overlap more than guard away from it."""
-    best = F.max_by(F.struct("lag", "ov"), F.struct("ov", -F.col("lag"))).over(Window.partitionBy(*keys))
-    p = points.withColumn("_best", best).withColumn("_lag", F.col("_best.lag")).withColumn("_ov", F.col("_best.ov"))
-
-    def value_at(place: Column) -> Column:
-        here = (F.col("lag") <= place) & ((F.col("until") > place) | F.col("until").isNull()) & (F.abs(place) <= limit)
-        return F.when(here, F.col("ov") + F.col("slope") * (place - F.col("lag")))
-
-    away = F.when(F.abs(F.col("lag") - F.col("_lag")) > guard, F.col("ov"))
-    second = F.greatest(F.max(away), F.max(value_at(F.col("_lag") - guard - 1)), F.max(value_at(F.col("_lag") + guard + 1)))
-    out = p.groupBy(*keys).agg(F.first("_lag").alias("lag"), F.first("_ov").alias("overlap"), F.coalesce(F.greatest(second, F.lit(0)), F.lit(0)).alias("second"))
-    none = F.col("overlap") <= 0
-    return out.withColumn("lag", F.when(none, 0).otherwise(F.col("lag"))).withColumn("second", F.when(none, 0).otherwise(F.col("second"))).withColumn("overlap", F.greatest("overlap", F.lit(0)))
+    shared = [k for k in keys if k in ref.columns]
+    own = [k for k in keys if k not in shared]
+    n = F.col("n_bins").cast("long").alias("s")
+    rows = [(ref, _REF, shared, "s", "e"), (ref_bins, _REF_BINS, shared, n, F.lit(0).alias("e")), (probe, _PROBE, keys, "s", "e"), (probe_bins, _PROBE_BINS, keys, n, F.lit(0).alias("e"))]
+    both = None
+    for d, side, on, s, e in rows:
+        d = d.dropna(subset=on).select(*on, F.lit(side).cast("byte").alias("_side"), s, e)
+        d = d.withColumns({"s": F.col("s").cast("long"), "e": F.col("e").cast("long")})
+        both = d if both is None else both.unionByName(d, allowMissingColumns=True)
+    kinds = dict(probe.dtypes)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in [*shared, *own]) + "".join(f", {c} long" for c in ("lag", "overlap", "second", "least", "energy_a", "energy_b", "_na", "_nb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            n += batch.num_rows
+            last = [batch.column(k)[-1] for k in shared]
+            if n < _ROWS or [held[0].column(k)[0] for k in shared] == last:
+                continue
+            # The last key may go on in the next batch.
+            table = pa.Table.from_batches(held)
+            cut = int(np.nonzero(_turns(table, shared))[0][-1])
+            yield from _fits(table.slice(0, cut), shared, own, limit, guard).to_batches()
+            held, n = table.slice(cut).to_batches(), n - cut
+        if held:
+            yield from _fits(pa.Table.from_batches(held), shared, own, limit, guard).to_batches()
+
+    # By a hash of the keys: a repartition by the keys themselves is left out where all four parts are already dealt out by them, each into
+    # partitions of its own number.
+    return both.repartition(F.xxhash64(*shared)).sortWithinPartitions(*shared, *own, "_side", "s").mapInArrow(run, schema)
 
 
 def phi(overlap: Column, a: Column, b: Column, n: Column) -> Column:
@@ -81,13 +161,10 @@ def phi(overlap: Column, a: Column, b: Column, n: Column) -> Column:
 def correlate(ref: DataFrame, probe: DataFrame, ref_bins: DataFrame, probe_bins: DataFrame, keys: list[str], max_lag: float = 60.0, guard: float = 1.0) -> DataFrame:
     """(keys, lag, overlap, second, correlation, peak_ratio) for each key of both merged interval sets.
 
-    ref_bins, probe_bins: (keys, n_bins). Pairs that never overlap within max_lag get lag 0 and zeros.
+    ref_bins, probe_bins: (keys, n_bins). Pairs that never overlap within max_lag get lag 0 and zeros. The reference may lack
+    some of the keys; see overlaps().
     """
-    limit, near = round(max_lag * C.BINS), round(guard * C.BINS)
-    found = peaks(breakpoints(impulses(ref, probe, keys, limit), keys, limit), keys, limit, near)
-    size = lambda m, n: I.energy(m, keys).select(*keys, F.col("energy").alias(n))
-    both = size(ref, "energy_a").join(size(probe, "energy_b"), keys).join(ref_bins.withColumnRenamed("n_bins", "_na"), keys).join(probe_bins.withColumnRenamed("n_bins", "_nb"), keys)
-    x = both.join(found, keys, "left").fillna(0, ["lag", "overlap", "second"])
+    x = overlaps(ref, probe, ref_bins, probe_bins, keys, round(max_lag * C.BINS), round(guard * C.BINS))
     corr = F.when(F.col("overlap") > 0, phi(F.col("overlap"), F.col("energy_a"), F.col("energy_b"), F.greatest("_na", "_nb"))).otherwise(0.0)
     ratio = F.when(F.col("overlap") <= 0, 0.0).when(F.col("second") > 0, F.col("overlap") / F.col("second")).otherwise(C.NO_SECOND_PEAK)
     return x.select(*keys, "lag", "overlap", "second", corr.alias("correlation"), ratio.alias("peak_ratio"))
@@ -103,9 +180,8 @@ def scale_grid(ref_cues: DataFrame, probe_cues: DataFrame, keys: list[str], onse
     p_bins = I.lengths(p, both, F.col("scale"))
     cut = lambda m, n, k: I.clip(m.join(n, k), F.col("n_bins")).drop("n_bins")
     r = cut(I.merge(make(ref_cues.where("stop > start")), keys), r_bins, keys)
-    spread = lambda d: d.withColumn("scale_ix", F.explode(F.array(*[F.lit(k) for k in range(len(scales))])))
     m = cut(I.merge(make(p.where("stop > start"), F.col("scale")), both), p_bins, both)
-    out = correlate(spread(r), m, spread(r_bins), p_bins, both, settings.max_search, settings.peak_guard)
+    out = correlate(r, m, r_bins, p_bins, both, settings.max_search, settings.peak_guard)
     of = F.element_at(F.array(*[F.lit(float(v)) for v in scales]), F.col("scale_ix") + 1)
     return out.withColumn("scale", of)
 

@@ -13,12 +13,13 @@ def near(needles: DataFrame, hay: DataFrame, keys: list[str], tolerance: float =
 
     An equi-join on the key and a bucket as wide as the tolerance; each needle looks into its own and both neighbours. Hay is
     thinned to the lowest and highest time of a bucket first: if any time of a neighbouring bucket is near, its inner end is,
-    and a needle's own bucket is all near. So a bucket of many equal times costs one row.
+    and a needle's own bucket is all near. So a bucket of many equal times costs one row. Both sides grow with the cues, so neither
+    is broadcast, however small its files are.
     """
     bucket = lambda c: F.floor(F.col(c) / tolerance)
     ends = hay.where("t is not null").groupBy(*keys, bucket("t").alias("_b")).agg(F.min("t").alias("_lo"), F.max("t").alias("_hi"))
     look = needles.withColumn("_b", F.explode(F.array(bucket("t") - 1, bucket("t"), bucket("t") + 1)))
-    hit = look.join(ends, [*keys, "_b"]).where((F.abs(F.col("t") - F.col("_lo")) <= tolerance) | (F.abs(F.col("t") - F.col("_hi")) <= tolerance))
+    hit = look.join(ends.hint("merge"), [*keys, "_b"]).where((F.abs(F.col("t") - F.col("_lo")) <= tolerance) | (F.abs(F.col("t") - F.col("_hi")) <= tolerance))
     return hit.select(*needles.columns).distinct()
 
 

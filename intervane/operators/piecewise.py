@@ -44,7 +44,7 @@ def met(ref: DataFrame, cues: DataFrame, keys: list[str]) -> DataFrame:
     on = (F.col("_t") == F.col("_p")) & (F.col("e") > low) & (F.col("s") < high)
     for k in keys:
         on = on & (F.col(k) == F.col(f"_{k}"))
-    return looks.join(pieces, on, "left").select(*cues.columns, "s", "e")
+    return looks.join(pieces.hint("merge"), on, "left").select(*cues.columns, "s", "e")
 
 
 def rating(s: np.ndarray, e: np.ndarray, a: int, b: int, g: int, first: int, n: int) -> np.ndarray:
@@ -118,7 +118,7 @@ def overlap(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
         t = d.select(*keys, "s", "e").withColumn("_t", F.explode(F.sequence(F.floor(F.col("s") / _TILE), F.floor((F.col("e") - 1) / _TILE))))
         return t.select(*keys, "_t", F.greatest(F.col("s"), F.col("_t") * _TILE).alias(s), F.least(F.col("e"), (F.col("_t") + 1) * _TILE).alias(e))
 
-    both = tiles(a, "s", "e").join(tiles(b, "s2", "e2"), [*keys, "_t"])
+    both = tiles(a, "s", "e").join(tiles(b, "s2", "e2").hint("merge"), [*keys, "_t"])
     return both.groupBy(*keys).agg(F.sum(F.greatest(F.least("e", "e2") - F.greatest("s", "s2"), F.lit(0))).alias("overlap"))
 
 

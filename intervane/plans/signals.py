@@ -99,8 +99,7 @@ def track_energy(spark, sf_dir):
 
 @query(f"{_PAIR} SELECT track_id, CAST(max(ov) AS BIGINT) AS most, CAST(min(ov) AS BIGINT) AS least FROM points GROUP BY track_id")
 def xcorr_overlap(spark, sf_dir):
-    a, b, _, _ = signals(spark, sf_dir)
-    return X.breakpoints(X.impulses(a, b, KEY, LIMIT), KEY, LIMIT).groupBy(*KEY).agg(F.max("ov").alias("most"), F.min("ov").alias("least"))
+    return X.overlaps(*signals(spark, sf_dir), KEY, LIMIT, GUARD).select("track_id", F.col("overlap").alias("most"), "least")
 
 
 @query(f"{_PAIR} SELECT track_id, CAST(lag AS BIGINT) AS lag, CAST(overlap AS BIGINT) AS overlap, second, CAST(lag AS BIGINT) = -(({SHIFT})) AS recovered FROM fits")
