@@ -1,10 +1,13 @@
 """Rate limits and series votes on streams: the same steps as the batch folds, one event at a time, with keyed state.
 
-Events of a key must arrive in order of seq across micro-batches; within one they are sorted.
+Events of a key must arrive in order of seq across micro-batches; within one they are sorted. A key's events of one micro-batch come
+in several parts, in any order, so they are put together first: the size of a micro-batch bounds what a task holds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -12,6 +15,14 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from intervane import config as C
 
 
+_PART = 100_000
+
+
+def _in_order(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """All events of a key in a micro-batch, by seq."""
+    return pd.concat(list(parts), ignore_index=True).sort_values(["seq"], kind="stable")
+
+
 def admit_next(last: list[int], at: int, permits: int = 25, window_ms: int = 60_000, grace_ms: int = 50) -> tuple[int, list[int]]:
     """(when a request at time at passes, last admissions with it); see history.admit."""
     at = max(at, last[-1]) if last else at
@@ -25,8 +36,9 @@ def admit(requests: DataFrame, key: str, permits: int = 25, window_ms: int = 60_
 
     def run(k, batches, state):
         last = list(state.get[0]) if state.exists else []
-        for pdf in batches:
-            pdf = pdf.sort_values(["seq"])
+        whole = _in_order(batches)
+        for i in range(0, len(whole), _PART):
+            pdf = whole.iloc[i : i + _PART]
             out = []
             for at in pdf["at_ms"]:
                 t, last = admit_next(last, int(at), permits, window_ms, grace_ms)
@@ -34,7 +46,7 @@ def admit(requests: DataFrame, key: str, permits: int = 25, window_ms: int = 60_
             yield pd.DataFrame({key: k[0], "seq": pdf["seq"].values, "at_ms": pdf["at_ms"].values, "admitted_ms": out})
         state.update((last,))
 
-    return requests.groupBy(key).applyInPandasWithState(run, f"{key} long, seq long, at_ms long, admitted_ms long", "last array<long>", "append", GroupStateTimeout.NoTimeout)
+    return requests.select(key, "seq", "at_ms").groupBy(key).applyInPandasWithState(run, f"{key} long, seq long, at_ms long, admitted_ms long", "last array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def vote_next(state: tuple[str, int, int], outcome: str, group: str | None, entry: int, most: int = C.MAX_CONFIRMATIONS) -> tuple[str, int, int]:
@@ -58,9 +70,8 @@ def vote(events: DataFrame, key: str) -> DataFrame:
 
     def run(k, batches, state):
         now = state.get if state.exists else ("", 0, 0)
-        for pdf in batches:
-            for r in pdf.sort_values(["seq"]).itertuples(index=False):
-                now = vote_next(now, r.outcome, r.group, int(r.entry_id))
+        for r in _in_order(batches).itertuples(index=False):
+            now = vote_next(now, r.outcome, r.group, int(r.entry_id))
         state.update(now)
         yield pd.DataFrame({key: [k[0]], "p_group": [now[0]], "p_entry": [now[1]], "votes": [now[2]]})
 
@@ -79,9 +90,8 @@ def attempts(events: DataFrame, key: str) -> DataFrame:
 
     def run(k, batches, state):
         log = [(r["seq"], r["status"]) for r in state.get[0]] if state.exists else []
-        for pdf in batches:
-            for r in pdf.sort_values(["seq"]).itertuples(index=False):
-                log = log_next(log, int(r.seq), r.status)
+        for r in _in_order(batches).itertuples(index=False):
+            log = log_next(log, int(r.seq), r.status)
         rows = [{"seq": s, "status": x} for s, x in log]
         state.update((rows,))
         yield pd.DataFrame({key: [k[0]], "log": [rows]})
