@@ -42,12 +42,15 @@ def lengths(cues: DataFrame, keys: list[str], scale=1.0) -> DataFrame:
 
 
 def merge(bins: DataFrame, keys: list[str]) -> DataFrame:
-    """Disjoint intervals (keys, s, e) with the same union as bins; touching ones join."""
+    """Disjoint intervals (keys, s, e) with the same union as bins; touching ones join.
+
+    One sort: an interval begins where nothing reaches, and ends at what is reached before the next begins, or at the last end.
+    """
     w = Window.partitionBy(*keys).orderBy("s", "e")
-    reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    islands = bins.select(*keys, "s", "e").withColumn("_new", (reach.isNull() | (F.col("s") > reach)).cast("int"))
-    islands = islands.withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy(*keys, "_g").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_g")
+    x = bins.select(*keys, "s", "e").withColumn("_reach", F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    x = x.withColumn("_last", F.max("e").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    first = x.where(F.col("_reach").isNull() | (F.col("s") > F.col("_reach")))
+    return first.select(*keys, "s", F.coalesce(F.lead("_reach").over(w), "_last").alias("e"))
 
 
 def clip(intervals: DataFrame, n_bins) -> DataFrame:
