@@ -122,8 +122,11 @@ def fractional_episode(name: Column) -> Column:
     return F.when(name.rlike(FRACTIONAL), F.struct(whole.cast("int").alias("whole"), F.concat(whole.cast("int").cast("string"), F.lit("."), F.regexp_extract(name, FRACTIONAL, 2)).alias("text")))
 
 
-def _same(a: Column, b: Column) -> Column:
-    return F.coalesce((F.length(F.trim(a)) > 0) & (F.length(F.trim(b)) > 0) & (token(a) == token(b)), F.lit(False))
+def compared(of: Column) -> Column:
+    """What match() compares of a release struct: tokens of its fields and of its source family, NULL for blank ones, and the episode."""
+    some = lambda x: F.when(F.length(F.trim(x)) > 0, token(x))
+    fields = {"group": of["group"], "source": source_family(of["source"]), "resolution": resolution(of["resolution"]), "video": of["video"], "audio": of["audio"], "checksum": of["checksum"]}
+    return F.struct(of["episode"].alias("episode"), *[some(c).alias(n) for n, c in fields.items()])
 
 
 def match(video: Column, subtitle: Column, expected: Column, alternate: Column | None = None) -> Column:
@@ -131,29 +134,24 @@ def match(video: Column, subtitle: Column, expected: Column, alternate: Column |
 
     An alternate number keeps a file from being ruled out but earns no points.
     """
-    alternate = alternate if alternate is not None else F.lit(None).cast("int")
-    families = F.struct(video.alias("v"), subtitle.alias("s"), source_family(video["source"]).alias("vf"), source_family(subtitle["source"]).alias("sf"))
-    return bind(families, lambda p: _match(p["v"], p["s"], p["vf"], p["sf"], expected, alternate))
+    both = F.struct(compared(video).alias("v"), compared(subtitle).alias("s"))
+    return bind(both, lambda p: agree(p["v"], p["s"], expected, alternate))
 
 
-def _match(video: Column, subtitle: Column, va: Column, sa: Column, expected: Column, alternate: Column) -> Column:
-    exact = F.coalesce(_same(video["checksum"], subtitle["checksum"]), F.lit(False))
-    ep = subtitle["episode"]
+def agree(video: Column, subtitle: Column, expected: Column, alternate: Column | None = None) -> Column:
+    """match() of two structs of compared()."""
+    alternate = alternate if alternate is not None else F.lit(None).cast("int")
+    same = lambda n: F.coalesce(video[n] == subtitle[n], F.lit(False))
+    exact, ep = same("checksum"), subtitle["episode"]
     wrong = ep.isNotNull() & (expected.isNotNull() | alternate.isNotNull()) & ~F.coalesce(ep == expected, F.lit(False)) & ~F.coalesce(ep == alternate, F.lit(False))
-    known = va.isNotNull() & sa.isNotNull()
-    same_source = known & _same(va, sa)
+    known = video["source"].isNotNull() & subtitle["source"].isNotNull()
     add = lambda cond, what: F.when(cond, POINTS[what]).otherwise(0)
-    score = (
-        add(_same(video["group"], subtitle["group"]), "group")
-        + add(same_source, "source")
-        + add(_same(resolution(video["resolution"]), resolution(subtitle["resolution"])), "resolution")
-        + add(_same(video["video"], subtitle["video"]), "video")
-        + add(_same(video["audio"], subtitle["audio"]), "audio")
-        + add(F.coalesce(ep == expected, F.lit(False)), "episode")
-    )
+    score = add(F.coalesce(ep == expected, F.lit(False)), "episode")
+    for what in ("group", "source", "resolution", "video", "audio"):
+        score = score + add(same(what), what)
     out = lambda s, e, m, x, y: F.struct(s.alias("score"), e.alias("exact"), m.alias("episode_mismatch"), x.alias("source_mismatch"), y.alias("source_match"))
     no, yes = F.lit(False), F.lit(True)
-    return F.when(exact, out(F.lit(100), yes, no, no, yes)).when(wrong, out(F.lit(0), no, yes, no, no)).otherwise(out(F.least(score, F.lit(100)), no, no, known & ~same_source, same_source))
+    return F.when(exact, out(F.lit(100), yes, no, no, yes)).when(wrong, out(F.lit(0), no, yes, no, no)).otherwise(out(F.least(score, F.lit(100)), no, no, known & ~same("source"), same("source")))
 
 
 def sidecar_name(video_path: Column, tag: Column, ext: Column) -> Column:

@@ -44,11 +44,15 @@ def language_by_name(spark, sf_dir):
 _SCORE = "CASE WHEN number <> 2 THEN 0 ELSE (CASE WHEN l_suppkey % 50 = episode_id % 50 THEN 45 ELSE 0 END) + (CASE WHEN l_quantity > 25 THEN 35 ELSE 0 END) + (CASE WHEN l_discount > 0.05 THEN 10 ELSE 0 END) + 10 END"
 
 
+def _matched(of, to: str):
+    """Files matched with the video of their episode, whose second episode is wanted."""
+    x = CA.with_releases(of.withColumn("_video", F.expr(_VIDEO.format(t="STRING"))), {"_video": "_v", "name": "_s"})
+    return x.withColumn(to, N.agree(F.col("_v"), F.col("_s"), F.lit(2))).drop("_video", "_v", "_s")
+
+
 @query(f"WITH {FILES} SELECT file_id, {_SCORE} AS score, number <> 2 AS episode_mismatch, number = 2 AND l_quantity <= 25 AS source_mismatch, number = 2 AND l_quantity > 25 AS source_match FROM files")
 def name_score(spark, sf_dir):
-    f = files(spark, sf_dir)
-    m = N.match(N.release(F.expr(_VIDEO.format(t="STRING"))), N.release(F.col("name")), F.lit(2))
-    return f.withColumn("m", m).select("file_id", "m.score", "m.episode_mismatch", "m.source_mismatch", "m.source_match")
+    return _matched(files(spark, sf_dir), "m").select("file_id", "m.score", "m.episode_mismatch", "m.source_mismatch", "m.source_match")
 
 
 _RANKED = f"""cand AS (SELECT *, {REJECTION} AS rejection, {LANGUAGE} AS language, {_SCORE} AS score, l_suppkey % 3 = 0 AS preferred FROM files),
@@ -56,9 +60,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY (reject
 
 
 def _candidates(spark, sf_dir):
-    f = CA.rejection(files(spark, sf_dir), EPISODE)
-    m = N.match(N.release(F.expr(_VIDEO.format(t="STRING"))), N.release(F.col("name")), F.lit(2))
-    return f.withColumn("_m", m).withColumn("score", F.col("_m.score")).withColumn("usable", (F.col("rejection") == "none") & ~F.col("_m.episode_mismatch")).withColumn("language", N.language(F.col("name"))).withColumn("preferred", F.col("l_suppkey") % 3 == 0).drop("_m")
+    f = CA.rejection(_matched(files(spark, sf_dir), "_m"), EPISODE)
+    return f.withColumn("score", F.col("_m.score")).withColumn("usable", (F.col("rejection") == "none") & ~F.col("_m.episode_mismatch")).withColumn("language", N.language(F.col("name"))).withColumn("preferred", F.col("l_suppkey") % 3 == 0).drop("_m")
 
 
 @query(f"WITH {FILES}, {_RANKED} SELECT episode_id, file_id, CAST(place AS INT) AS place FROM ranked WHERE place <= 8")

@@ -125,6 +125,17 @@ def test_name_match(spark):
     assert one(spark, N.match(v, N.release(F.lit("[x] Show - 06.ass")), F.lit(5)).alias("m")).m.episode_mismatch
 
 
+def test_releases_are_found_once_a_name(spark):
+    """Matching by looked-up details equals matching row by row, nulls included, and a name is taken apart once however many files have it."""
+    names = ["[Grp] Show - 05 (BD 1920x1080 HEVC FLAC) [0A1B2C3D].mkv", "[grp] Show - 05 (Blu-ray 1080p HEVC FLAC).ass", "Show - 06 [0a1b2c3d].ass", "[x] Show - 17.ass", "", None, "[ ] a - 3 (WEB 720p).srt"]
+    f = spark.createDataFrame([(i, v, s) for i, (v, s) in enumerate((v, s) for v in names for s in names)] * 3, "id int, video string, name string")
+    got = CA.with_releases(f, {"video": "_v", "name": "_s"}).select("id", N.agree(F.col("_v"), F.col("_s"), F.lit(5)).alias("m"))
+    want = f.select("id", N.match(N.release(F.col("video")), N.release(F.col("name")), F.lit(5)).alias("m"))
+    key = lambda d: sorted((x.id, tuple(x.m)) for x in d.collect())
+    assert key(got) == key(want) and got.count() == f.count()
+    assert spark.read.schema("_name string").parquet(CA.with_releases(f, {"video": "_v", "name": "_s"}).inputFiles()[0].rsplit("/", 1)[0]).count() == 6
+
+
 def test_rejections(spark):
     rows = [(1, "a.ass", 900), (1, "b.zip", 900), (1, "c [WhisperAI].srt", 900), (1, "d.chs.ass", 900), (1, "e.rar", 9), (1, "f.txt", 900), (1, "g.srt", 499), (2, "h.zip", 9), (3, "i.chs.srt", 900), (3, "j.zip", 9)]
     x = spark.createDataFrame(rows, "entry_id int, name string, size long")
