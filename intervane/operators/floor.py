@@ -65,17 +65,84 @@ def _types(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"`{n}` {kinds[n]}" for n in names)
 
 
+def _blocks(frames: DataFrame, keys: list[str], then, schema: str, *more: str) -> DataFrame:
+    """then(rows, of, place, first, energy) of many blocks at once, over partitions sorted by block and frame.
+
+    rows: whole blocks. of: the block of each row, place: its place there; first: the first row of each; energy: (blocks, frames) with zeros, which
+    leave the floor as it is, behind shorter ones.
+    """
+    on = [*keys, "block"]
+
+    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
+        turn = pdf[on].ne(pdf[on].shift()).any(axis=1).to_numpy()
+        turn[0] = True
+        first = np.nonzero(turn)[0]
+        of = np.cumsum(turn) - 1
+        place = np.arange(len(pdf)) - first[of]
+        energy = np.zeros((len(first), int(place.max()) + 1))
+        energy[of, place] = pdf["energy"].fillna(0.0)
+        return then(pdf, of, place, first, energy)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            # The last block may go on in the next batch.
+            last = (pdf[on] == pdf[on].iloc[-1]).all(axis=1).to_numpy()
+            rest = pdf[last].reset_index(drop=True)
+            if not last.all():
+                yield steps(pdf[~last].reset_index(drop=True))
+        if rest is not None and len(rest):
+            yield steps(rest)
+
+    rows = frames.dropna(subset=keys).select(*on, "frame_no", "energy", *more)
+    return rows.repartition(F.xxhash64(*on)).sortWithinPartitions(*on, "frame_no", "energy").mapInPandas(run, f"{_types(frames, keys)}, {schema}")
+
+
+def _numbered(frames: DataFrame, keys: list[str], block: int) -> DataFrame:
+    return frames.select(*keys, "frame_no", "energy", F.floor(F.col("frame_no") / block).alias("block"))
+
+
+def composed(energy: np.ndarray) -> list[Bent]:
+    """The map of each row of frames, frame_map() after frame_map(), all rows at once."""
+    n, most = energy.shape
+    x, y = np.full((n, most), np.inf), np.full((n, most), np.inf)  # points in order, those still missing at the end
+    size, before, after = np.zeros(n, int), np.ones(n), np.ones(n)
+    for e in energy.T:
+        on = np.nonzero(e > 0)[0]
+        if not len(on):
+            continue
+        e, k, xs, ys = e[on], size[on], x[on], y[on]
+        r, none = np.arange(len(on)), k == 0
+        at = (ys < e[:, None]).sum(axis=1)  # points below the energy
+        lo, hi = np.clip(at - 1, 0, most - 1), np.clip(at, 0, most - 1)
+        end = np.maximum(k - 1, 0)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            inside = xs[r, lo] + (xs[r, hi] - xs[r, lo]) * ((e - ys[r, lo]) / (ys[r, hi] - ys[r, lo]))
+            low, high = xs[:, 0] + (e - ys[:, 0]) / before[on], xs[r, end] + (e - ys[r, end]) / after[on]
+            back = np.where(none, e, np.where(at == 0, low, np.where(at >= k, high, inside)))
+            moved = e[:, None] + (ys - e[:, None]) * np.where(ys < e[:, None], 1 - RISE, 1 - FALL)
+        order = np.arange(most)
+        shift = order > at[:, None]
+        x[on] = np.where(order == at[:, None], back[:, None], np.where(shift, np.roll(xs, 1, axis=1), xs))
+        y[on] = np.where(order == at[:, None], e[:, None], np.where(shift, np.roll(moved, 1, axis=1), moved))
+        size[on] = k + 1
+        before[on] *= 1 - RISE
+        after[on] *= 1 - FALL
+    return [Bent(x[i, : size[i]], y[i, : size[i]], before[i], after[i]) for i in range(n)]
+
+
 def block_maps(frames: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
     """(keys, block, x, y, before, after): the map of each block of frame numbers."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        whole = Bent()
-        for e in pdf.sort_values(["frame_no", "energy"])["energy"]:
-            whole = whole.then(frame_map(e))
-        return pdf[[*keys, "block"]].head(1).assign(x=[whole.x], y=[whole.y], before=whole.before, after=whole.after)
+    def then(pdf, of, place, first, energy):
+        maps = composed(energy)
+        rows = pdf[[*keys, "block"]].iloc[first]
+        return rows.assign(x=[m.x for m in maps], y=[m.y for m in maps], before=[m.before for m in maps], after=[m.after for m in maps])
 
-    numbered = frames.select(*keys, "frame_no", "energy", F.floor(F.col("frame_no") / block).alias("block"))
-    return numbered.groupBy(*keys, "block").applyInPandas(run, f"{_types(frames, keys)}, block long, x array<double>, y array<double>, before double, after double")
+    return _blocks(_numbered(frames, keys, block), keys, then, "block long, x array<double>, y array<double>, before double, after double")
 
 
 def first_floors(maps: DataFrame, keys: list[str], first: float = FIRST) -> DataFrame:
@@ -100,15 +167,13 @@ def floors(frames: DataFrame, keys: list[str], block: int = BLOCK, first: float
     """(keys, frame_no, floor): the floor after each frame. frames is read twice. Frames of one number follow each other by energy."""
     before = first_floors(block_maps(frames, keys, block), keys, first)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame_no", "energy"])
-        floor, out = float(pdf["floor"].iloc[0]), []
-        for e in pdf["energy"].to_numpy():
-            if e > 0:
-                rate = FALL if e < floor else RISE
-                floor = (1 - rate) * floor + rate * e
-            out.append(floor)
-        return pdf[[*keys, "frame_no"]].assign(floor=out)
-
-    numbered = frames.select(*keys, "frame_no", "energy", F.floor(F.col("frame_no") / block).alias("block"))
-    return numbered.join(before, [*keys, "block"]).groupBy(*keys, "block").applyInPandas(run, f"{_types(frames, keys)}, frame_no long, floor double")
+    def then(pdf, of, place, first, energy):
+        floor, out = pdf["floor"].to_numpy(float)[first], np.empty_like(energy)
+        for k, e in enumerate(energy.T):
+            rate = np.where(e < floor, FALL, RISE)
+            floor = np.where(e > 0, (1 - rate) * floor + rate * e, floor)
+            out[:, k] = floor
+        return pdf[[*keys, "frame_no"]].assign(floor=out[of, place])
+
+    numbered = _numbered(frames, keys, block).join(before.hint("merge"), [*keys, "block"])
+    return _blocks(numbered, keys, then, "frame_no long, floor double", "floor")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from intervane.operators import floor as FL
+from intervane.tables import save
 
 # Rate, frame, band (Hz); gates on duty and frames.
 RATE, FRAME, LOW, HIGH = 16_000, 512, 300.0, 3400.0
@@ -50,7 +51,7 @@ def score(energy: Column, flatness: Column, floor: Column) -> Column:
 
 def band_energy(frames: DataFrame, key: str) -> DataFrame:
     """(key, frame_no, score) of frames (key, frame_no, samples array<double>)."""
-    x = spectra(frames, key)
+    x = save(spectra(frames, key), "spectra")  # read three times; what it comes from is 512 samples a row
     floors = FL.floors(x, [key])
     return x.join(floors, [key, "frame_no"]).select(key, "frame_no", score(F.col("energy"), F.col("flatness"), F.col("floor")).alias("score"))
 

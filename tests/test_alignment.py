@@ -161,3 +161,20 @@ def test_scores_of_silence_and_short_frames(spark):
     got = {x.frame_no: x.score for x in V.scores(frames, "k").collect()}
     assert got[0] == got[1] == got[3] == 0.0 and 0 < got[2] <= 1
     assert V.scores(frames.limit(0), "k").agg(F.count("*")).first()[0] == 0
+
+
+def test_maps_of_many_blocks_equal_composing_frame_by_frame(spark):
+    r = np.random.default_rng(1)
+    energy = r.choice([0.0, 1.0, 1.0], size=(40, 30)) * np.exp(r.normal(0, 3, (40, 30)))
+    energy[3], energy[4], energy[5, ::2] = 0.0, 2.0, 3.0
+    for row, got in zip(energy, FL.composed(energy)):
+        want = FL.Bent()
+        for e in row:
+            want = want.then(FL.frame_map(e))
+        at = np.exp(r.normal(0, 4, 60))
+        assert got(at) == pytest.approx(want(at), rel=1e-12) and len(got.x) == len(want.x)
+    # blocks are not Python groups of their own, and spectra, which cost most, are found once
+    frames = spark.createDataFrame([(0, i, float(i % 7)) for i in range(90)], "k int, frame_no long, energy double")
+    assert "FlatMapGroupsInPandas" not in FL.floors(frames, ["k"], 16)._jdf.queryExecution().executedPlan().toString()
+    sound = frames.select("k", "frame_no", F.array(F.lit(0.1), F.lit(0.3)).alias("samples"))
+    assert "samples" not in V.scores(sound, "k")._jdf.queryExecution().executedPlan().toString()
