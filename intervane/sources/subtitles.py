@@ -43,10 +43,14 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_ix, raw, kind) with terminators kept; kind is ass if any line opens like one, else srt."""
-    parts = F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(r"[^\n]*\n|[^\n]+$"), F.lit(0))
-    styled = F.exists(parts, lambda x: x.rlike(r"(?i)^(\[Script Info\]|Dialogue:|\[V4\+? Styles\])"))
-    return docs.select("doc_id", F.when(styled, "ass").otherwise("srt").alias("kind"), F.posexplode(parts).alias("line_ix", "raw"))
+    """(doc_id, line_ix, raw, kind) with terminators kept; kind is ass if any line opens like one, else srt.
+
+    kind is found before lines become rows: beside an explode it would be found again over the whole document for each of its lines.
+    """
+    text = F.coalesce("content", F.lit(""))
+    styled = text.rlike(r"(?imd)^(\[Script Info\]|Dialogue:|\[V4\+? Styles\])")
+    parts = F.regexp_extract_all(text, F.lit(r"[^\n]*\n|[^\n]+$"), F.lit(0))
+    return docs.select("doc_id", F.when(styled, "ass").otherwise("srt").alias("kind"), parts.alias("_parts")).select("doc_id", "kind", F.posexplode("_parts").alias("line_ix", "raw"))
 
 
 def _offsets(fields: Column, at: Column) -> Column:
@@ -84,12 +88,23 @@ def timed_styled(of: DataFrame) -> DataFrame:
     )
 
 
+_SECONDS = r"[+-]?(?:\d+[.,]?\d*|[.,]\d+)(?:[eE][+-]?\d+)?"
+#: Lines with a time on both sides of their first arrow, as T.parse_time reads it; the second ends at a space or the end of the line.
+_TIMED = (
+    rf"^\s*[+-]?\d+:[+-]?\d+:\s*{_SECONDS}\s*[\x{{85}}\x{{2028}}\x{{2029}}]?\x20*-->\x20*[^\S\x20]*[+-]?\d+:[+-]?\d+:"
+    rf"[^\S\x20]*{_SECONDS}[^\S\x20]*[\x{{85}}\x{{2028}}\x{{2029}}]?(?:\x20|[\r\n]*\z)"
+)
+
+
 def timed_plain(of: DataFrame) -> DataFrame:
-    """Timecode lines of plain documents; what follows the second time (coordinates) stays as it is. They have no text field."""
-    x = of.where("kind = 'srt' and instr(raw, '-->') > 0").withColumn("_l", F.regexp_replace("raw", r"[\r\n]+$", ""))
+    """Timecode lines of plain documents; what follows the second time (coordinates) stays as it is. They have no text field.
+
+    One pattern on raw says which lines are timed: a test of the parsed times would be pushed below their columns and find each of them anew.
+    """
+    x = of.where("kind = 'srt' and instr(raw, '-->') > 0").where(F.col("raw").rlike(_TIMED)).withColumn("_l", F.regexp_replace("raw", r"[\r\n]+$", ""))
     x = x.withColumn("_a", F.instr("_l", "-->") - 1).withColumn("_left", F.expr("substring(_l, 1, _a)")).withColumn("_right", F.expr("substring(_l, _a + 4)"))
     x = x.withColumn("_rt", F.ltrim("_right")).withColumn("_e", F.split_part("_rt", F.lit(" "), F.lit(1)))
-    x = x.withColumn("start", T.parse_time(F.trim("_left"))).withColumn("stop", T.parse_time(F.col("_e"))).where("start is not null and stop is not null")
+    x = x.withColumn("start", T.parse_time(F.trim("_left"))).withColumn("stop", T.parse_time(F.col("_e")))
     return x.select(
         "doc_id", "kind", "line_ix", "raw", "start", "stop",
         (F.length("_left") - F.length(F.ltrim("_left"))).alias("start_at"), F.length(F.trim("_left")).alias("start_len"),
