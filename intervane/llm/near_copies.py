@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intervane.llm.common import docs_of, save, slices
+from intervane.llm.common import docs_of, save, shuffles_removed, slices
 from intervane.llm.components import components, contract, first_rows, nearest_roots
 from intervane.llm.simhash_dedup import BITS, links
 
@@ -36,6 +36,8 @@ CONTRACTIONS = 2
 #: Bits in which the fingerprints of candidates may differ.
 RADIUS = 3
 _PIECE = 50_000
+#: The most parity bits that whole sets are first compared by. Larger sets have fewer for a shingle.
+_MOST_BITS = 1 << 20
 #: Columns of the parity bits of a set, 64 in each.
 _BITS = ("b0", "b1", "b2", "b3")
 
@@ -271,33 +273,62 @@ def possible(pairs: DataFrame) -> DataFrame:
     return n.where(9 * (F.col("shared") + rest) >= 4 * (F.col("un") + F.col("vn"))).select("u", "v")
 
 
-def confirmed(docs: DataFrame, of: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of pairs (u, v) whose whole shingle sets have a Jaccard similarity of 4/5 or more."""
+def wide_parity(s: np.ndarray) -> bytes:
+    """The size of s, and parity bits as in parity(), at least two for each shingle up to _MOST_BITS: a power of two of residues."""
+    bits = min(max(64, 1 << (2 * len(s)).bit_length()), _MOST_BITS)
+    counts = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.int64(len(s)).tobytes() + np.packbits(counts & 1).tobytes()
+
+
+def _may_be_near(a: pa.BinaryScalar, b: pa.BinaryScalar) -> bool:
+    """Whether sets of wide_parity() a and b can be 4/5 alike: such sets differ in at most a ninth of both sizes, and so do their bits."""
+    x, y = (np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in (a, b))
+    n, m = int(x[0]), int(y[0])
+    least = min(len(x), len(y)) - 1
+    x, y = (np.bitwise_xor.reduce(z[1:].reshape(-1, least), axis=0) for z in (x, y))
+    return 9 * int(np.bitwise_count(x ^ y).sum()) <= n + m
+
+
+def _is_near(a: pa.BinaryScalar, b: pa.BinaryScalar) -> bool:
+    x, y = (np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in (a, b))
+    both_in = len(np.intersect1d(x, y, assume_unique=True))
+    return 5 * both_in >= 4 * (len(x) + len(y) - both_in)
+
+
+def _compared(docs: DataFrame, of: DataFrame, pairs: DataFrame, form, test, name: str) -> DataFrame:
+    """Those of pairs (u, v) for which test holds of the forms (bytes) of both shingle sets. pairs is read several times."""
     ids = save(pairs.select(F.col("u").alias("set_id")).union(pairs.select("v")).distinct(), "compared-sets")
     some = F.broadcast if ids.count() <= BROADCAST_ROWS else (lambda d: d)
     texts = of.join(some(ids), "set_id", "left_semi").groupBy("set_id").agg(F.min("text_hash").alias("text_hash")).select("text_hash")
     texts = _texts(docs).join(some(texts), "text_hash", "left_semi").groupBy("text_hash").agg(F.min("text").alias("text"))
 
-    def whole(batches):
+    def forms(batches):
         for batch in batches:
             for part in slices(batch):
                 sets = [shingles(t) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_id", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([form(s) for s in sets], pa.binary())], names=["set_id", "s"])
 
-    sets = save(texts.select("text").mapInArrow(whole, "set_id long, s binary"), "shingle-sets")
-    both = pairs.join(sets.select(F.col("set_id").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("set_id").alias("v"), F.col("s").alias("b")), "v")
+    sets = save(texts.select("text").mapInArrow(forms, "set_id long, s binary"), name)
+    some = F.broadcast if pairs.count() <= BROADCAST_ROWS else (lambda d: d)
+    both = sets.select(F.col("set_id").alias("u"), F.col("s").alias("a")).join(some(pairs), "u").join(sets.select(F.col("set_id").alias("v"), F.col("s").alias("b")), "v")
 
-    def near(batches):
+    def run(batches):
         for batch in batches:
             for part in slices(batch):
-                ok = []
-                for a, b in zip(part.column("a"), part.column("b")):
-                    x, y = (np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in (a, b))
-                    both_in = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(5 * both_in >= 4 * (len(x) + len(y) - both_in))
+                ok = [test(a, b) for a, b in zip(part.column("a"), part.column("b"))]
                 yield part.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("u", "v", "a", "b").mapInArrow(near, "u long, v long")
+    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def confirmed(docs: DataFrame, of: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of pairs (u, v) whose whole shingle sets have a Jaccard similarity of 4/5 or more.
+
+    A set goes to each of its pairs, so pairs are first held against parity bits as wide as the sets, a few bits for the eight
+    bytes of a shingle. They lose no pair, and whole sets go only to what they leave.
+    """
+    left = save(_compared(docs, of, pairs, wide_parity, _may_be_near, "set-parities"), "pairs-by-parity")
+    return _compared(docs, of, left, np.ndarray.tobytes, _is_near, "shingle-sets")
 
 
 def members(docs: DataFrame) -> DataFrame:
@@ -335,4 +366,6 @@ def _left(rooted: DataFrame) -> int:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with exactly one row of each component: that of the smallest doc_id, nulls last."""
-    return first_rows(docs, save(members(docs), "near-copies"))
+    with shuffles_removed(docs.sparkSession):
+        found = save(members(docs), "near-copies")
+    return first_rows(docs, found)

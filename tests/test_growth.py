@@ -3,9 +3,13 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from intervane.functions import timing as T
+from intervane.llm import near_copies
 from intervane.sources import subtitles as SU
-from pyspark.sql import functions as F
 
 
 def test_kind_is_found_once_a_document(spark):
@@ -41,3 +45,31 @@ def test_timed_lines_are_those_whose_times_are_read(spark):
     plain = of.where("instr(raw, '-->') > 0").withColumn("_l", bare).select("line_ix", T.parse_time(F.trim(left)).alias("start"), T.parse_time(right).alias("stop"))
     want = sorted((p.line_ix, p.start, p.stop) for p in plain.collect() if p.start is not None and p.stop is not None)
     assert len(want) > 300 and sorted((p.line_ix, p.start, p.stop) for p in x.collect()) == want
+
+
+def test_wide_parity_loses_no_near_pair_and_spares_most_others():
+    r, kept, far = np.random.default_rng(3), 0, 0
+    for _ in range(400):
+        n = int(r.integers(1, 3000))
+        x = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        gone = r.random(len(x)) < r.choice([0.05, 0.1, 0.3, 0.5])
+        y = np.unique(np.concatenate([x[~gone], r.integers(0, 1 << 63, int(gone.sum() * r.random())).astype(np.uint64)]))
+        near = 5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y))
+        passes = near_copies._may_be_near(*(pa.scalar(near_copies.wide_parity(s), pa.binary()) for s in (x, y)))
+        assert passes or not near
+        far += not near
+        kept += passes and not near
+    assert far > 100 and kept < far / 4
+    assert all(near_copies._may_be_near(*(pa.scalar(near_copies.wide_parity(s), pa.binary()) for s in (z, z))) for z in (x[:0], x[:1], x))
+
+
+def test_whole_sets_go_only_to_pairs_that_parity_leaves(spark):
+    """Texts that share half their words are listed as a pair, but their whole sets are not sent."""
+    words = [f"w{k}" for k in range(900)]
+    texts = [" ".join(words), " ".join(words[:450] + [f"x{k}" for k in range(450)]), " ".join([*words, "y"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    of = near_copies.sets_of(docs).cache()
+    ids = {r.doc_id: r.set_id for r in of.collect()}
+    pairs = spark.createDataFrame([(ids[0], ids[1]), (ids[0], ids[2])], "u long, v long")
+    left = near_copies._compared(docs, of, pairs, near_copies.wide_parity, near_copies._may_be_near, "set-parities")
+    assert [tuple(r) for r in left.collect()] == [(ids[0], ids[2])] == [tuple(r) for r in near_copies.confirmed(docs, of, pairs).collect()]
