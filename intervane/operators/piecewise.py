@@ -21,6 +21,8 @@ from intervane.operators import correlate as X
 from intervane.operators import intervals as I
 
 _TILE, _PIECE = 4096, 1000
+#: Signs of a reference piece's two ends, and slopes at the four places of a cue that they meet.
+_UP, _WEIGHT = np.array([1, -1]), np.array([5, -5, 1, -1])
 BLOCKS = "array<struct<first_cue:int,last_cue:int,offset:double>>"
 
 
@@ -47,15 +49,18 @@ def met(ref: DataFrame, cues: DataFrame, keys: list[str]) -> DataFrame:
     return looks.join(pieces.hint("merge"), on, "left").select(*cues.columns, "s", "e")
 
 
-def rating(s: np.ndarray, e: np.ndarray, a: int, b: int, g: int, first: int, n: int) -> np.ndarray:
-    """Four times the rating of a cue at n offsets: reference bins under it, less a quarter of those in the guards beside it."""
-    edges, up = np.concatenate([s, e]), np.repeat([1, -1], len(s))
-    points, weight = np.array([b, a, a - g, b + g]), np.array([5, -5, 1, -1])
-    at, w = (edges[:, None] - points - first).ravel(), (up[:, None] * weight).ravel()
-    at, w = at[at < n], w[at < n]
-    start = -int((w * np.minimum(at, 0)).sum())
-    slope = np.cumsum(np.bincount(np.maximum(at, 0), w, n).astype(np.int64))
-    return start + np.concatenate([[0], np.cumsum(slope[:-1])])
+def rating(s: np.ndarray, e: np.ndarray, a: int, b: int, g: int, first: int, n: int, out: np.ndarray | None = None) -> np.ndarray:
+    """Four times the rating of a cue at n offsets: reference bins under it, less a quarter of those in the guards beside it. out: int64, to be written over."""
+    out = np.zeros(n, np.int64) if out is None else out
+    out.fill(0)
+    edges, up = np.concatenate([s, e]), np.repeat(_UP, len(s))
+    at, w = (edges[:, None] - (np.array([b, a, a - g, b + g]) + first)).ravel(), (up[:, None] * _WEIGHT).ravel()
+    before = int((w * np.minimum(at, 0)).sum())
+    to = np.maximum(at, 0) + 1  # a slope holds from the next offset on
+    np.add.at(out, to[to < n], w[to < n])
+    np.cumsum(out, out=out)
+    out[0] = -before
+    return np.cumsum(out, out=out)
 
 
 def _program(keys: list[str], n: int):
@@ -63,27 +68,34 @@ def _program(keys: list[str], n: int):
     price = round(4 * C.SPLIT_PENALTY * C.BINS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, score, since, rest = None, None, None, None
+        key, top, rest = None, 0, None
+        score, since, rate, low = (np.zeros(n, t) for t in (np.int64, np.int64, np.int64, bool))  # written over cue by cue
 
         def steps(pdf: pd.DataFrame) -> pd.DataFrame:
-            nonlocal key, score, since
+            nonlocal key, top
             out = []
             cols = [pdf[c].to_numpy() for c in ("a", "b", "g", "first", "cue_ix")]
             turn = (pdf[[*keys, "cue_ix"]].ne(pdf[[*keys, "cue_ix"]].shift())).any(axis=1).to_numpy()
             cuts = [*np.nonzero(turn)[0].tolist(), len(pdf)]
             s, e = pdf["s"].to_numpy(float), pdf["e"].to_numpy(float)
-            for x, y in zip(cuts, cuts[1:]):
-                a, b, g, first, cue = (int(c[x]) for c in cols)
-                real = ~np.isnan(s[x:y])
-                rate = rating(s[x:y][real].astype(np.int64), e[x:y][real].astype(np.int64), a, b, g, first, n)
-                mine = tuple(pdf[k].iat[x] for k in keys)
+            missing = np.isnan(s)
+            s, e = (np.where(missing, 0, x).astype(np.int64) for x in (s, e))
+            of = zip(*(pdf[k].to_numpy()[cuts[:-1]].tolist() for k in keys))
+            for x, y, mine, (a, b, g, first, cue) in zip(cuts, cuts[1:], of, zip(*(c[cuts[:-1]].tolist() for c in cols))):
+                real = ~missing[x:y]
+                rating(s[x:y][real], e[x:y][real], a, b, g, first, n, rate)
                 if mine != key:
-                    key, score, since = mine, rate, np.full(n, cue)
+                    key = mine
+                    score[:] = rate
+                    since.fill(cue)
                 else:
-                    leap = score.max() - price
-                    since = np.where(leap > score, cue, since)
-                    score = rate + np.maximum(score, leap)
+                    leap = top - price
+                    np.less(score, leap, out=low)
+                    np.copyto(since, cue, where=low)
+                    np.maximum(score, leap, out=score)
+                    np.add(score, rate, out=score)
                 at = int(score.argmax())
+                top = int(score[at])
                 out.append((*mine, cue, first + at, int(since[at])))
             return pd.DataFrame(out, columns=[*keys, "cue_ix", "at", "since"])
 

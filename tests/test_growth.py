@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from intervane.functions import timing as T
 from intervane.llm import near_copies
+from intervane.operators import piecewise as PW
 from intervane.sources import subtitles as SU
 
 
@@ -73,3 +74,15 @@ def test_whole_sets_go_only_to_pairs_that_parity_leaves(spark):
     pairs = spark.createDataFrame([(ids[0], ids[1]), (ids[0], ids[2])], "u long, v long")
     left = near_copies._compared(docs, of, pairs, near_copies.wide_parity, near_copies._may_be_near, "set-parities")
     assert [tuple(r) for r in left.collect()] == [(ids[0], ids[2])] == [tuple(r) for r in near_copies.confirmed(docs, of, pairs).collect()]
+
+
+def test_ratings_are_written_over_one_array():
+    """No array of all offsets is made for a cue, and what the last cue left does not count."""
+    r, buf = np.random.default_rng(2), {n: np.full(n, 7) for n in (1, 2, 90)}
+    for _ in range(60):
+        n, k = int(r.choice([1, 2, 90])), int(r.integers(0, 6))
+        s = np.sort(r.integers(-80, 80, k)) * 2
+        e, a, b, g, first = s + 1, *(int(v) for v in (r.integers(-20, 20), 25 + r.integers(0, 9), r.integers(0, 5), r.integers(-60, 10)))
+        under = [sum(4 * max(0, min(y, b + o) - max(x, a + o)) - max(0, min(y, a + o) - max(x, a - g + o)) - max(0, min(y, b + g + o) - max(x, b + o)) for x, y in zip(s, e)) for o in range(first, first + n)]
+        got = PW.rating(s, e, a, b, g, first, n, buf[n])
+        assert got is buf[n] and got.tolist() == under
