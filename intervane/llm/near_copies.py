@@ -7,6 +7,7 @@ are frequent in a bounded sample last; it decides the cost, not the result. Sets
 of them, for as long as that joins many, and then only pairs of different components are listed, each where it may first share
 a shingle: if what follows there leaves room for 4/5, if the shingles just before are not shared, and if parity bits of the whole
 sets differ in no more places than sets of that similarity can. None of these tests loses a pair, and whole sets are compared after.
+A set's first listings are of few pairs: what they join need not be paired again, and the last listing has all the rest.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intervane.llm.common import docs_of, save, shuffles_removed, slices
+from intervane.llm.common import docs_of, releasing_task, save, shuffles_removed, slices, small_batches
 from intervane.llm.components import components, contract, first_rows, nearest_roots
 from intervane.llm.simhash_dedup import BITS, links
 
@@ -31,6 +32,9 @@ BROADCAST_ROWS = 400_000
 #: Rounds against leads end once no more pairs than this many a row are left to list, or a round leaves more than this part of them.
 #: All that are left are listed.
 PAIRS_A_ROW, LITTLE_LESS = 2, 2 / 3
+#: Pairs that a set may have at one shingle in the first listings, after each of which sets that were joined no longer pair. A last
+#: listing has all that these left out. Else a large group of sets that are about 4/5 alike would be listed and compared as its square.
+FEW = (2, 16)
 #: Rounds of contraction between them. What they leave apart is only compared once more.
 CONTRACTIONS = 2
 #: Bits in which the fingerprints of candidates may differ.
@@ -108,7 +112,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(text).view(np.int64))], names=["h"])
 
     part = texts.where(F.pmod("text_hash", F.lit(one_in)) == 0).groupBy("text_hash").agg(F.min("text").alias("text"))
-    found = part.select("text").mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= FREQUENT)
+    found = part.select("text").mapInArrow(releasing_task(run), "h long").groupBy("h").count().where(F.col("count") >= FREQUENT)
     hashes = found.orderBy(F.desc("count"), "h").select("h").limit(MOST).toArrow()["h"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], (len(hashes) - np.arange(len(hashes)))[order]
@@ -133,7 +137,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, schema=_OF)
 
-    return _texts(docs).mapInArrow(run, "doc_id long, text_hash long, set_id long, fp long, n int, prefix binary, " + ", ".join(f"{b} long" for b in _BITS))
+    return _texts(docs).mapInArrow(releasing_task(run), "doc_id long, text_hash long, set_id long, fp long, n int, prefix binary, " + ", ".join(f"{b} long" for b in _BITS))
 
 
 def by_fingerprint(of: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -148,18 +152,18 @@ def by_fingerprint(of: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def _groups(batches, names: tuple[str, ...]):
     """Columns of whole groups of equal h, from batches in the order of h."""
-    held = None
+    held: list[list[np.ndarray]] = []
     for batch in batches:
         now = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-        held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
-        if not len(held[0]):
+        if not len(now[0]):
             continue
-        end = int(np.searchsorted(held[0], held[0][-1]))
-        if end:
-            yield [x[:end] for x in held]
-            held = [x[end:] for x in held]
-    if held is not None and len(held[0]):
-        yield held
+        end = int(np.searchsorted(now[0], now[0][-1]))
+        if end or (held and held[-1][0][-1] != now[0][0]):
+            yield [np.concatenate(x) for x in zip(*held, [x[:end] for x in now])]
+            held, now = [], [x[end:] for x in now]
+        held.append(now)
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
 
 
 def shared_prefixes(of: DataFrame) -> DataFrame:
@@ -189,9 +193,9 @@ def shared_prefixes(of: DataFrame) -> DataFrame:
             many[:-1] |= follows[1:]
             yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (h, n, s, at, before)], names=list(names))
 
-    rows = of.select("n", "set_id", "prefix").mapInArrow(each, schema)
+    rows = of.select("n", "set_id", "prefix").mapInArrow(releasing_task(each), schema)
     rows = rows.repartition("h").sortWithinPartitions("h", "n", "set_id")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(releasing_task(run), schema)
 
 
 def _mixed(h: np.ndarray, root: np.ndarray):
@@ -219,15 +223,18 @@ def against_leads(rows: DataFrame, turn: int) -> DataFrame:
                 yield _pairs(out, s, n)
 
     rows = rows.repartition("h").withColumn("at", F.xxhash64("set_id", F.lit(turn))).sortWithinPartitions("h", "at")
-    return rows.select("h", "n", "set_id", "root").mapInArrow(run, "u long, v long, un int, vn int")
+    return rows.select("h", "n", "set_id", "root").mapInArrow(releasing_task(run), "u long, v long, un int, vn int")
 
 
-def across(rows: DataFrame, of: DataFrame) -> DataFrame:
+def across(rows: DataFrame, of: DataFrame, most: int | None = None) -> DataFrame:
     """(u, v): sets of different roots that share an h and may be 4/5 alike, a pair of that similarity once at least. rows: (h, n, set_id, at, before, root).
 
     Take the first shingle in order that two sets share, at places i and j. Those before it are not shared, so at most
     min(un - i, vn - j) are, and 4/5 needs 4/9 of un + vn. Where that fails, or the two shingles before are one, h is not the
     first or the pair is not alike; and alike sets differ in at most a ninth of un + vn, so their parity bits do.
+
+    most: of the pairs of a set with smaller ones at one h, only so many, those of least set_id; sets of which pairs were left out
+    come as (v, v) too.
     """
     names = ("h", "n", "set_id", "root", "at", "before", *_BITS)
 
@@ -244,6 +251,8 @@ def across(rows: DataFrame, of: DataFrame) -> DataFrame:
                     may_be_first = (before[j] != before[i]) | (at[j] == 0) | (at[i] == 0)
                     j = j[(root[j] != root[i]) & (9 * np.minimum(rest[j], rest[i]) >= 4 * both) & may_be_first]
                     j = j[9 * np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64) <= n[j] + n[i]]
+                    if most is not None and len(j) > most:
+                        j = np.append(j[np.argsort(s[j], kind="stable")[:most]], i)
                     if len(j):
                         out.append((j, np.full(len(j), i)))
                         held += len(j)
@@ -254,7 +263,7 @@ def across(rows: DataFrame, of: DataFrame) -> DataFrame:
                 yield _pairs(out, s, n)
 
     rows = rows.join(of.select("set_id", *_BITS).dropDuplicates(["set_id"]), "set_id").select(*names)
-    return rows.repartition("h").sortWithinPartitions("h", "n", "set_id").mapInArrow(run, "u long, v long, un int, vn int").select("u", "v").distinct()
+    return rows.repartition("h").sortWithinPartitions("h", "n", "set_id").mapInArrow(releasing_task(run), "u long, v long, un int, vn int").select("u", "v").distinct()
 
 
 def _pairs(at: list[tuple[np.ndarray, np.ndarray]], s: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -308,7 +317,7 @@ def _compared(docs: DataFrame, of: DataFrame, pairs: DataFrame, form, test, name
                 sets = [shingles(t) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([form(s) for s in sets], pa.binary())], names=["set_id", "s"])
 
-    sets = save(texts.select("text").mapInArrow(forms, "set_id long, s binary"), name)
+    sets = save(texts.select("text").mapInArrow(releasing_task(forms), "set_id long, s binary"), name)
     some = F.broadcast if pairs.count() <= BROADCAST_ROWS else (lambda d: d)
     both = sets.select(F.col("set_id").alias("u"), F.col("s").alias("a")).join(some(pairs), "u").join(sets.select(F.col("set_id").alias("v"), F.col("s").alias("b")), "v")
 
@@ -318,7 +327,7 @@ def _compared(docs: DataFrame, of: DataFrame, pairs: DataFrame, form, test, name
                 ok = [test(a, b) for a, b in zip(part.column("a"), part.column("b"))]
                 yield part.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return both.select("u", "v", "a", "b").mapInArrow(releasing_task(run), "u long, v long")
 
 
 def confirmed(docs: DataFrame, of: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -349,7 +358,14 @@ def members(docs: DataFrame) -> DataFrame:
         new = save(confirmed(docs, of, save(possible(against_leads(rooted, turn)), "pairs-with-leads")), "near-leads")
         edges = contract(edges.union(new), CONTRACTIONS)
         rooted = save(_with_roots(shared, nearest_roots(edges)), "rooted")
-    new = confirmed(docs, of, save(across(rooted, of), "pairs-across"))
+    for most in (*FEW, None):
+        listed = save(across(rooted, of, most), "pairs-across")
+        new, cut = confirmed(docs, of, listed.where("u <> v")), listed.where("u = v").select(F.col("u").alias("set_id"))
+        if most is None or cut.isEmpty():
+            break
+        edges = contract(edges.union(save(new, "near-across")), 2 * CONTRACTIONS)
+        shared = shared.join(shared.join(cut, "set_id", "left_semi").select("h").distinct(), "h", "left_semi")
+        rooted = save(_with_roots(shared, nearest_roots(edges)), "rooted")
     return _with_roots(of.select("doc_id", "text_hash", "set_id"), components(edges.union(new))).drop("set_id")
 
 
@@ -366,6 +382,6 @@ def _left(rooted: DataFrame) -> int:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with exactly one row of each component: that of the smallest doc_id, nulls last."""
-    with shuffles_removed(docs.sparkSession):
+    with shuffles_removed(docs.sparkSession), small_batches(docs.sparkSession):
         found = save(members(docs), "near-copies")
     return first_rows(docs, found)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intervane.llm.common import bounded_sample, docs_of, from_rows, release, slices
+from intervane.llm.common import bounded_sample, docs_of, from_rows, release, releasing_task, slices
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -184,4 +184,4 @@ def keep_clean(docs: DataFrame, model: MilModel) -> DataFrame:
                 keep = [model.score(t or "")[0] < THRESHOLD for t in part.column(at).to_pylist()]
                 yield part.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, row_schema)
+    return docs.mapInArrow(releasing_task(run), row_schema)

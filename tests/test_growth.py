@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from intervane.functions import timing as T
 from intervane.llm import near_copies
+from intervane.llm.common import small_batches
 from intervane.operators import piecewise as PW
 from intervane.sources import subtitles as SU
 
@@ -86,3 +87,49 @@ def test_ratings_are_written_over_one_array():
         under = [sum(4 * max(0, min(y, b + o) - max(x, a + o)) - max(0, min(y, a + o) - max(x, a - g + o)) - max(0, min(y, b + g + o) - max(x, b + o)) for x, y in zip(s, e)) for o in range(first, first + n)]
         got = PW.rating(s, e, a, b, g, first, n, buf[n])
         assert got is buf[n] and got.tolist() == under
+
+
+def test_a_group_about_as_alike_as_the_limit_is_not_compared_as_its_square(spark, monkeypatch):
+    # One word of 70 changed: two of them are 4/5 alike only if their places are two words apart at most.
+    texts = [" ".join(f"new{k}" if at == k * 11 % 70 else f"w{at}" for at in range(70)) for k in range(400)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").cache()
+    compared, compare = [], near_copies.confirmed
+    monkeypatch.setattr(near_copies, "confirmed", lambda d, of, pairs: compared.append(pairs.count()) or compare(d, of, pairs))
+    of = {r.doc_id: r.root for r in near_copies.members(docs).collect()}
+    sets = [set(near_copies.shingles(t).tolist()) for t in texts]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    near = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                near += 1
+                root[find(i)] = find(j)
+    want = {frozenset(k for k in range(len(sets)) if find(k) == r) for r in {find(k) for k in range(len(sets))}}
+    assert {frozenset(k for k in of if of[k] == r) for r in set(of.values())} == want
+    assert near > 10 * len(texts) and sum(compared) < near / 2, (near, compared)
+
+
+def test_groups_are_whole_however_batches_fall():
+    h = np.array([1] * 5 + [2] + [3] * 9 + [4, 4, 7])
+    for size in range(1, 20):
+        batches = [pa.RecordBatch.from_arrays([pa.array(h[at : at + size]), pa.array(np.arange(at, min(at + size, len(h))))], names=["h", "x"]) for at in range(0, len(h), size)]
+        got = list(near_copies._groups([b.slice(0, 0) for b in batches] + batches, ("h", "x")))
+        assert np.concatenate([g[0] for g in got]).tolist() == h.tolist() and np.concatenate([g[1] for g in got]).tolist() == list(range(len(h)))
+        assert all(a[0][-1] != b[0][0] for a, b in zip(got, got[1:])) and all(len(g[0]) for g in got)
+
+
+def test_small_batches_bound_what_python_gets_at_once(spark):
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    texts = spark.range(3000, numPartitions=1).selectExpr("repeat('x', 10000) as t")
+    with small_batches(spark, 1_000_000):
+        inside = [r.n for r in texts.mapInArrow(run, "n long").collect()]
+    assert sum(inside) == 3000 and max(inside) < 300 and len(texts.mapInArrow(run, "n long").collect()) == 1
