@@ -21,6 +21,8 @@ from intervane.operators import intervals as I
 _PIECE = 1000
 #: Rows walked at a time, pairs whose lags are summed together, and pairs of intervals met at a time.
 _ROWS, _BLOCK, _MET = 100_000, 32, 500_000
+#: Lags for each impulse beyond which impulses are sorted.
+_FEW = 2
 _REF, _REF_BINS, _PROBE, _PROBE_BINS = range(4)
 
 
@@ -58,10 +60,86 @@ def _turns(table: pa.Table, names: list[str]) -> np.ndarray:
     out[:1] = True
     for k in names:
         c = table.column(k).combine_chunks()
-        out[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+        out[1:] |= pc.fill_null(pc.not_equal(c[1:], c[:-1]), False).to_numpy(zero_copy_only=False)
+        if c.null_count:
+            out[1:] |= np.diff(c.is_null().to_numpy(zero_copy_only=False))
     return out
 
 
+def _dense(g: np.ndarray, b0: np.ndarray, b1: np.ndarray, lo: np.ndarray, hi: np.ndarray, a0: np.ndarray, a1: np.ndarray, n: int, limit: int, guard: int) -> tuple[np.ndarray, ...]:
+    """peaks() from the overlap at every lag."""
+    ov = summed(g, b0, b1, lo, hi, a0, a1, n, limit)
+    best = ov.argmax(axis=1)
+    top, least = ov[np.arange(n), best], ov.min(axis=1)
+    for i, b in enumerate(best):
+        ov[i, max(0, b - guard) : b + guard + 1] = 0
+    return best - limit, top, ov.max(axis=1), least
+
+
+def _sparse(g: np.ndarray, b0: np.ndarray, b1: np.ndarray, lo: np.ndarray, hi: np.ndarray, a0: np.ndarray, a1: np.ndarray, n: int, limit: int, guard: int) -> tuple[np.ndarray, ...]:
+    """peaks() from the overlap at the lags where it bends, and at the ends of what lies away from the best lag: between these it is straight."""
+    many = hi - lo
+    row = np.repeat(np.arange(len(g)), many)
+    a = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + lo[row]
+    x0, x1, y0, y1, of = a0[a] + limit, a1[a] + limit, b0[row], b1[row], g[row]
+    bits, ends, carry, each = (2 * limit + 1).bit_length(), 2 * limit, np.zeros(n), np.arange(n)
+    # One number says the pair, the place and how the slope changes there (by one less than the last two bits).
+    marks = [(each << bits) << 2 | 1, (each << bits | ends) << 2 | 1]
+    for sign, lags in ((1, (x0 - y1, x1 - y0)), (-1, (x0 - y0, x1 - y1))):
+        for lag in lags:
+            under = lag < 0
+            if under.any():
+                carry += sign * np.bincount(of[under], -lag[under], n)
+            near = lag < ends
+            marks.append((of[near] << bits | np.maximum(lag[near], 0)) << 2 | (sign + 1))
+    marks = np.concatenate(marks)
+    marks.sort()
+    at = marks >> 2
+    place = at & ((1 << bits) - 1)
+    first = np.searchsorted(at, each << bits)
+    size = np.diff(np.append(first, len(at)))
+    slope = np.cumsum((marks & 3) - 1)
+    slope -= np.repeat(np.concatenate([[0], slope[first[1:] - 1]]), size)
+    ov = np.zeros(len(at), np.int64)
+    np.cumsum(slope[:-1] * np.diff(place), out=ov[1:])
+    ov -= np.repeat(ov[first] - np.rint(carry).astype(np.int64), size)
+    top, least = np.maximum.reduceat(ov, first), np.minimum.reduceat(ov, first)
+    tops = np.nonzero(ov == np.repeat(top, size))[0]
+    best = place[tops[np.searchsorted(at[tops] >> bits, each)]]
+    second = np.maximum.reduceat(np.where(np.abs(place - np.repeat(best, size)) > guard, ov, 0), first)
+    for edge in (best - guard - 1, best + guard + 1):
+        k = np.searchsorted(at, each << bits | np.clip(edge, 0, ends), "right") - 1
+        second = np.maximum(second, np.where((edge >= 0) & (edge <= ends), ov[k] + slope[k] * (edge - place[k]), 0))
+    return best - limit, top, second, least
+
+
+def peaks(g: np.ndarray, b0: np.ndarray, b1: np.ndarray, lo: np.ndarray, hi: np.ndarray, a0: np.ndarray, a1: np.ndarray, n: int, limit: int, guard: int) -> tuple[np.ndarray, ...]:
+    """(best lag, its overlap, the best overlap more than guard away, the least) of n pairs; arguments as of summed(). Few impulses are sorted, many counted lag by lag."""
+    find = _sparse if 4 * int((hi - lo).sum()) * _FEW < n * (2 * limit + 1) else _dense
+    return find(g, b0, b1, lo, hi, a0, a1, n, limit, guard)
+
+
+def searched(a_ref: np.ndarray, a0: np.ndarray, a1: np.ndarray, b_pair: np.ndarray, b0: np.ndarray, b1: np.ndarray, of_ref: np.ndarray, limit: int, guard: int) -> tuple[np.ndarray, ...]:
+    """(lag, overlap, second, least) of each pair; lag and second are 0 where nothing overlaps.
+
+    Disjoint intervals in order: (a0, a1) of reference a_ref, (b0, b1) of pair b_pair, whose reference is of_ref[b_pair].
+    """
+    low = min(a0.min(initial=0), b0.min(initial=0))
+    wide = int(max(a1.max(initial=0), b1.max(initial=0)) - low + 2 * limit + 4)
+    base = of_ref[b_pair] * wide - low
+    lo = np.searchsorted(a1 + a_ref * wide - low, b0 - limit + base, "left")
+    hi = np.searchsorted(a0 + a_ref * wide - low, b1 + limit + base, "right")
+    n_pairs = len(of_ref)
+    lag, top, second, least = (np.zeros(n_pairs, np.int64) for _ in range(4))
+    cuts = np.searchsorted(b_pair, np.arange(0, n_pairs + _BLOCK, _BLOCK))
+    for k, (x, y) in enumerate(zip(cuts, cuts[1:])):
+        at = slice(k * _BLOCK, min(n_pairs, (k + 1) * _BLOCK))
+        n = at.stop - at.start
+        lag[at], top[at], second[at], least[at] = peaks(b_pair[x:y] - at.start, b0[x:y], b1[x:y], lo[x:y], hi[x:y], a0, a1, n, limit, guard)
+    lag[top <= 0], second[top <= 0] = 0, 0
+    return lag, top, second, least
+
+
 def _fits(table: pa.Table, shared: list[str], own: list[str], limit: int, guard: int) -> pa.Table:
     """Rows of whole keys, sorted, to one row a pair; see overlaps()."""
     ref_ix = np.cumsum(_turns(table, shared)) - 1
@@ -86,29 +164,33 @@ def _fits(table: pa.Table, shared: list[str], own: list[str], limit: int, guard:
     b0, b1, b_pair = s[probes][~is_bins], e[probes][~is_bins], pair[~is_bins]
     np.add.at(n_probe, b_pair, b1 - b0)
 
-    low = min(a0.min(initial=0), b0.min(initial=0))
-    wide = int(max(a1.max(initial=0), b1.max(initial=0)) - low + 2 * limit + 4)
-    base = of_ref[b_pair] * wide - low
-    lo = np.searchsorted(a1 + a_ref * wide - low, b0 - limit + base, "left")
-    hi = np.searchsorted(a0 + a_ref * wide - low, b1 + limit + base, "right")
-    lag, top, second, least = (np.zeros(n_pairs, np.int64) for _ in range(4))
-    cuts = np.searchsorted(b_pair, np.arange(0, n_pairs + _BLOCK, _BLOCK))
-    for k, (x, y) in enumerate(zip(cuts, cuts[1:])):
-        at = slice(k * _BLOCK, min(n_pairs, (k + 1) * _BLOCK))
-        n = at.stop - at.start
-        ov = summed(b_pair[x:y] - at.start, b0[x:y], b1[x:y], lo[x:y], hi[x:y], a0, a1, n, limit)
-        best = ov.argmax(axis=1)
-        lag[at], top[at], least[at] = best - limit, ov[np.arange(n), best], ov.min(axis=1)
-        for i, b in enumerate(best):
-            ov[i, max(0, b - guard) : b + guard + 1] = 0
-        second[at] = ov.max(axis=1)
-    lag[top <= 0], second[top <= 0] = 0, 0
+    lag, top, second, least = searched(a_ref, a0, a1, b_pair, b0, b1, of_ref, limit, guard)
     out = p.select([*shared, *own]).take(first)
     for name, c in (("lag", lag), ("overlap", top), ("second", second), ("least", least), ("energy_a", n_ref[of_ref]), ("energy_b", n_probe), ("_na", n_a[of_ref]), ("_nb", n_b)):
         out = out.append_column(name, pa.array(c, pa.int64()))
     return out.filter(pa.array((n_ref[of_ref] > 0) & (n_probe > 0) & (n_a[of_ref] >= 0) & (n_b >= 0)))
 
 
+def whole_keys(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Sorted rows as tables of _ROWS rows or more, each of whole keys."""
+    held, n = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        last = [batch.column(k)[-1] for k in keys]
+        if n < _ROWS or [held[0].column(k)[0] for k in keys] == last:
+            continue
+        # The last key may go on in the next batch.
+        table = pa.Table.from_batches(held)
+        cut = int(np.nonzero(_turns(table, keys))[0][-1])
+        yield table.slice(0, cut)
+        held, n = table.slice(cut).to_batches(), n - cut
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def overlaps(ref: DataFrame, probe: DataFrame, ref_bins: DataFrame, probe_bins: DataFrame, keys: list[str], limit: int, guard: int) -> DataFrame:
     """(keys, lag, overlap, second, least, energy_a, energy_b, _na, _nb): best lag (ties: the lowest), the best overlap more than guard away from it, and the least.
 
@@ -128,22 +210,8 @@ def overlaps(ref: DataFrame, probe: DataFrame, ref_bins: DataFrame, probe_bins:
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in [*shared, *own]) + "".join(f", {c} long" for c in ("lag", "overlap", "second", "least", "energy_a", "energy_b", "_na", "_nb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            n += batch.num_rows
-            last = [batch.column(k)[-1] for k in shared]
-            if n < _ROWS or [held[0].column(k)[0] for k in shared] == last:
-                continue
-            # The last key may go on in the next batch.
-            table = pa.Table.from_batches(held)
-            cut = int(np.nonzero(_turns(table, shared))[0][-1])
-            yield from _fits(table.slice(0, cut), shared, own, limit, guard).to_batches()
-            held, n = table.slice(cut).to_batches(), n - cut
-        if held:
-            yield from _fits(pa.Table.from_batches(held), shared, own, limit, guard).to_batches()
+        for table in whole_keys(batches, shared):
+            yield from _fits(table, shared, own, limit, guard).to_batches()
 
     # By a hash of the keys: a repartition by the keys themselves is left out where all four parts are already dealt out by them, each into
     # partitions of its own number.

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from intervane.functions import timing as T
 from intervane.llm import near_copies
 from intervane.llm.common import small_batches
+from intervane.operators import align as AL
+from intervane.operators import correlate as X
 from intervane.operators import piecewise as PW
+from intervane.operators import search as S
 from intervane.sources import subtitles as SU
 
 
@@ -133,3 +136,67 @@ def test_small_batches_bound_what_python_gets_at_once(spark):
     with small_batches(spark, 1_000_000):
         inside = [r.n for r in texts.mapInArrow(run, "n long").collect()]
     assert sum(inside) == 3000 and max(inside) < 300 and len(texts.mapInArrow(run, "n long").collect()) == 1
+
+
+def test_a_pair_is_exchanged_once_whatever_is_sought_in_it(spark, monkeypatch):
+    """Ratios, representations, drift, coverage and pieces do not each exchange the cues again, or write a table."""
+    saved, save = [], AL.save
+    monkeypatch.setattr(AL, "save", lambda df, name: saved.append(df._jdf.queryExecution().executedPlan().toString()) or save(df, name))
+    cues = spark.range(6000).selectExpr("id % 20 as k", "id as src_ix", "(id div 20) * 4.0 + (id * 7919) % 3 as start", "(id div 20) * 4.0 + (id * 7919) % 3 + 1.5 as stop")
+    late = cues.selectExpr("k", "src_ix", "if(start < 600, start - 2, start - 9.5) as start", "if(start < 600, stop - 2, stop - 9.5) as stop")
+    got = AL.align(cues, late, ["k"]).collect()
+    assert len(got) == 20 and len(saved) == 1
+    assert saved[0].count("Exchange hashpartitioning") == 1 and "Generate" not in saved[0]
+
+
+def test_sorted_impulses_give_what_every_lag_gives():
+    r, many = np.random.default_rng(4), 0
+    for _ in range(200):
+        n, limit, guard = int(r.integers(1, 9)), int(r.integers(1, 150)), int(r.integers(0, 40))
+        sides = []
+        for _ in range(2):
+            of = np.sort(r.integers(0, n, int(r.integers(0, 60))))
+            size = r.integers(1, 30, len(of))
+            end = np.cumsum(size + r.integers(1, 40, len(of)))
+            sides += [of, end - size - int(r.integers(0, 300)), end]
+            sides[-1] = sides[-2] + size
+        want = None
+        for few in (0, 10**9):
+            X_few, X._FEW = X._FEW, few
+            try:
+                got = [x.tolist() for x in X.searched(*sides, np.arange(n), limit, guard)]
+            finally:
+                X._FEW = X_few
+            assert want in (None, got)
+            want = got
+        many += any(want[2])
+    assert many > 50
+
+
+def test_programs_side_by_side_give_what_each_gives_alone(spark, monkeypatch):
+    """Tracks of any length, in one word size or the other, and however few intervals are met at a time."""
+    r, refs, probes = np.random.default_rng(8), [], []
+    for k in range(21):
+        t, n = float(r.uniform(-20, 20)), int(r.integers(1, 70))
+        for i in range(n):
+            d = float(r.uniform(0.2, 4)) if k != 4 else 100_000.0
+            refs.append((k, i, round(t, 2), round(t + d, 2)))
+            if r.random() < 0.9 and k != 7:
+                probes.append((k, i, round(t - (2.5 if i < n / 2 else 11.25) + r.normal(0, 0.1), 2), round(t + d - 2.5, 2)))
+            t += d + float(r.uniform(0, 3))
+    frame = lambda d: spark.createDataFrame(d, "k long, src_ix long, start double, stop double")
+    want = {x.k: [tuple(b) for b in x.blocks] for x in PW.split(frame(refs), frame(probes), ["k"]).collect()}
+
+    def cues(d):
+        d = sorted((k, a, i, b) for k, i, a, b in d if b > a)
+        k, a, i, b = (np.array(c) for c in zip(*d))
+        return S.Cues(k, a, b, i)
+
+    ref, probe = cues(refs), cues(probes)
+    heard = S.signal(ref, False, S.lengths(ref, 21))
+    for met in (500_000, 1):
+        monkeypatch.setattr(X, "_MET", met)
+        got = S.program(heard, probe, np.zeros(21), 21)
+        assert {k: b for k, b in enumerate(got) if k in want} == want
+        assert all(not b for k, b in enumerate(got) if k not in want)
+    assert sum(len(b) > 1 for b in got) > 3
