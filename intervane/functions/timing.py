@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from intervane.functions.rounding import bind, half_away
 
 _TIME = r"^\s*([+-]?\d+):([+-]?\d+):\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*$"
+#: The usual form, whose fields have their places.
+_USUAL = r"^\d\d:\d\d:\d\d[.,]\d\d\d\z"
 
 
 def parse_time(text: Column) -> Column:
-    """Seconds of h:mm:ss.cc or hh:mm:ss,mmm; NULL if it is neither."""
+    """Seconds of h:mm:ss.cc or hh:mm:ss,mmm; NULL if it is neither. The usual form is cut at its places, any other by a pattern for each field."""
     t = F.replace(text, F.lit(","), F.lit("."))
     part = lambda k: F.regexp_extract(t, _TIME, k)
-    return F.when(t.rlike(_TIME), part(1).try_cast("double") * 3600.0 + part(2).try_cast("double") * 60.0 + part(3).try_cast("double"))
+    any_ = F.when(t.rlike(_TIME), part(1).try_cast("double") * 3600.0 + part(2).try_cast("double") * 60.0 + part(3).try_cast("double"))
+    field = lambda at, n, kind: F.replace(F.substring(text, at, n), F.lit(","), F.lit(".")).try_cast(kind)
+    return F.when(text.rlike(_USUAL), field(1, 2, "int") * 3600.0 + field(4, 2, "int") * 60.0 + field(7, 6, "double")).otherwise(any_)
 
 
 def format_time(seconds: Column, kind: str) -> Column:

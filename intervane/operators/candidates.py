@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from intervane import config as C
 from intervane.functions import names as N
+from intervane.functions.rounding import bind
 from intervane.tables import save
 
 
@@ -81,13 +82,14 @@ def not_rejected_before(files: DataFrame, rejected: DataFrame, keys: list[str])
 
 
 def with_releases(files: DataFrame, names: dict[str, str]) -> DataFrame:
-    """files with what N.agree compares of each name column, as another column: {"name": "_s"}. files is read twice.
+    """files with what N.agree compares of each name column, and the group as it is named, as another column: {"name": "_s"}. files is read twice.
 
     Many files share a name, or a video, and patterns cost far more than a lookup: each distinct name is taken apart once, and the
     names with their details are written to the shared folder, whose size decides how they are joined.
     """
     every = files.select(F.explode(F.array(*names)).alias("_name")).where("_name is not null").distinct()
-    known = save(every.select("_name", N.compared(N.release(F.col("_name"))).alias("_release")), "names")
+    detail = bind(N.release(F.col("_name")), lambda r: N.compared(r).withField("named", r["group"]))
+    known = save(every.select("_name", detail.alias("_release")), "names")
     for name, to in names.items():
         files = files.join(known.select(F.col("_name").alias(name), F.col("_release").alias(to)), name, "left")
     return files

@@ -440,7 +440,9 @@ def found(ref_cues: DataFrame, probe_cues: DataFrame, keys: list[str], settings:
     flags = [F.col(c) if c in probe_cues.columns else F.lit(False).alias(c) for c in FLAGS]
     a = ref_cues.dropna(subset=keys).where("stop > start").select(*cue, *[F.lit(False).alias(c) for c in FLAGS], F.lit(0).cast("byte").alias("_side"))
     b = probe_cues.select(*cue, *flags, F.lit(1).cast("byte").alias("_side"))
-    rows = a.unionByName(b).repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, "_side", "start", "src_ix", "stop")
+    # A number of partitions, as their bytes, by which they would be put together, say little of the work.
+    n = int(probe_cues.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = a.unionByName(b).repartition(n, F.xxhash64(*keys)).sortWithinPartitions(*keys, "_side", "start", "src_ix", "stop")
     kinds = dict(probe_cues.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

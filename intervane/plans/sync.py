@@ -26,10 +26,10 @@ def sync(episodes: DataFrame, reference: DataFrame, files: DataFrame, documents:
     of the acceptable ones rewritten. What several steps read (tried files, lines, timed lines, measurements, the choice) is
     written to the shared folder, so that later steps plan and run from there. Cheap filters come before documents are parsed, and parsing before alignment.
     """
-    video = episodes.select("episode_id", "episode", N.release(F.col("video")).alias("_v"))
-    f = CA.rejection(files, ["episode_id", "entry_id"], settings.allow_archives).join(video, "episode_id").withColumn("_s", N.release(F.col("name")))
-    f = f.withColumn("_m", N.match(F.col("_v"), F.col("_s"), F.col("episode"))).withColumn("score", F.col("_m.score")).withColumn("source_match", F.col("_m.source_match")).withColumn("different_cut", F.col("_m.source_mismatch")).withColumn("exact_release", F.col("_m.exact"))
-    f = f.withColumn("language", N.language(F.col("name"))).withColumn("usable", (F.col("rejection") == "none") & ~F.col("_m.episode_mismatch")).withColumn("group", F.col("_s.group"))
+    video = episodes.select("episode_id", "episode", F.col("video").alias("_video"))
+    f = CA.with_releases(CA.rejection(files, ["episode_id", "entry_id"], settings.allow_archives).join(video, "episode_id"), {"_video": "_v", "name": "_s"})
+    f = f.withColumn("_m", N.agree(F.col("_v"), F.col("_s"), F.col("episode"))).withColumn("score", F.col("_m.score")).withColumn("source_match", F.col("_m.source_match")).withColumn("different_cut", F.col("_m.source_mismatch")).withColumn("exact_release", F.col("_m.exact"))
+    f = f.withColumn("language", N.language(F.col("name"))).withColumn("usable", (F.col("rejection") == "none") & ~F.col("_m.episode_mismatch")).withColumn("group", F.col("_s.named"))
     if profiles is not None:
         f = CA.with_profile(f, profiles, "episode_id").withColumn("preferred", CA.preferred(F.col("group"), F.col("entry_id"), F.col("p_group"), F.col("p_entry"), F.col("votes"), settings.min_votes))
     else:
@@ -40,7 +40,8 @@ def sync(episodes: DataFrame, reference: DataFrame, files: DataFrame, documents:
     docs = documents.join(tried.select(F.col("file_id").alias("doc_id")), "doc_id", "left_semi")
     lines = save(SU.lines(docs), "lines")
     timed = save(SU.timed(lines), "timed")
-    cues = SU.dialogue(timed).select(F.col("doc_id").alias("file_id"), "src_ix", "start", "stop").join(SU.karaoke(timed).withColumnRenamed("doc_id", "file_id"), "file_id")
+    blocks, tags = SU.marks(timed)
+    cues = SU.dialogue(timed, blocks).select(F.col("doc_id").alias("file_id"), "src_ix", "start", "stop").join(SU.karaoke(timed).withColumnRenamed("doc_id", "file_id"), "file_id")
     pairs = tried.select("episode_id", "file_id", "different_cut")
     probe = cues.join(pairs, "file_id").select("episode_id", "file_id", "src_ix", "start", "stop", "different_cut", "karaoke")
     ref = reference.join(pairs.select("episode_id", "file_id"), "episode_id").select("episode_id", "file_id", "src_ix", "start", "stop")
@@ -57,11 +58,11 @@ def sync(episodes: DataFrame, reference: DataFrame, files: DataFrame, documents:
     whole = chosen.where("verdict <> 'PiecewiseCut'").select(F.col("file_id").alias("doc_id"), "scale", "shift")
     pieces = chosen.where("verdict = 'PiecewiseCut'").select(F.col("file_id").alias("doc_id"), F.explode("blocks").alias("b")).select("doc_id", "b.*")
     by_line = timed.join(pieces.select("doc_id").distinct(), "doc_id", "left_semi")
-    placed = PW.block_offsets(SU.dialogue(timed).join(pieces.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "cue_ix", "timed_ix"), pieces, ["doc_id"]).select("doc_id", "timed_ix", "offset")
+    placed = PW.block_offsets(SU.dialogue(timed, blocks).join(pieces.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "cue_ix", "timed_ix"), pieces, ["doc_id"]).select("doc_id", "timed_ix", "offset")
     seed = pieces.groupBy("doc_id").agg(F.min_by("offset", "first_cue").alias("seed"))
     carried = PW.carry_forward(by_line.select("doc_id", "timed_ix").join(placed, ["doc_id", "timed_ix"], "left").join(seed, "doc_id").withColumn("line_ix", F.col("timed_ix")), ["doc_id"])
     per_line = timed.select("doc_id", "timed_ix").join(whole, "doc_id").unionByName(carried.select("doc_id", "timed_ix", F.lit(1.0).alias("scale"), F.col("offset").alias("shift")))
-    rewritten = SU.rewrite(lines.join(per_line.select("doc_id").distinct(), "doc_id", "left_semi"), timed, per_line)
+    rewritten = SU.rewrite(lines.join(per_line.select("doc_id").distinct(), "doc_id", "left_semi"), timed, per_line, tags)
     return {"candidates": f, "measured": x, "chosen": chosen, "rewritten": rewritten}
 
 

@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from intervane.functions import ass as A
 from intervane.functions import timing as T
+from intervane.functions.rounding import bind
 
 # The order in which encodings are tried once no byte-order mark is found.
 ENCODINGS = (("utf-8", "utf-8"), ("cp932", "shift-jis"), ("euc_jp", "euc-jp"))
@@ -119,9 +120,19 @@ def timed(of: DataFrame) -> DataFrame:
     return both.withColumn("timed_ix", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_ix")) - 1)
 
 
-def dialogue(of_timed: DataFrame) -> DataFrame:
-    """Cues (doc_id, cue_ix, timed_ix, src_ix, start, stop): no comments, no empty or musical lines, in stable order of start."""
-    words = F.when(F.col("text").isNull(), False).otherwise(A.non_dialogue(A.strip_blocks(F.coalesce("text", F.lit("")))))
+def marks(of_timed: DataFrame) -> tuple[bool, bool]:
+    """Whether any text has override blocks, and whether any has inline tags: where none has, no line need go through Python."""
+    has = lambda c: F.coalesce(F.max(F.col("text").contains(c)), F.lit(False))
+    return tuple(of_timed.agg(has("{"), has("\\")).first())
+
+
+def dialogue(of_timed: DataFrame, blocks: bool = True) -> DataFrame:
+    """Cues (doc_id, cue_ix, timed_ix, src_ix, start, stop): no comments, no empty or musical lines, in stable order of start.
+
+    blocks: False if no text has override blocks; see marks().
+    """
+    text = F.coalesce("text", F.lit(""))
+    words = F.when(F.col("text").isNull(), False).otherwise(A.non_dialogue(A.strip_blocks(text) if blocks else text))
     x = of_timed.where("not comment and stop > start").where(~words)
     w = Window.partitionBy("doc_id").orderBy("start", "timed_ix")
     return x.select("doc_id", (F.row_number().over(w) - 1).alias("cue_ix"), "timed_ix", F.col("timed_ix").alias("src_ix"), "start", "stop")
@@ -136,7 +147,7 @@ def rewrite(of_lines: DataFrame, of_timed: DataFrame, transforms: DataFrame, sca
     """(doc_id, content, rewritten, clamped): documents with new times and all other characters as they were.
 
     transforms: (doc_id, scale, shift), or with timed_ix one for each timed line. Times below zero become zero and are counted.
-    Inline tags of styled text are scaled with a scale other than one. A document whose transform is the identity stays itself.
+    Inline tags of styled text are scaled with a scale other than one, unless scale_inline is False. A document whose transform is the identity stays itself.
     """
     on = ["doc_id", "timed_ix"] if "timed_ix" in transforms.columns else ["doc_id"]
     x = of_timed.join(transforms, on)
@@ -145,17 +156,25 @@ def rewrite(of_lines: DataFrame, of_timed: DataFrame, transforms: DataFrame, sca
         x = x.withColumn(f"_{c}", T.apply(F.col("scale"), F.col("shift"), F.col(c)))
         text = F.when(F.col("kind") == "srt", T.format_time(F.col(f"_{c}"), "srt")).otherwise(T.format_time(F.col(f"_{c}"), "ass"))
         x = x.withColumn(f"_new_{c}", text)
-    scaled = F.when(T.shift_only(F.col("scale")) | F.col("text").isNull() | F.lit(not scale_inline), F.col("text")).otherwise(A.scale_tags(F.coalesce("text", F.lit("")), F.col("scale")))
+    scaled = F.col("text")
+    if scale_inline:
+        scaled = F.when(T.shift_only(F.col("scale")) | F.col("text").isNull(), F.col("text")).otherwise(A.scale_tags(F.coalesce("text", F.lit("")), F.col("scale")))
     x = x.withColumn("_new_text", scaled)
     edits = [F.struct(F.col("start_at").alias("at"), F.col("start_len").alias("n"), F.col("_new_start").alias("new")), F.struct(F.col("stop_at").alias("at"), F.col("stop_len").alias("n"), F.col("_new_stop").alias("new")), F.struct(F.coalesce("text_at", F.lit(-1)).alias("at"), F.coalesce(F.length("text"), F.lit(0)).alias("n"), F.col("_new_text").alias("new"))]
-    x = x.withColumn("_edits", F.array_sort(F.filter(F.array(*edits), lambda e: (e["at"] >= 0) & e["new"].isNotNull())))
+    edits = F.array_sort(F.filter(F.array(*edits), lambda e: (e["at"] >= 0) & e["new"].isNotNull()))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    part = lambda at, n=None: F.substring(F.col("raw"), at + 1, F.length("raw") if n is None else n)
 
     def step(a: Column, e: Column) -> Column:
-        new = F.concat(a["out"], F.substring(F.col("raw"), a["at"] + 1, e["at"] - a["at"]), e["new"])
+        new = F.concat(a["out"], part(a["at"], e["at"] - a["at"]), e["new"])
         return F.when(e["at"] < a["at"], a).otherwise(F.struct((e["at"] + e["n"]).alias("at"), new.alias("out")))
 
-    x = x.withColumn("_done", F.aggregate("_edits", zero, step)).withColumn("_raw", F.concat("_done.out", F.expr("substring(raw, _done.at + 1)")))
+    # A line without a text field has two edits, in order; only other lines are edited one by one.
+    begin, end = F.col("start_at") + F.col("start_len"), F.col("stop_at") + F.col("stop_len")
+    two = F.col("text_at").isNull() & (F.col("start_at") >= 0) & (begin <= F.col("stop_at")) & F.col("_new_start").isNotNull() & F.col("_new_stop").isNotNull()
+    both = F.concat(part(F.lit(0), F.col("start_at")), "_new_start", part(begin, F.col("stop_at") - begin), "_new_stop", part(end))
+    each = bind(F.aggregate(edits, zero, step), lambda d: F.concat(d["out"], part(d["at"])))
+    x = x.withColumn("_raw", F.when(two, both).otherwise(each))
     low = (F.col("_start") < 0).cast("int") + (F.col("_stop") < 0).cast("int")
     x = x.select("doc_id", "line_ix", "_raw", low.alias("_low"))
     y = of_lines.join(x, ["doc_id", "line_ix"], "left").withColumn("raw", F.coalesce("_raw", "raw"))

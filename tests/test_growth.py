@@ -200,3 +200,49 @@ def test_programs_side_by_side_give_what_each_gives_alone(spark, monkeypatch):
         assert {k: b for k, b in enumerate(got) if k in want} == want
         assert all(not b for k, b in enumerate(got) if k not in want)
     assert sum(len(b) > 1 for b in got) > 3
+
+
+def test_lines_without_tags_do_not_go_through_python(spark):
+    texts = {1: "1\n00:00:01,000 --> 00:00:02,500 X1:10\nx\n\n", 2: "  0:0:3 -->  00:00:04.25\r\n\r\n 00:01:00,0015 -->00:01:01,000", 3: "00:00:01,000 --> 00:00:02,000 --> 00:00:03,000\n"}
+    of = SU.lines(spark.createDataFrame(list(texts.items()), "doc_id long, content string"))
+    t = SU.timed(of)
+    late = spark.createDataFrame([(k, 1.0 + k / 8, k - 1.5) for k in texts], "doc_id long, scale double, shift double")
+    assert SU.marks(t) == (False, False)
+    for get in (lambda x: SU.dialogue(t, x), lambda x: SU.rewrite(of, t, late, x)):
+        with_, without = get(True), get(False)
+        plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" in plan(with_) and "ArrowEvalPython" not in plan(without)
+        assert sorted(map(tuple, with_.collect())) == sorted(map(tuple, without.collect()))
+    got = {r.doc_id: (r.content, r.rewritten, r.clamped) for r in SU.rewrite(of, t, late, False).collect()}
+    assert got[1] == ("1\n00:00:00,625 --> 00:00:02,313 X1:10\nx\n\n", 1, 0)
+    assert got[2] == ("  00:00:04,250 -->  00:00:05,813\r\n\r\n 00:01:15,502 -->00:01:16,750", 2, 0)
+    assert got[3] == ("00:00:02,875 --> 00:00:04,250 --> 00:00:03,000\n", 1, 0)
+    styled = SU.timed(SU.lines(spark.createDataFrame([(1, "[Events]\nFormat: Start, End, Text\nDialogue: 0:00:01.00,0:00:02.00,{\\k5}x\n")], "doc_id long, content string")))
+    assert SU.marks(styled) == (True, True) and SU.marks(t.limit(0)) == (False, False)
+
+
+def test_times_of_the_usual_form_are_as_the_pattern_reads_them(spark):
+    r = random.Random(6)
+    texts = [f"{r.randrange(100):02}:{r.randrange(100):02}:{r.randrange(100):02}{r.choice(',.')}{r.randrange(1000):03}" for _ in range(3000)]
+    odd = ["00:00:01,000\n", "00:00:01,000 ", "00:00:01,0001", "٠٠:00:01,000", "00:00:01;000", "", None]
+    x = spark.createDataFrame([(t, None if t is None else " " + t) for t in texts + odd], "t string, s string").select("t", T.parse_time(F.col("t")).alias("a"), T.parse_time(F.col("s")).alias("b"))
+    got = x.collect()
+    assert all(g.a == g.b for g in got) and all(g.a is not None for g in got[:3000])
+    assert [g.a for g in got[3000:]] == [1.0, 1.0, 1.0001, None, None, None, None]
+
+
+def test_names_of_episodes_are_taken_apart_once_each(spark, monkeypatch):
+    from intervane.operators import candidates as CA
+    from intervane.plans import sync as SY
+
+    saved, save = {}, CA.save
+    monkeypatch.setattr(CA, "save", lambda df, name: saved.setdefault(name, save(df, name)))
+    episodes = spark.range(50).selectExpr("id as episode_id", "'[G1] Show - 02 (BD).mkv' as video", "2 as episode")
+    files = episodes.selectExpr("episode_id", "explode(array(struct(1L as entry_id, '[G1] Show - 02 (BD).srt' as name), struct(2L as entry_id, '[G2] Show - 03 (WEB).srt' as name), struct(3L as entry_id, cast(null as string) as name))) as f")
+    files = files.selectExpr("episode_id", "f.entry_id", "episode_id * 10 + f.entry_id as file_id", "f.name", "9000 as size")
+    none = spark.createDataFrame([], "doc_id long, content string")
+    out = SY.sync(episodes, spark.createDataFrame([], "episode_id long, src_ix long, start double, stop double"), files, none)
+    assert saved["names"].count() == 3
+    got = {tuple(r) for r in out["candidates"].select("entry_id", "group", "score", "usable", "source_match", "different_cut").collect()}
+    assert got == {(1, "G1", 80, True, True, False), (2, "G2", 0, False, False, False), (3, None, 0, True, False, False)}
+    assert {tuple(r) for r in out["measured"].select("verdict", "entry_id").collect()} == {("Declined", 1), ("Declined", 3)} and out["chosen"].count() == 0
