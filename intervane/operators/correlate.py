@@ -80,35 +80,39 @@ def _sparse(g: np.ndarray, b0: np.ndarray, b1: np.ndarray, lo: np.ndarray, hi: n
     """peaks() from the overlap at the lags where it bends, and at the ends of what lies away from the best lag: between these it is straight."""
     many = hi - lo
     row = np.repeat(np.arange(len(g)), many)
-    a = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + lo[row]
+    a = np.arange(len(row)) + np.repeat(lo - np.cumsum(many) + many, many)
     x0, x1, y0, y1, of = a0[a] + limit, a1[a] + limit, b0[row], b1[row], g[row]
     bits, ends, carry, each = (2 * limit + 1).bit_length(), 2 * limit, np.zeros(n), np.arange(n)
+    kind = np.int32 if n << bits + 2 < 1 << 31 else np.int64
     # One number says the pair, the place and how the slope changes there (by one less than the last two bits).
-    marks = [(each << bits) << 2 | 1, (each << bits | ends) << 2 | 1]
-    for sign, lags in ((1, (x0 - y1, x1 - y0)), (-1, (x0 - y0, x1 - y1))):
-        for lag in lags:
-            under = lag < 0
-            if under.any():
-                carry += sign * np.bincount(of[under], -lag[under], n)
-            near = lag < ends
-            marks.append((of[near] << bits | np.maximum(lag[near], 0)) << 2 | (sign + 1))
-    marks = np.concatenate(marks)
+    size = len(row)
+    marks, shifted = np.empty(4 * size + 2 * n, kind), (of << bits + 2).astype(kind)
+    for k, (sign, lag) in enumerate(((1, x0 - y1), (1, x1 - y0), (-1, x0 - y0), (-1, x1 - y1))):
+        under = np.nonzero(lag < 0)[0]
+        if len(under):
+            carry += sign * np.bincount(of[under], -lag[under], n)
+        spot = marks[k * size : (k + 1) * size]
+        np.clip(lag, 0, ends, out=spot, casting="unsafe")
+        spot <<= 2
+        spot += shifted
+        spot += sign + 1
+    marks[4 * size : 4 * size + n], marks[4 * size + n :] = each << bits + 2 | 1, (each << bits | ends) << 2 | 1
     marks.sort()
     at = marks >> 2
     place = at & ((1 << bits) - 1)
-    first = np.searchsorted(at, each << bits)
+    first = np.searchsorted(at, (each << bits).astype(kind))
     size = np.diff(np.append(first, len(at)))
-    slope = np.cumsum((marks & 3) - 1)
+    slope = np.cumsum((marks & 3) - 1, dtype=np.int64)
     slope -= np.repeat(np.concatenate([[0], slope[first[1:] - 1]]), size)
     ov = np.zeros(len(at), np.int64)
     np.cumsum(slope[:-1] * np.diff(place), out=ov[1:])
     ov -= np.repeat(ov[first] - np.rint(carry).astype(np.int64), size)
     top, least = np.maximum.reduceat(ov, first), np.minimum.reduceat(ov, first)
     tops = np.nonzero(ov == np.repeat(top, size))[0]
-    best = place[tops[np.searchsorted(at[tops] >> bits, each)]]
+    best = place[tops[np.searchsorted(at[tops] >> bits, each.astype(kind))]].astype(np.int64)
     second = np.maximum.reduceat(np.where(np.abs(place - np.repeat(best, size)) > guard, ov, 0), first)
     for edge in (best - guard - 1, best + guard + 1):
-        k = np.searchsorted(at, each << bits | np.clip(edge, 0, ends), "right") - 1
+        k = np.searchsorted(at, (each << bits | np.clip(edge, 0, ends)).astype(kind), "right") - 1
         second = np.maximum(second, np.where((edge >= 0) & (edge <= ends), ov[k] + slope[k] * (edge - place[k]), 0))
     return best - limit, top, second, least
 

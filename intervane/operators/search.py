@@ -25,6 +25,8 @@ FLAGS = ("different_cut", "karaoke")
 FOUND = f"n_cues long, different_cut boolean, karaoke boolean, rep_ix int, min_correlation double, scale double, shift double, correlation double, peak_ratio double, refined boolean, reference_covered double, on_screen double, good boolean, found {PW.BLOCKS}, split_correlation double, split_coverage double, split_screen double"
 #: Tracks whose programs go on side by side, and the largest sum that 32 bits are used for.
 _SIDE, _SMALL = 8, 1 << 29
+#: Bins of a track up to which its ratings are read off the number of bins covered before each; beyond, they are summed from slopes.
+_DENSE = 1 << 20
 _EDGES, _WEIGHTS = np.array([1, -1]), np.array([5, -5, 1, -1])
 
 
@@ -250,6 +252,50 @@ def _slopes(ref: Signal, a: np.ndarray, b: np.ndarray, g: np.ndarray, first: np.
     return spot, w[inside], np.cumsum(np.bincount(cue, inside.sum(axis=(1, 2)), len(a)).astype(np.int64)), before
 
 
+def _rated(ref: Signal, chunk: np.ndarray, a: np.ndarray, b: np.ndarray, g: np.ndarray, first: np.ndarray, lo: np.ndarray, hi: np.ndarray, side: np.ndarray, last: np.ndarray, upto: np.ndarray, rate: np.ndarray) -> Iterator[None]:
+    """Writes the ratings of each step's cues, one of a track, over the first rows of rate. last: where each step's cues end; upto: intervals met by then."""
+    m, wide = rate.shape
+    low, high = np.full(m, 1 << 62), np.full(m, -(1 << 62))
+    np.minimum.at(low, side, a - g + first)
+    np.maximum.at(high, side, b + g + first + wide)
+    if (high - low).max() <= _DENSE:
+        before = []  # bins covered before each bin of a track, from low on
+        for t, x, y in zip(chunk.tolist(), low.tolist(), high.tolist()):
+            covered = np.zeros(y - x + 1, np.int8)
+            mine = slice(*np.searchsorted(ref.of, (t, t + 1)).tolist())
+            for s, e in zip(np.maximum(ref.s[mine] - x, 0).tolist(), np.maximum(ref.e[mine] - x, 0).tolist()):
+                covered[s + 1 : e + 1] = 1
+            before.append(np.cumsum(covered, dtype=np.int32))
+        places = [(c + first - low[side]).tolist() for c in (a, b, a - g, b + g)]
+        x = 0
+        for y in last.tolist():
+            for p, r, at, to, ahead, after in zip(before, rate, *(c[x:y] for c in places)):
+                np.subtract(p[to : to + wide], p[at : at + wide], out=r)
+                r *= 5
+                r += p[ahead : ahead + wide]
+                r -= p[after : after + wide]
+            x = y
+            yield
+        return
+    x = j = 0
+    while j < len(last):  # as many steps at a time as meet X._MET intervals
+        to = max(j + 1, int(np.searchsorted(upto, (upto[j - 1] if j else 0) + X._MET, "right")))
+        cues_of = slice(x, int(last[to - 1]))
+        spot, weight, ends, less = _slopes(ref, *(c[cues_of] for c in (a, b, g, first, lo, hi)), side[cues_of], wide)
+        weight, begun, done = weight.astype(rate.dtype), x, 0
+        for y in last[j:to].tolist():
+            r = rate[: y - x]
+            r.fill(0)
+            end = int(ends[y - 1 - begun])
+            np.add.at(rate.reshape(-1), spot[done:end], weight[done:end])
+            np.cumsum(r, axis=1, out=r)
+            r[:, 0] = -less[x - begun : y - begun]
+            np.cumsum(r, axis=1, out=r)
+            x, done = y, end
+            yield
+        j = to
+
+
 def program(ref: Signal, probe: Cues, centre: np.ndarray, n: int) -> list[list[tuple[int, int, float]]]:
     """Blocks (first cue, last cue, offset) of each track's best path over offsets, as piecewise.split(); none without reference intervals.
 
@@ -284,33 +330,22 @@ def program(ref: Signal, probe: Cues, centre: np.ndarray, n: int) -> list[list[t
         small = int(6 * np.bincount(side, (b - a)[row]).max()) + 6 * price + 100 * int((hi[row] - lo[row]).max(initial=0)) < _SMALL
         kind = np.int32 if small else np.int64
         score, rate, since, under = np.zeros((m, wide), kind), np.zeros((m, wide), kind), np.zeros((m, wide), np.int32), np.zeros((m, wide), bool)
-        best, taken, top = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64), None
-        x = j = 0
-        while j < len(last):  # as many steps at a time as meet X._MET intervals
-            to = max(j + 1, int(np.searchsorted(upto, (upto[j - 1] if j else 0) + X._MET, "right")))
-            cues_of = slice(x, int(last[to - 1]))
-            spot, weight, ends, before = _slopes(ref, *(c[row[cues_of]] for c in (a, b, g, first, lo, hi)), side[cues_of], wide)
-            weight, begun, done = weight.astype(kind), x, 0
-            for j, y in enumerate(last[j:to].tolist(), j):
-                k = y - x
-                r, s, u, t = rate[:k], score[:k], under[:k], since[:k]
-                r.fill(0)
-                end = int(ends[y - 1 - begun])
-                np.add.at(rate.reshape(-1), spot[done:end], weight[done:end])
-                np.cumsum(r, axis=1, out=r)
-                r[:, 0] = -before[x - begun : y - begun]
-                np.cumsum(r, axis=1, out=r)
-                if j:
-                    leap = (top[:k] - price).astype(kind)[:, None]
-                    np.less(s, leap, out=u)
-                    np.copyto(t, j, where=u)
-                    np.maximum(s, leap, out=s)
-                np.add(s, r, out=s)
-                where = s.argmax(axis=1)
-                top = s[np.arange(k), where]
-                best[x:y], taken[x:y] = where, t[np.arange(k), where]
-                x, done = y, end
-            j = to
+        best, taken, top, x = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64), None, 0
+        rated = _rated(ref, chunk, *(c[row] for c in (a, b, g, first, lo, hi)), side, last, upto, rate)
+        for j, y in enumerate(last.tolist()):
+            k = y - x
+            next(rated)
+            r, s, u, t = rate[:k], score[:k], under[:k], since[:k]
+            if j:
+                leap = (top[:k] - price).astype(kind)[:, None]
+                np.less(s, leap, out=u)
+                np.copyto(t, j, where=u)
+                np.maximum(s, leap, out=s)
+            np.add(s, r, out=s)
+            where = s.argmax(axis=1)
+            top = s[np.arange(k), where]
+            best[x:y], taken[x:y] = where, t[np.arange(k), where]
+            x = y
         for i, t in enumerate(chunk.tolist()):
             mine = side == i
             at_, since_, from_ = best[mine].tolist(), taken[mine].tolist(), int(first[begin[t]])
