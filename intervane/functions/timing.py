@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from intervane.functions.rounding import bind, half_away
+from intervane.functions.rounding import half_away
 
 _TIME = r"^\s*([+-]?\d+):([+-]?\d+):\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*$"
 #: The usual form, whose fields have their places.
@@ -24,8 +24,7 @@ def parse_time(text: Column) -> Column:
 def format_time(seconds: Column, kind: str) -> Column:
     """kind "srt": hh:mm:ss,mmm; else h:mm:ss.cc. Negative times are zero; halves round away from zero."""
     unit = 1000 if kind == "srt" else 100
-    n = F.floor(F.greatest(seconds, F.lit(0.0)) * float(unit) + 0.5).cast("long")
-    return bind(n, lambda k: _format(k, kind, unit))
+    return _format(F.floor(F.greatest(seconds, F.lit(0.0)) * float(unit) + 0.5).cast("long"), kind, unit)
 
 
 def _format(n: Column, kind: str, unit: int) -> Column:

@@ -260,12 +260,16 @@ def _rated(ref: Signal, chunk: np.ndarray, a: np.ndarray, b: np.ndarray, g: np.n
     np.maximum.at(high, side, b + g + first + wide)
     if (high - low).max() <= _DENSE:
         before = []  # bins covered before each bin of a track, from low on
+        ramp = np.arange(int((high - low).max()) + 2, dtype=np.int32)
         for t, x, y in zip(chunk.tolist(), low.tolist(), high.tolist()):
-            covered = np.zeros(y - x + 1, np.int8)
+            covered, n, at = np.empty(y - x + 1, np.int32), 0, 0
             mine = slice(*np.searchsorted(ref.of, (t, t + 1)).tolist())
-            for s, e in zip(np.maximum(ref.s[mine] - x, 0).tolist(), np.maximum(ref.e[mine] - x, 0).tolist()):
-                covered[s + 1 : e + 1] = 1
-            before.append(np.cumsum(covered, dtype=np.int32))
+            for s, e in zip(np.clip(ref.s[mine] - x, 0, y - x).tolist(), np.clip(ref.e[mine] - x, 0, y - x).tolist()):
+                covered[at : s + 1] = n
+                covered[s + 1 : e + 1] = ramp[n + 1 : n + 1 + e - s]
+                n, at = n + e - s, e + 1
+            covered[at:] = n
+            before.append(covered)
         places = [(c + first - low[side]).tolist() for c in (a, b, a - g, b + g)]
         x = 0
         for y in last.tolist():

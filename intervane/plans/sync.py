@@ -27,6 +27,8 @@ def sync(episodes: DataFrame, reference: DataFrame, files: DataFrame, documents:
     written to the shared folder, so that later steps plan and run from there. Cheap filters come before documents are parsed, and parsing before alignment.
     """
     video = episodes.select("episode_id", "episode", F.col("video").alias("_video"))
+    # A number of partitions, as names are short and the patterns that they are held against are not.
+    files = files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "episode_id", "entry_id")
     f = CA.with_releases(CA.rejection(files, ["episode_id", "entry_id"], settings.allow_archives).join(video, "episode_id"), {"_video": "_v", "name": "_s"})
     f = f.withColumn("_m", N.agree(F.col("_v"), F.col("_s"), F.col("episode"))).withColumn("score", F.col("_m.score")).withColumn("source_match", F.col("_m.source_match")).withColumn("different_cut", F.col("_m.source_mismatch")).withColumn("exact_release", F.col("_m.exact"))
     f = f.withColumn("language", N.language(F.col("name"))).withColumn("usable", (F.col("rejection") == "none") & ~F.col("_m.episode_mismatch")).withColumn("group", F.col("_s.named"))
