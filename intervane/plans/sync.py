@@ -39,22 +39,23 @@ def sync(episodes: DataFrame, reference: DataFrame, files: DataFrame, documents:
     tried = CA.rank(f.where("usable"), ["episode_id"], settings.max_candidates).select("episode_id", "entry_id", "file_id", "name", "language", "score", "source_match", "preferred", "different_cut", "exact_release", F.col("place").alias("tried"))
     tried = save(tried, "tried")
 
-    docs = documents.join(tried.select(F.col("file_id").alias("doc_id")), "doc_id", "left_semi")
+    # Files, and what is found of each, grow with the episodes: their tables are small on disk and not in memory, and are not broadcast.
+    docs = documents.join(tried.select(F.col("file_id").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")
     lines = save(SU.lines(docs), "lines")
     timed = save(SU.timed(lines), "timed")
     blocks, tags = SU.marks(timed)
-    cues = SU.dialogue(timed, blocks).select(F.col("doc_id").alias("file_id"), "src_ix", "start", "stop").join(SU.karaoke(timed).withColumnRenamed("doc_id", "file_id"), "file_id")
+    cues = SU.dialogue(timed, blocks).select(F.col("doc_id").alias("file_id"), "src_ix", "start", "stop").join(SU.karaoke(timed).withColumnRenamed("doc_id", "file_id").hint("shuffle_hash"), "file_id")
     pairs = tried.select("episode_id", "file_id", "different_cut")
-    probe = cues.join(pairs, "file_id").select("episode_id", "file_id", "src_ix", "start", "stop", "different_cut", "karaoke")
-    ref = reference.join(pairs.select("episode_id", "file_id"), "episode_id").select("episode_id", "file_id", "src_ix", "start", "stop")
+    probe = cues.join(pairs.hint("shuffle_hash"), "file_id").select("episode_id", "file_id", "src_ix", "start", "stop", "different_cut", "karaoke")
+    ref = reference.join(pairs.select("episode_id", "file_id").hint("shuffle_hash"), "episode_id").select("episode_id", "file_id", "src_ix", "start", "stop")
     verdicts = AL.align(ref, probe, ["episode_id", "file_id"], settings)
     heard = reference.where("stop > start").select("episode_id").distinct().withColumn("_heard", F.lit(True))
-    x = tried.join(verdicts, ["episode_id", "file_id"], "left").join(heard, "episode_id", "left").withColumns({"has_reference": F.coalesce("_heard", F.lit(False)), "manual_offset": F.lit(None).cast("double"), "force": F.lit(False), "use_measured": F.lit(False), "verdict": F.coalesce("verdict", F.lit("Declined")), "scale": F.coalesce("scale", F.lit(1.0)), "shift": F.coalesce("shift", F.lit(0.0))})
+    x = tried.join(verdicts.hint("merge"), ["episode_id", "file_id"], "left").join(heard.hint("merge"), "episode_id", "left").withColumns({"has_reference": F.coalesce("_heard", F.lit(False)), "manual_offset": F.lit(None).cast("double"), "force": F.lit(False), "use_measured": F.lit(False), "verdict": F.coalesce("verdict", F.lit("Declined")), "scale": F.coalesce("scale", F.lit(1.0)), "shift": F.coalesce("shift", F.lit(0.0))})
     x = AL.precedence(x).withColumn("verdict", F.col("final_verdict")).withColumn("scale", F.col("final_scale")).withColumn("shift", F.col("final_shift"))
     x = B.correct(x, ["episode_id"], settings).withColumn("quality", R.quality(F.col("coverage"), F.coalesce("correlation", F.lit(0.0)), F.coalesce("ratio", F.lit(0.0)), F.col("shift"), settings))
     x = save(x, "measured")
     good = R.ranked(x.where(AL.is_acceptable(F.col("verdict"))), ["episode_id"])
-    chosen = R.choose(good, ["episode_id"], settings).join(x.select("episode_id", "file_id", "name", "verdict", "scale", "shift", "correlation", "coverage", "n_blocks", "blocks"), ["episode_id", "file_id"])
+    chosen = R.choose(good, ["episode_id"], settings).join(x.select("episode_id", "file_id", "name", "verdict", "scale", "shift", "correlation", "coverage", "n_blocks", "blocks").hint("merge"), ["episode_id", "file_id"])
     chosen = save(chosen, "chosen")
 
     whole = chosen.where("verdict <> 'PiecewiseCut'").select(F.col("file_id").alias("doc_id"), "scale", "shift")

@@ -246,3 +246,15 @@ def test_names_of_episodes_are_taken_apart_once_each(spark, monkeypatch):
     got = {tuple(r) for r in out["candidates"].select("entry_id", "group", "score", "usable", "source_match", "different_cut").collect()}
     assert got == {(1, "G1", 80, True, True, False), (2, "G2", 0, False, False, False), (3, None, 0, True, False, False)}
     assert {tuple(r) for r in out["measured"].select("verdict", "entry_id").collect()} == {("Declined", 1), ("Declined", 3)} and out["chosen"].count() == 0
+
+
+def test_tables_of_files_are_not_broadcast(spark, monkeypatch):
+    """Few bytes on disk, but a row for each file: they went to the driver whole."""
+    from intervane.plans import sync as SY
+
+    plans = {}
+    for module in (AL, SY):
+        monkeypatch.setattr(module, "save", lambda df, name, save=module.save: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or save(df, name))
+    assert SY.sync_pipeline(spark, "/root/testdata/sf0.001").count() == 15
+    assert {"lines", "found", "chosen"} <= plans.keys()
+    assert not [n for n in ("lines", "found", "chosen") if "BroadcastHashJoin" in plans[n]]
